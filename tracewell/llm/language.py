@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, texts_of
+from .shared import by_bytes, stored, texts_of
 
 MARK = "▁"  # begins a word
 MOST_LETTERS = 12  # of a piece
@@ -52,8 +52,8 @@ def vocabulary(path: str) -> tuple[np.ndarray, int]:
     sp = SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(k).lower() for k in range(sp.get_piece_size())}
     pieces = sorted(p for p in pieces if 0 < len(p.removeprefix(MARK)) <= MOST_LETTERS and p.removeprefix(MARK).isalpha())
-    out = [code_hash(as_codes([p], len(p)))[0, -1] for p in pieces]
-    return np.unique(np.array(out, np.uint64)), len(pieces)
+    by_length = [[p for p in pieces if len(p) == n] for n in range(1, MOST_LETTERS + 2)]
+    return np.unique(np.concatenate([code_hash(as_codes(g, len(g[0])))[:, -1] for g in by_length if g])), len(pieces)
 
 
 def edges(words: list[str], hashes: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
@@ -74,17 +74,16 @@ def edges(words: list[str], hashes: np.ndarray) -> list[list[tuple[int, np.ndarr
     return out
 
 
-def forward(words: list[str], model: Model) -> tuple[np.ndarray, list]:
-    """(probability of each word's first 0, 1, ... characters, times SCALE for each, by language; the edges)."""
-    n = len(words[0]) + 1
-    found = edges(words, model.hashes)
-    alpha = np.zeros((n + 1, len(words), model.weights.shape[1]))
+def forward(found: list, rows_of: int, model: Model) -> np.ndarray:
+    """Probability of each word's first 0, 1, ... characters, times SCALE for each letter, by language, over their edges."""
+    n = len(found) + 1
+    alpha = np.zeros((n + 1, rows_of, model.weights.shape[1]))
     alpha[0] = 1
     for end, here in zip(range(2, n + 1), found, strict=True):
         alpha[end] = alpha[end - 1 if end > 2 else 0] * (model.unknown * SCALE)
         for start, rows, pieces in here:
             alpha[end, rows] += alpha[start, rows] * model.weights[pieces] * SCALE ** (end - max(start, 1))
-    return alpha, found
+    return alpha
 
 
 def word_scores(words: list[str], model: Model) -> np.ndarray:
@@ -99,8 +98,12 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
         step = max(1, 200_000 // (n + 1))
         for at in range(0, len(group), step):
             some = group[at : at + step]
-            alpha, _ = forward([w for _, w in some], model)
-            np.add.at(out, [k for k, _ in some], np.log(alpha[-1]) - n * np.log(SCALE))
+            alpha = forward(edges([w for _, w in some], model.hashes), len(some), model)
+            rows, logs = np.array([k for k, _ in some]), np.log(alpha[-1]) - n * np.log(SCALE)
+            if n < STRETCH:  # then no word has two stretches here
+                out[rows] += logs
+            else:
+                np.add.at(out, rows, logs)
     return out
 
 
@@ -111,20 +114,21 @@ def fit(counts: dict[str, dict[str, int]], path: str, steps: int = 3, unknown: f
     languages = sorted(counts)
     weights = np.zeros((len(hashes), len(languages)))
     for c, language in enumerate(languages):
-        by_length: dict[int, list[str]] = {}
-        for w in counts[language]:
+        by_length: dict[int, dict[str, int]] = {}
+        for w, times in counts[language].items():
             for at in range(0, len(w), STRETCH):
-                by_length.setdefault(len(w[at : at + STRETCH]), []).append((w[at : at + STRETCH], counts[language][w]))
+                group = by_length.setdefault(len(s := w[at : at + STRETCH]), {})
+                group[s] = group.get(s, 0) + times
+        lattices = [(edges(list(g), hashes), np.array(list(g.values()), float)) for g in by_length.values()]
         p = np.full(len(hashes), 1.0 / size)
         for _ in range(steps):
             expected = np.full(len(hashes), 0.01)
-            for n, group in by_length.items():
-                words, times = [w for w, _ in group], np.array([t for _, t in group], float)
-                alpha, found = forward(words, Model([language], hashes, p[:, None], unknown))
-                alpha = alpha[..., 0]
+            for found, times in lattices:
+                n = len(found) + 1
+                alpha = forward(found, len(times), Model([language], hashes, p[:, None], unknown))[..., 0]
                 beta = np.zeros_like(alpha)
                 beta[-1] = 1
-                for end, here in zip(range(n + 1, 1, -1), reversed(found), strict=True):
+                for end, here in zip(range(n, 1, -1), reversed(found), strict=True):
                     for start, rows, pieces in here:
                         share = p[pieces] * SCALE ** (end - max(start, 1)) * beta[end, rows]
                         beta[start, rows] += share
@@ -170,7 +174,7 @@ def train(df: DataFrame, path: str, text_col: str = "text", lang_col: str = "lan
     draw = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("language")), F.lit(1_000_003)) / 1_000_003
     chosen = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw")).join(F.broadcast(rates), "lang").where("draw < rate and text is not null")
     split = chosen.select("lang", F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("word")).where("word <> ''")
-    counted = split.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counted = stored(split.groupBy("lang", "word").agg(F.count("*").alias("n")))
     counts = {language: {} for language in sizes}
     for language in sizes:
         for r in counted.where(F.col("lang") == language).orderBy(F.desc("n"), "word").limit(words).collect():
