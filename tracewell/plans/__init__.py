@@ -1,0 +1,6 @@
+"""Registered queries: QUERIES by name, and SQL where it can express one."""
+
+from . import telemetry  # noqa: F401
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
