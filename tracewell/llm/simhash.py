@@ -125,7 +125,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     are told apart by a digest of their text, then are repeated rows, of which one stays."""
     known = near_duplicates(df, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("component_id").alias("__component"))
     first = stored(known.where(F.col("__id").eqNullSafe(F.col("__component"))).groupBy("__id").agg(F.count("*").alias("__n")))
-    kept = df.join(first, df[id_col].eqNullSafe(F.col("__id")))
+    kept = df.join(first.hint("merge"), df[id_col].eqNullSafe(F.col("__id")))  # ids grow with the rows: never broadcast
     if first.where("__n > 1").isEmpty():
         return kept.select(df.columns)
     repeated = kept.where("__n > 1").dropDuplicates([id_col]).select(df.columns)
