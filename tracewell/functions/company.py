@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labels import fold
-from .text import slug, unfence
+from .labels import fold, unfence
+from .text import slug
 
 #: Fixed values.
 UNKNOWN = "Nao identificado nos dados EaaS"
@@ -50,47 +48,60 @@ def boolean(text: Column) -> Column:
     return F.when(low.isin("true", "1", "yes", "sim"), True).when(low.isin("false", "0", "no", "nao", "não"), False)
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def distinct_folded(items: Column) -> Column:
     """Trimmed items without blanks; of those that differ in case only the first."""
     clean = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    return F.filter(clean, lambda x, i: F.array_position(F.transform(clean, lambda y: fold(y)), fold(x)) == i + 1)
+    first = lambda c, low: F.filter(c, lambda x, i: F.array_position(low, fold(x)) == i + 1)
+    return bind(clean, lambda c: bind(F.transform(c, lambda y: fold(y)), lambda low: first(c, low)))
+
+
+def filled(text: Column) -> Column:
+    return bind(text, lambda x: F.when(~F.coalesce(F.trim(x), F.lit("")).isin("", "[]", "{}"), x))
 
 
-def company_normalize(record: Column) -> Column:
-    """struct of the known fields of a JSON record. The record may stand in data.company or company, and may hold a payload
-    (an object, or its JSON text), whose fields override those around it. A field's first place with a value counts."""
+def company_normalize(df: DataFrame, record: str = "record", name: str = "company") -> DataFrame:
+    """df with a struct of the known fields of a JSON record. The record may stand in data.company or company, and may hold
+    a payload (an object, or its JSON text), whose fields override those around it. A field's first place with a value
+    counts. The steps are kept apart by generators of one row, so no later use computes the fields again."""
     get = F.get_json_object
-    filled = lambda c: F.when(~F.coalesce(F.trim(c), F.lit("")).isin("", "[]", "{}"), c)
-    base = F.coalesce(filled(get(record, "$.data.company")), filled(get(record, "$.company")), record)
-    payload = F.coalesce(filled(get(record, "$.payload")), filled(get(base, "$.payload")))
-    payload = F.when(F.trim(payload).startswith("{"), payload)
-    around = F.when(payload.isNotNull(), record).otherwise(base)
+    base = F.coalesce(filled(get(record, "$.data.company")), filled(get(record, "$.company")), F.col(record))
+    opened = df.withColumn("__base", F.explode(F.array(base)))
+    payload = F.coalesce(filled(get(record, "$.payload")), filled(get("__base", "$.payload")))
+    opened = opened.withColumn("__payload", F.explode(F.array(bind(payload, lambda p: F.when(F.trim(p).startswith("{"), p)))))
+    around = F.when(F.col("__payload").isNotNull(), F.col(record)).otherwise(F.col("__base"))
 
     def at(place: str) -> Column:
         path = place.replace("~", "$")
-        return F.coalesce(filled(get(payload, path)), filled(get(around, path)))
+        return F.coalesce(filled(get("__payload", path)), filled(get(around, path)))
 
     def items(place: str) -> Column:
-        text = at(place)
-        many = F.coalesce(F.from_json(text, "array<string>"), F.array(text))
-        return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(many)
-
-    scalar = lambda name: F.coalesce(*[F.when(~at(p).rlike(r"^\s*[\[{]"), at(p)) for p in PLACES[name]])
-    fields = {name: scalar(name) for name in PLACES}
-    flag = boolean(fields["is_ecommerce"])
-    fields["is_ecommerce"] = F.when(flag.isNull() & (fold(fields["estimated_segment"]) == "ecommerce"), True).otherwise(flag)
-    fields["has_blog"] = boolean(fields["has_blog"])
-    lists = {name: distinct_folded(reduce(lambda a, b: F.concat(a, b), [items(p) for p in places])) for name, places in LISTS.items()}
-    names = {c: [f"~.{c}", *[f"~.{d}.{s}.{c}" for d in ("digitalPresence", "digital_presence") for s in ("socialMedia", "social_media")]] for c in CHANNELS[:-1]}
-    names["twitter_x"] = ["~.twitter_x", "~.twitterX", *[f"~.{d}.{s}.{c}" for d in ("digitalPresence", "digital_presence") for s in ("socialMedia", "social_media") for c in ("twitterX", "twitter_x")]]
-    social = F.struct(*[F.coalesce(*[at(p) for p in places]).alias(c) for c, places in names.items()])
-    company_id = F.trim(F.coalesce(fields["cnpj"], fields["domain"], fields["name"], F.lit("")))
-    return F.struct(company_id.alias("company_id"), *[c.alias(n) for n, c in {**fields, **lists}.items()], social.alias("social_media"))
+        none = F.array().cast("array<string>")
+        return F.coalesce(bind(at(place), lambda t: F.when(t.isNull(), none).otherwise(F.coalesce(F.from_json(t, "array<string>"), F.array(t)))), none)
+
+    one = lambda p: bind(at(p), lambda x: F.when(~x.rlike(r"^\s*[\[{]"), x))
+    fields = {n: F.coalesce(*map(one, places)) for n, places in PLACES.items()}
+    flags = {n: bind(fields[n], boolean) for n in ("is_ecommerce", "has_blog")}
+    shop = bind(fields["estimated_segment"], lambda x: F.when(fold(x) == "ecommerce", True))
+    fields |= {"is_ecommerce": F.coalesce(flags["is_ecommerce"], shop), "has_blog": flags["has_blog"]}
+    lists = {n: distinct_folded(F.concat(*map(items, places))) for n, places in LISTS.items()}
+    spots = [f"~.{d}.{s}." for d in ("digitalPresence", "digital_presence") for s in ("socialMedia", "social_media")]
+    names = {c: [f"~.{c}", *[s + c for s in spots]] for c in CHANNELS[:-1]}
+    names["twitter_x"] = ["~.twitter_x", "~.twitterX", *[s + c for s in spots for c in ("twitterX", "twitter_x")]]
+    social = F.struct(*[F.coalesce(*map(at, places)).alias(c) for c, places in names.items()])
+    known = F.struct(*[c.alias(n) for n, c in {**fields, **lists}.items()], social.alias("social_media"))
+    out = opened.withColumn(name, F.explode(F.array(known))).drop("__base", "__payload")
+    own = F.trim(F.coalesce(F.col(f"{name}.cnpj"), F.col(f"{name}.domain"), F.col(f"{name}.name"), F.lit("")))
+    return out.withColumn(name, F.col(name).withField("company_id", own))
 
 
 def company_tags(c: Column) -> Column:
     """Prefixed slugs of a normalised company in a fixed order, each once."""
-    one = lambda prefix, value: F.when(F.coalesce(slug(value), F.lit("")) != "", F.concat(F.lit(prefix + ":"), slug(value)))
+    one = lambda prefix, value: bind(slug(value), lambda s: F.when(F.coalesce(s, F.lit("")) != "", F.concat(F.lit(prefix + ":"), s)))
     single = [("segment", c["segment"]), ("estimated-segment", c["estimated_segment"]), ("business-model", c["business_model"]), ("company-size", c["company_size"]), ("relationship-rd", c["relationship_rd"]), ("relationship-totvs", c["relationship_totvs"]), ("ecommerce", c["is_ecommerce"].cast("string"))]
     head = F.array(*[one(p, v) for p, v in single])
     social = F.array(*[F.when(F.coalesce(c["social_media"][n], F.lit("")) != "", F.concat(F.lit("channel:"), slug(F.lit(n)))) for n in CHANNELS])

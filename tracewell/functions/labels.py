@@ -7,6 +7,7 @@ import ast
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The 20 labels of the taxonomy, in its order.
 TAXONOMY = [
@@ -31,7 +32,7 @@ def normalize_tags(tags: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(clean, lambda t: t.isNotNull() & (t != ""))))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def literal_list(text: pd.Series) -> pd.Series:
     """List literals that JSON can't read; anything else is null."""
 

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .numbers import to_number
 
@@ -39,7 +40,7 @@ def first_scalar(document: Column, *paths: str) -> Column:
     return F.coalesce(*[F.when(~f.rlike(r"^\s*[\[{]"), f) for f in found])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_fold(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without anything beyond ASCII."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
@@ -65,7 +66,7 @@ def canonical_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_any(text: pd.Series) -> pd.Series:
     """The same for any JSON document; null if it is none."""
 
