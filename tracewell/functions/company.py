@@ -73,17 +73,14 @@ def company_normalize(df: DataFrame, record: str = "record", name: str = "compan
     opened = df.withColumn("__base", F.explode(F.array(base)))
     payload = F.coalesce(filled(get(record, "$.payload")), filled(get("__base", "$.payload")))
     opened = opened.withColumn("__payload", F.explode(F.array(bind(payload, lambda p: F.when(F.trim(p).startswith("{"), p)))))
-    around = F.when(F.col("__payload").isNotNull(), F.col(record)).otherwise(F.col("__base"))
-
-    def at(place: str) -> Column:
-        path = place.replace("~", "$")
-        return F.coalesce(filled(get("__payload", path)), filled(get(around, path)))
-
-    def items(place: str) -> Column:
-        none = F.array().cast("array<string>")
-        return F.coalesce(bind(at(place), lambda t: F.when(t.isNull(), none).otherwise(F.coalesce(F.from_json(t, "array<string>"), F.array(t)))), none)
-
-    one = lambda p: bind(at(p), lambda x: F.when(~x.rlike(r"^\s*[\[{]"), x))
+    opened = opened.withColumn("__around", F.explode(F.array(F.when(F.col("__payload").isNotNull(), F.col(record)).otherwise(F.col("__base")))))
+    # Paths are many, so they are written as SQL, which is quicker to build than columns.
+    once = lambda x, then: f"get(transform(array({x}), x -> {then}), 0)"
+    value = lambda c, p: once(f"get_json_object({c}, '{p.replace('~', '$')}')", "if(coalesce(trim(x), '') in ('', '[]', '{}'), null, x)")
+    spot = lambda p: f"coalesce({value('__payload', p)}, {value('__around', p)})"
+    at = lambda p: F.expr(spot(p))
+    items = lambda p: F.expr(once(spot(p), "if(x is null, cast(array() as array<string>), coalesce(from_json(x, 'array<string>'), array(x)))"))
+    one = lambda p: F.expr(once(spot(p), "if(ltrim(x) like '[%' or ltrim(x) like '{%', null, x)"))
     fields = {n: F.coalesce(*map(one, places)) for n, places in PLACES.items()}
     flags = {n: bind(fields[n], boolean) for n in ("is_ecommerce", "has_blog")}
     shop = bind(fields["estimated_segment"], lambda x: F.when(fold(x) == "ecommerce", True))
@@ -94,7 +91,7 @@ def company_normalize(df: DataFrame, record: str = "record", name: str = "compan
     names["twitter_x"] = ["~.twitter_x", "~.twitterX", *[s + c for s in spots for c in ("twitterX", "twitter_x")]]
     social = F.struct(*[F.coalesce(*map(at, places)).alias(c) for c, places in names.items()])
     known = F.struct(*[c.alias(n) for n, c in {**fields, **lists}.items()], social.alias("social_media"))
-    out = opened.withColumn(name, F.explode(F.array(known))).drop("__base", "__payload")
+    out = opened.withColumn(name, F.explode(F.array(known))).drop("__base", "__payload", "__around")
     own = F.trim(F.coalesce(F.col(f"{name}.cnpj"), F.col(f"{name}.domain"), F.col(f"{name}.name"), F.lit("")))
     return out.withColumn(name, F.col(name).withField("company_id", own))
 
