@@ -126,14 +126,17 @@ def test_summaries_and_tables(spark, tmp_path):
         (tmp_path / folder / "summary.csv").write_text(text)
     got = {r["experiment_id"]: r for r in io.read_summaries(spark, str(tmp_path)).collect()}
     assert (got["run-1"]["runtime"], got["run-1"]["extra"], got["run-2"]["extra"]) == ("ollama", "", "1")
+    assert io.read_summaries(spark, str(tmp_path)).count() == 2
     with pytest.raises(Exception):
         io.read_summaries(spark, str(tmp_path / "none")).collect()
     (tmp_path / "r/json").mkdir(parents=True)
     (tmp_path / "r/json/manifest.json").write_text("{bad")
-    (tmp_path / "r/json/dataset-manifest.json").write_text('{"a": 1}')
+    (tmp_path / "r/json/dataset-manifest.json").write_text('{\n  "a": 1\n}')
     assert {(r["run"], r["kind"], r["error"]) for r in io.read_manifests(spark, str(tmp_path / "r")).collect()} == {("r", "manifest", "invalid JSON"), ("r", "dataset-manifest", None)}
     (tmp_path / "x.json").write_text('{"records": [{"cnpj": "1"}, {"cnpj": "2"}]}')
     assert io.read_company_export(spark, str(tmp_path / "x.json")).count() == 2
+    (tmp_path / "y.json").write_text('[\n  {"cnpj": "1"},\n  {"cnpj": "2"}\n]')
+    assert [r["record"] for r in io.read_company_export(spark, str(tmp_path / "y.json")).collect()] == ['{"cnpj":"1"}', '{"cnpj":"2"}']
     df = spark.createDataFrame([(1, ["é", "b"], "s")], "id int, tags array<string>, split string")
     io.write_table(df, str(tmp_path / "out"), parquet=True)
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out/csv")).first()["tags"] == '["é","b"]'

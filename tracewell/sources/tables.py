@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,16 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_summaries(spark: SparkSession, *roots: str) -> DataFrame:
-    """Every summary.csv below the roots: source_file, experiment_id (the folder, or the one above a folder csv), then the
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all machines see; where that is unset (tests), one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+    return f"{base}/tracewell/{uuid.uuid4().hex}"
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream; the pattern lets the table be one file or a folder of them."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}[.]parquet")
+
+
+def read_summaries(spark: SparkSession, *roots: str, name: str = "summary.csv") -> DataFrame:
+    """Every summary.csv (or other file pattern) below the roots: source_file, experiment_id (the folder, or the one above a folder csv), then the
     sorted union of all columns, as text, missing as ''. No file at all is an error.
 
     Files are grouped by header, a handful of shapes, and each shape is one read."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "summary.csv").option("wholetext", True).text(list(roots))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(list(roots), wholetext=True)
     heads = lines.select(F.col("_metadata.file_path").alias("path"), F.element_at(F.split("value", r"\r?\n"), 1).alias("head"))
     shapes = heads.groupBy("head").agg(F.collect_list("path").alias("paths")).collect()
     if not shapes:
-        raise ValueError("no summary.csv found")
+        raise ValueError(f"no {name} found")
     parts = [spark.read.option("header", True).csv(s["paths"]).withColumn("source_file", F.col("_metadata.file_path")) for s in shapes]
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     folder = F.split("source_file", "/")
@@ -66,7 +79,7 @@ def read_company_export(spark: SparkSession, path: str) -> DataFrame:
     if kind in ("jsonl", "ndjson"):
         return spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("record"))
     if kind == "json":
-        text = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("v"))
+        text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
         many = F.coalesce(F.when(F.col("v").startswith("["), F.from_json("v", "array<string>")), F.from_json(F.get_json_object("v", "$.records"), "array<string>"), F.array("v"))
         return text.select(F.explode(many).alias("record"))
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path) if kind == "csv" else spark.read.parquet(path)
@@ -75,7 +88,7 @@ def read_company_export(spark: SparkSession, path: str) -> DataFrame:
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """run, kind (dataset-manifest or manifest), document, error of every manifest below a folder json; broken JSON is a row."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*manifest.json").option("wholetext", True).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*manifest.json").text(root, wholetext=True)
     place = F.split(F.col("_metadata.file_path"), "/")
     rows = files.select(F.element_at(place, -3).alias("run"), F.element_at(place, -2).alias("folder"), F.regexp_replace(F.element_at(place, -1), r"\.json$", "").alias("kind"), F.col("value").alias("document"))
     rows = rows.where((F.col("folder") == "json") & F.col("kind").isin("dataset-manifest", "manifest"))
