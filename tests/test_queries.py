@@ -23,14 +23,25 @@ def normal(columns, rows):
     return sorted(tuple(show(r[k]) for k in order) for r in rows)
 
 
+#: A fitted model, whose errors SQL can't express; test_operators.py tests it on planted effects.
+NO_SQL = {"m1_latency_regressor"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) == set(SQL) | NO_SQL
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, oracle, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     want = oracle.execute(SQL[name])
     columns = [d[0] for d in want.description]
     assert sorted(df.columns) == sorted(columns)
     assert normal(df.columns, map(tuple, df.collect())) == normal(columns, want.fetchall())
+
+
+def test_model_scores(spark, sf_dir):
+    rows = QUERIES["m1_latency_regressor"](spark, sf_dir).collect()
+    assert sum(r["best"] for r in rows) == 1 and min(r["mae"] for r in rows if r["best"]) == min(r["mae"] for r in rows)
+    # The time to the first token follows the latency, but one request in eleven lacks it: at most 10/11 can be explained.
+    assert max(r["r2"] for r in rows) > 0.5

@@ -1,6 +1,6 @@
 """Registered queries: QUERIES by name, and SQL where it can express one."""
 
-from . import datasets, extra, scoring, telemetry  # noqa: F401
+from . import datasets, extra, scoring, streams, telemetry  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

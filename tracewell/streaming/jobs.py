@@ -5,18 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.intervals import phase_of
 
 
-def correlate(samples: DataFrame, requests: DataFrame, late: str = "10 minutes", longest: str = "1 hour") -> DataFrame:
-    """Samples (experiment_id, sample_id, ts, metric, value) with the requests (start_ts, end_ts, ...) that hold their time.
-    Both sides have watermarks and no request is longer than `longest`, so state is bounded."""
-    a = samples.withWatermark("ts", late).alias("s")
-    b = requests.withWatermark("start_ts", late).alias("r")
-    on = F.expr(f"s.experiment_id = r.experiment_id AND s.ts >= r.start_ts AND s.ts <= r.end_ts AND s.ts <= r.start_ts + INTERVAL {longest}")
+def correlate(samples: DataFrame, requests: DataFrame, late: str = "10 minutes", longest: str = "1 hour", bucket: int = 3600) -> DataFrame:
+    """Samples (experiment_id, sample_id, ts, metric, value) with the requests (request_uid, start_ts, end_ts, first_ts,
+    last_ts) that hold their time. Both sides have watermarks and no request is longer than `longest`, so state is bounded.
+    A request is put in each bucket of so many seconds that it touches, a sample in its own, so that one busy experiment
+    is split by time; a pair still arises once."""
+    place = lambda c: F.floor(F.unix_seconds(c) / bucket)
+    a = samples.withWatermark("ts", late).withColumn("__bucket", place(F.col("ts"))).alias("s")
+    last = F.least(F.col("end_ts"), F.expr(f"start_ts + INTERVAL {longest}"))
+    b = requests.withWatermark("start_ts", late).where("end_ts >= start_ts").withColumn("__bucket", F.explode(F.sequence(place(F.col("start_ts")), place(last)))).alias("r")
+    on = F.expr(f"s.experiment_id = r.experiment_id AND s.__bucket = r.__bucket AND s.ts >= r.start_ts AND s.ts <= r.end_ts AND s.ts <= r.start_ts + INTERVAL {longest}")
     seconds = lambda c: F.col(c).cast("double")
     return a.join(b, on).select("s.experiment_id", "s.sample_id", "s.ts", "s.metric", "s.value", "r.request_uid", phase_of(seconds("s.ts"), seconds("r.first_ts"), seconds("r.last_ts")).alias("observed_phase"))
 
@@ -43,6 +47,27 @@ def upsert_latest(log: DataFrame, path: str, key: str, order: str, checkpoint: s
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def keep_whole(result: DataFrame, path: str, checkpoint: str):
+    """A query whose result is whole after every batch (complete mode), each written as a new version (path/v=batch)."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    return result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def replay(writer) -> None:
+    """Run a query over all that its sources hold now, to the end."""
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def newest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the last version below path; a version without rows follows only others without."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("v")).first()[0]
+    return versions.where(F.col("v") == F.lit(newest)).drop("v")
+
+
 HISTORY = "conv_id long, turn long, messages array<struct<turn:long,role:string,text:string>>"
 
 
@@ -52,7 +77,7 @@ def last_n_history(turns: DataFrame, n: int) -> DataFrame:
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = [tuple(m) for m in state.get[0]] if state.exists else []
         for b in batches:
-            b = b[b.role.isin(["user", "assistant"]) & b.text.notna()]
+            b = b[b.role.isin(["user", "assistant"]) & b.text.notna() & b.turn.notna()]
             held = sorted({*held, *zip(b.turn.astype(int), b.role, b.text, strict=True)})[-n:]
         state.update((held,))
         if held:
