@@ -146,6 +146,24 @@ def test_summaries_and_tables(spark, tmp_path):
     assert io.read_jsonl(spark, str(tmp_path / "lines")).first()["reasons"][0] == "blank request_id"
 
 
+def test_redact_json(spark):
+    def hidden(text, secret=None):
+        return spark.createDataFrame([(text, secret)], "d string, s string").select(tx.redact_json("d", "s")).first()[0]
+
+    assert hidden('{"a": {"Auth-Token": [1]}, "b": ["--token", "--token", "token"]}') == '{"a":{"Auth-Token":"[REDACTED]"},"b":["--token","[REDACTED]","token"]}'
+    assert hidden('["x=S", ["password", {"q": 1}, 2.5, null]]', "S") == '["x=[REDACTED]",["password","[REDACTED]",2.5,null]]'
+    assert (hidden("{oops"), hidden(None), hidden("7"), hidden('"é"')) == (None, None, "7", '"é"')
+
+
+def test_run_inventory(spark):
+    rows = [("a", "manifest", "{bad", "invalid JSON"), ("b", "dataset-manifest", '{"status": "complete"}', None), ("b", "manifest", '{"run": {"status": "FAILED"}}', None)]
+    found = spark.createDataFrame([], "run string, reasons array<string>")
+    got = {r["run"]: r for r in runs.run_inventory(spark.createDataFrame(rows, "run string, kind string, document string, error string"), found).collect()}
+    assert (got["a"]["status"], got["a"]["reasons"]) == ("unknown", ["declared manifest is missing", "manifest is no JSON"])
+    assert (got["b"]["status"], got["b"]["integrity_ok"], got["b"]["included"], got["b"]["exclusion_reasons"]) == ("failed", True, False, '["status=failed"]')
+    assert got["a"]["comparison_id"] != got["b"]["comparison_id"] and len(got["b"]["identity_missing"]) == len(runs.CONTROLS)
+
+
 def test_latency_model(spark):
     df = spark.range(200).select(F.col("id"), (F.col("id") % 3).cast("string").alias("runtime"), (F.col("id") % 17).alias("tokens"), ((F.col("id") % 17) * 2.0 + (F.col("id") % 3) * 50).alias("y"))
     _, scores = fit_latency_regressor(df, "y", ["runtime", "absent"], ["tokens"], "id", trees=20)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column
@@ -184,6 +185,43 @@ def redact_argv(argv: Column, secret: Column) -> Column:
     return F.transform(argv, one)
 
 
+HIDDEN = "[REDACTED]"
+
+
+def hide(value, secret: str | None):
+    """A JSON value of any depth without what sensitive names hold and without the secret; lists count as arguments."""
+    sensitive = lambda name: name.strip().lower().lstrip("-").replace("-", "_") in SENSITIVE
+    if isinstance(value, dict):
+        return {k: HIDDEN if sensitive(k) else hide(v, secret) for k, v in value.items()}
+    if isinstance(value, str):
+        return value.replace(secret, HIDDEN) if secret else value
+    if not isinstance(value, list):
+        return value
+    out, items = [], iter(value)
+    for x in items:
+        name, sign, _ = x.partition("=") if isinstance(x, str) else ("", "", "")
+        if not sensitive(name):
+            out.append(hide(x, secret))
+        elif sign:
+            out.append(f"{name}={HIDDEN}")
+        else:
+            out += [x, *(HIDDEN for _ in islice(items, 1))]  # a bare name stays, and what follows it goes
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def redact_json(documents: pd.Series, secrets: pd.Series) -> pd.Series:
+    """Redacted JSON documents, compact and in their own order; null where the text is null or no JSON."""
+
+    def one(text, secret):
+        try:
+            return None if text is None else json.dumps(hide(json.loads(text), secret), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    return pd.Series([one(d, s) for d, s in zip(documents, secrets, strict=True)], dtype=object)
+
+
 def gpu_inventory(csv: Column) -> Column:
     """array<struct> of device lines with five comma-separated fields; a line of another shape voids the whole text."""
     lines = F.filter(F.split(F.trim(csv), r"\r?\n"), lambda s: F.trim(s) != "")

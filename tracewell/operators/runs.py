@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
-from ..functions.text import canonical_json, fingerprint
+from ..functions.text import cache_flags, canonical_json, fingerprint, first_scalar
 
 #: The sets differ by place.
 OK_STRICT = ["successful", "success", "ok"]
@@ -99,6 +99,58 @@ def integrity(runs: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return runs.withColumn("reasons", reasons).withColumn("included", (F.size("reasons") == 0) & (F.col("status") == "complete"))
 
 
+#: Places of a run's controls in its manifests; what isn't a scalar there counts as its JSON text.
+CONTROLS = {
+    "model": ("$.model_identity.sha256", "$.model_sha256"),
+    "tokenizer": ("$.tokenizer_identity.sha256", "$.tokenizer_sha256"),
+    "context_window": ("$.config.context_window", "$.context_window"),
+    "generation": ("$.config.generation_parameters", "$.generation_parameters"),
+    "workload": ("$.workload.sha256", "$.workload_sha256"),
+    "hardware": ("$.hardware", "$.environment.hardware"),
+}
+DESCRIPTION = {
+    "runtime": ("$.runtime", "$.config.runtime"),
+    "runtime_version": ("$.config.runtime_version", "$.runtime_version"),
+    "model_name": ("$.model", "$.config.model"),
+    "model_revision": ("$.model_identity.resolved_revision", "$.model_revision", "$.revision", "$.config.model_revision"),
+    "started_utc": ("$.started_utc", "$.started_at", "$.metadata.started_utc"),
+    "ended_utc": ("$.ended_utc", "$.ended_at", "$.metadata.ended_utc"),
+}
+
+
+def run_inventory(manifests: DataFrame, found: DataFrame, controls: dict = CONTROLS, description: dict = DESCRIPTION) -> DataFrame:
+    """One row for each discovered run, included or not.
+
+    manifests: run, kind ('dataset-manifest', the declared one, or 'manifest', the final one), document, error. found: run,
+    reasons array<string>, from the integrity rules; a run without a row there has none. Scalars come from the declared
+    document, then the final one. A broken or missing manifest is a reason of its own. Columns: run, status, included,
+    integrity_ok, reasons, comparison_id, identity_missing, the controls, the description, effective argv with its cache
+    flags and digests as JSON, both documents' digests, compatibility_reason, exclusion_reasons (null if included)."""
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    runs = manifests.groupBy("run").agg(of("dataset-manifest", "document").alias("declared"), of("manifest", "document").alias("final"), F.count("error").alias("broken"))
+    runs = runs.join(found.select("run", F.col("reasons").alias("__found")), "run", "left")
+
+    def value(paths: tuple[str, ...], scalar: bool) -> Column:
+        read = first_scalar if scalar else lambda d, *ps: F.coalesce(*[F.get_json_object(d, p) for p in ps])
+        return F.coalesce(read(F.col("declared"), *paths), read(F.col("final"), *paths))
+
+    runs = runs.select("*", *[value(p, False).alias(n) for n, p in controls.items()], *[value(p, True).alias(n) for n, p in description.items()], F.from_json(value(("$.runtime_process.argv", "$.argv"), False), "array<string>").alias("argv"))
+    runs = runs.withColumn("status", run_status(first_scalar(F.col("declared"), "$.status", "$.dataset.status"), first_scalar(F.col("final"), "$.status", "$.run.status")))
+    rules = {"declared manifest is missing": F.col("declared").isNull(), "final manifest is missing": F.col("final").isNull(), "manifest is no JSON": F.col("broken") > 0}
+    own = F.array_compact(F.array(*[F.when(bad, code) for code, bad in rules.items()]))
+    runs = runs.withColumn("reasons", F.concat(own, F.coalesce("__found", F.lit([]).cast("array<string>"))))
+    runs = runs.withColumn("__id", comparison_identity(F.col("run"), {n: F.col(n) for n in controls}))
+    included = (F.size("reasons") == 0) & (F.col("status") == "complete")
+    why = F.concat(F.when(F.col("status") != "complete", F.array(F.concat(F.lit("status="), F.col("status")))).otherwise(F.array().cast("array<string>")), F.col("reasons"))
+    return runs.select(
+        "run", "status", included.alias("included"), (F.size("reasons") == 0).alias("integrity_ok"), "reasons",
+        F.col("__id.comparison_id").alias("comparison_id"), F.col("__id.missing").alias("identity_missing"), *controls, *description,
+        F.to_json("argv").alias("argv_json"), F.sha2(F.to_json("argv"), 256).alias("argv_sha256"), F.to_json(cache_flags(F.col("argv"))).alias("cache_flags_json"),
+        F.sha2("declared", 256).alias("declared_sha256"), F.sha2("final", 256).alias("final_sha256"),
+        compatibility_reason(included, F.col("__id.missing"), F.col("argv").isNotNull()).alias("compatibility_reason"), F.when(~included, F.to_json(why)).alias("exclusion_reasons"),
+    )
+
+
 def collect_table(tables: list[DataFrame], runs: DataFrame, key: str = "run_id") -> DataFrame:
     """Union by name of the same table of several runs, of included runs alone; what a row lacks its run fills in."""
     whole = tables[0]

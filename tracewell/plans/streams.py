@@ -1,9 +1,11 @@
-"""Queries that write files and read them back, replay a table as a stream to its end, or fit a model."""
+"""Queries that write files and read them back, replay a table as a stream to its end, read nested documents, or fit a model."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..operators import runs
 from ..operators.latency_model import fit_latency_regressor
 from ..sources import tables as io
 from ..streaming import jobs
@@ -114,6 +116,42 @@ def st7_sessions(spark, sf):
     return whole(spark, out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n"))
 
 
+@query("""
+, r AS (SELECT 'run-' || run_id AS run, run_id, count(*) AS n, 'm' || (run_id % 2) AS model FROM requests GROUP BY run_id),
+c AS (SELECT *, '{"context_window":"' || (4096 * (1 + run_id % 2)) || '","generation":"{\\"temperature\\":0}","hardware":' || CASE WHEN run_id = 4 THEN 'null' ELSE '"{\\"gpu\\":\\"x\\"}"' END
+    || ',"isolation_key":' || CASE WHEN run_id IN (4, 6) THEN '"' || run || '"' ELSE 'null' END || ',"model":' || CASE WHEN run_id = 6 THEN 'null' ELSE '"' || model || '"' END || ',"tokenizer":"t","workload":"w"}' AS doc FROM r)
+SELECT run, CASE WHEN run_id = 3 THEN 'partial' ELSE 'complete' END AS status, run_id NOT IN (3, 4, 5) AS included, run_id NOT IN (4, 5) AS integrity_ok,
+    CASE run_id WHEN 4 THEN 'final manifest is missing' WHEN 5 THEN 'hash differs' ELSE '' END AS reasons, substr(sha256(doc), 1, 16) AS comparison_id, CASE run_id WHEN 4 THEN 'hardware' WHEN 6 THEN 'model' ELSE '' END AS missing,
+    CAST(4096 * (1 + run_id % 2) AS VARCHAR) AS context_window, 'rt' || (run_id % 3) AS runtime, CASE WHEN run_id <> 4 THEN '[{"flag":"--cache-size","value":"' || n || '"}]' END AS cache_flags_json,
+    CASE run_id WHEN 3 THEN '["status=partial"]' WHEN 4 THEN '["final manifest is missing"]' WHEN 5 THEN '["hash differs"]' END AS exclusion_reasons FROM c
+""")
+def f15_manifest_inventory(spark, sf):
+    """The inventory of runs from their nested manifests: one of partial status, one without a final manifest (hardware and
+    arguments stand there alone), one that fails an integrity rule, and one of an unknown model."""
+    r = base.requests(spark, sf).groupBy("run_id").agg(F.count("*").alias("n"))
+    model = F.when(F.col("run_id") != 6, F.struct(F.concat(F.lit("m"), F.col("run_id") % 2).alias("sha256")))
+    config = F.struct((4096 * (1 + F.col("run_id") % 2)).alias("context_window"), F.struct(F.lit(0).alias("temperature")).alias("generation_parameters"))
+    argv = F.array(F.lit("serve"), F.lit("--cache-size"), F.col("n").cast("string"))
+    declared = F.struct(F.lit("complete").alias("status"), F.concat(F.lit("rt"), F.col("run_id") % 3).alias("runtime"), model.alias("model_identity"), F.lit("t").alias("tokenizer_sha256"), config.alias("config"), F.struct(F.lit("w").alias("sha256")).alias("workload"))
+    status = F.when(F.col("run_id") == 3, "Partial").otherwise("complete")
+    final = F.struct(F.struct(status.alias("status")).alias("run"), F.struct(F.lit("x").alias("gpu")).alias("hardware"), F.struct(argv.alias("argv")).alias("runtime_process"))
+    name = F.concat(F.lit("run-"), F.col("run_id")).alias("run")
+    documents = r.select(name, "run_id", F.explode(F.map_from_arrays(F.array(F.lit("dataset-manifest"), F.lit("manifest")), F.array(F.to_json(declared), F.to_json(F.struct(*[final[k].alias(k) for k in ("run", "hardware", "runtime_process")]))))).alias("kind", "document"))
+    documents = documents.where((F.col("run_id") != 4) | (F.col("kind") != "manifest")).withColumn("error", F.lit(None).cast("string"))
+    found = r.where("run_id = 5").select(name, F.array(F.lit("hash differs")).alias("reasons"))
+    got = runs.run_inventory(documents, found)
+    return got.select("run", "status", "included", "integrity_ok", F.array_join("reasons", ";").alias("reasons"), "comparison_id", F.array_join("identity_missing", ";").alias("missing"), "context_window", "runtime", "cache_flags_json", "exclusion_reasons")
+
+
+@query("""SELECT c_custkey, '{"token":"[REDACTED]","argv":["--hf-token","[REDACTED]","api-key=[REDACTED]","' || c_mktsegment || '"],"deep":[{"Password":"[REDACTED]","note":"by [REDACTED]!"}],"n":' || c_custkey || '}' AS document FROM customer""")
+def x28_redact_json(spark, sf):
+    """Nested documents without secrets: a customer's name is one."""
+    deep = F.array(F.struct(F.lit("p").alias("Password"), F.concat(F.lit("by "), F.col("c_name"), F.lit("!")).alias("note")))
+    argv = F.array(F.lit("--hf-token"), F.lit("abc"), F.lit("api-key=1"), F.col("c_mktsegment"))
+    doc = F.to_json(F.struct(F.struct(F.lit(1).alias("x")).alias("token"), argv.alias("argv"), deep.alias("deep"), F.col("c_custkey").alias("n")))
+    return io.table(spark, sf, "customer").select("c_custkey", tx.redact_json(doc, F.col("c_name")).alias("document"))
+
+
 @query()
 def m1_latency_regressor(spark, sf):
     """Held-out errors of the two ensembles; SQL can't express them."""
