@@ -94,6 +94,18 @@ def test_duplicate_edges(spark):
     assert simhash.near_duplicates(df.limit(0)).collect() == [] == simhash.keep_one(df.limit(0)).collect()
 
 
+def test_keep_one_without_unique_ids(spark):
+    long = "a quite different and much longer text about rivers and hills, number {} of several that share no id at all"
+    rows = [(None, long.format(k) * k, k) for k in range(1, 7)] + [(None, "Copied words stand here", 8), (None, "copied words stand HERE", 9)]
+    rows += [(4, "one text of the id four", 1), (4, "another that is like no other of them", 2), (1, "one text of the id FOUR", 3), (4, "another that is like no other of them", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, root int")
+    want = brute_components({k: brute_fingerprint(t) for k, (_, t, _) in enumerate(rows)})
+    kept = simhash.keep_one(df).collect()
+    place = {(r[0], r[1]): k for k, r in enumerate(rows)}
+    assert len(kept) == len(set(want.values())) == len({want[place[r["doc_id"], r["text"]]] for r in kept})
+    assert sorted(r["text"] for r in kept if r["doc_id"] is not None) == ["another that is like no other of them", "one text of the id FOUR"]
+
+
 def brute_top(rows, k, scale=64):
     ok = [(i, np.floor(np.float64(np.array(v, np.float32)) * scale).astype(object)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []

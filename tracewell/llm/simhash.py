@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches, stored, texts_of
@@ -63,8 +63,8 @@ def links(distinct: DataFrame, distance: int = 2, blocks: int = 5, most: int = 6
     """a, b long: links that join the same fingerprints as all pairs at most `distance` bits apart do.
 
     Fingerprints that share a choice of blocks meet in a bucket; pairs of a bucket are verified by their Hamming
-    distance. In a bucket of over `most` fingerprints pairs would grow with its square; there, each fingerprint is put at
-    all places up to distance / 2 bits away (for an odd distance, that and one more), and those that meet at a place are
+    distance. In a bucket of over `most` fingerprints pairs would grow with its square; there, at a distance of 2 (others
+    raise an error), each fingerprint is put at its own place and at all one bit away, and those that meet at a place are
     linked to the smallest of them and verified to be near: the same links but for pairs joined by them anyway."""
     keyed = distinct.select("__fp", F.posexplode(F.array(*[F.col("__fp").bitwiseAND(F.lit(m)) for m in block_masks(distance, blocks)])).alias("choice", "bucket"))
     crowd = keyed.groupBy("choice", "bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -120,13 +120,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return own.join(named, "__fp").select(id_col, text, "component_id")
 
 
+def row_key(id_col: Column, text: Column) -> Column:
+    """Digest of an id and a text, null told apart from the empty id but not from the empty text."""
+    name = id_col.cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(F.length(name), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(name, F.lit("")), F.coalesce(text, F.lit("")))))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df without those that have a near-duplicate with a smaller id. Rows with the same id in one component
-    are told apart by a digest of their text, then are repeated rows, of which one stays."""
-    known = near_duplicates(df, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("component_id").alias("__component"))
-    first = stored(known.where(F.col("__id").eqNullSafe(F.col("__component"))).groupBy("__id").agg(F.count("*").alias("__n")))
-    kept = df.join(first.hint("merge"), df[id_col].eqNullSafe(F.col("__id")))  # ids grow with the rows: never broadcast
-    if first.where("__n > 1").isEmpty():
-        return kept.select(df.columns)
-    repeated = kept.where("__n > 1").dropDuplicates([id_col]).select(df.columns)
-    return kept.where("__n = 1").select(df.columns).unionByName(repeated)
+    """One row of each component of near-duplicates: that with the smallest id, null last, and of rows with the same id
+    that whose id and text have the smallest digest. Of rows that repeat both one stays, any if other columns differ.
+
+    The choice is made among fingerprints, each with its best row, so copies are one candidate. Chosen rows are found
+    again by their digest: ids need not be unique or known, and no id is a hot key. An empty table gives an empty one."""
+    key = row_key(df[id_col], df[text_col])
+    name = F.struct(df[id_col].isNull().alias("no_id"), df[id_col].alias("id"), key.alias("key"))
+    own = fingerprints(df.select(name.alias("__name"), df[text_col].alias("__text")), "__name", "__text")
+    nodes = stored(own.groupBy("__fp").agg(F.min("__name").alias("__name")))
+    found = components(links(nodes.select("__fp"))).withColumnRenamed("node", "__fp")
+    first = nodes.join(found, "__fp", "left").groupBy(F.coalesce("root", "__fp").alias("root")).agg(F.min("__name").alias("__name"))
+    chosen = stored(first.select(F.col("__name.key").alias("__key"))).hint("merge")  # grows with the rows: never broadcast
+    return df.withColumn("__key", key).join(chosen, "__key").dropDuplicates(["__key"]).select(df.columns)
