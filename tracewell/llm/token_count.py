@@ -17,9 +17,9 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     One row per input row, repeated rows included, whatever their id; a null text counts as empty (0 bytes, 0
     tokens); an empty table gives an empty one. Only the two named columns are read, so others can't clash.
 
-    Each batch is cut at the places where the tokenizer always cuts; the distinct pieces of text found there are
-    counted once, in a cache that lives as long as the worker, and a document's count is the sum over its own. Rows
-    never leave their task: no shuffle, no skew, memory bounded by a batch and the cache."""
+    Each batch is cut at the places where the tokenizer always cuts; the distinct pieces of text found there are counted
+    once for the batch, joined by their index to the pieces of its documents, and summed. Rows never leave their task: no
+    shuffle, no skew, memory bounded by a batch."""
     small_batches(df.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
