@@ -42,16 +42,18 @@ def test_encoder_equals_library(name):
     assert coder.count(pa.array([], pa.string())).tolist() == []
 
 
-@pytest.mark.parametrize("mean", [16, 1024])
-def test_chunks_equal_library(mean):
+@pytest.mark.parametrize("name", [BYTE, WORD])
+@pytest.mark.parametrize("mean", [1, 16, 1024])
+def test_chunks_equal_library(name, mean):
     texts = odd_texts()
-    coder = UnitEncoder(tokenizer_path(WORD))
+    coder = UnitEncoder(tokenizer_path(name))
     off, ids = bpe.ChunkEncoder(coder, mean).encode(pa.array(texts)[3:])
-    lib = library(WORD)
+    lib = library(name)
     want = [e.ids for e in lib.encode_batch_fast(texts[3:], add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip(off, off[1:], strict=False)] == want
     lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
     assert bpe.decode_ids(coder, lists).to_pylist() == [lib.decode(w, skip_special_tokens=False) for w in want]
+    assert bpe.ChunkEncoder(coder, mean).encode(pa.array([], pa.string()))[0].tolist() == [0]
 
 
 def test_chunk_cuts_follow_content():

@@ -37,7 +37,7 @@ class ChunkEncoder:
 
     A chunk is encoded without its first and its last space-delimited unit, since a cut may fall inside a token or next
     to one that would merge across it. Each join is then repaired: the open units on both sides are put together, over as
-    many chunks as it takes to reach a space on either side, and encoded again. There, both sides agree exactly with
+    many chunks as it takes to reach a safe cut on either side, and encoded again. There, both sides agree exactly with
     what stands in the chunks, so the result is that of encoding the whole text."""
 
     def __init__(self, units: UnitEncoder, mean: int = 1024):
@@ -45,7 +45,7 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): text k has ids[offsets[k]:offsets[k + 1]]."""
-        if self.units.kind != "dropped":  # elsewhere a space belongs to the unit after it
+        if self.units.kind == "whole":  # no place is known to be safe
             return self.units.encode(texts)
         texts = pa.concat_arrays([texts])
         at = np.asarray(pa.Array.from_buffers(pa.int32(), len(texts) + 1, [None, texts.buffers()[1]], offset=texts.offset)).astype(np.int64)
@@ -56,7 +56,7 @@ class ChunkEncoder:
         coded = chunks.dictionary_encode()
         which, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
-        lists = pc.split_pattern(distinct, " ")
+        lists = self.units.cut(distinct)
         off = np.asarray(lists.offsets).astype(np.int64)
         n, values = np.diff(off), lists.flatten()
         head, tail = values.take(pa.array(off[:-1])).to_pylist(), values.take(pa.array(off[1:] - 1)).to_pylist()
@@ -90,7 +90,11 @@ class ChunkEncoder:
         bodies = pa.ListArray.from_arrays(pa.array(body_at.astype(np.int32)), pa.array(body_ids))
         row = np.array(order, np.int64)
         row = np.where(row < 0, len(bodies) + joint_row[(-1 - row).clip(0)] if len(joint_row) else row, row)
-        return gather(pa.concat_arrays([bodies, self.units.table(joints.dictionary)]), row, np.concatenate([[0], np.cumsum(sizes)]))
+        first, tables = np.concatenate([[0], np.cumsum(sizes)]), [bodies, self.units.table(joints.dictionary)]
+        if self.units.kind == "spaced":  # the first open unit of a text has no space before it
+            row[first[:-1]] = sum(map(len, tables)) + np.arange(len(texts))
+            tables.append(self.units.by_library([opened[-1 - order[k]] for k in first[:-1]]))
+        return gather(pa.concat_arrays(tables), row, first)
 
 
 def decode_ids(units: UnitEncoder, lists: pa.ListArray) -> pa.Array:
