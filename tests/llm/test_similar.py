@@ -126,3 +126,12 @@ def test_top_k(spark):
         assert got == brute_top(rows, 7)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
     assert topk.top_k(df, F.lit(False)).collect() == []
+
+
+def test_top_k_of_a_repeated_id(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(20, [2.0, 2.0, float(x)]) for x in rnd.random(40)] + [(i, [float(x) for x in rnd.random(3)]) for i in range(100, 120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for tile in (16, 4096):
+        got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") == 20, 7, tile=tile, fan_in=2).collect()))
+        assert got == sorted(x for x in brute_top(rows, 7) if x[0] == 20) and len(got) == 280

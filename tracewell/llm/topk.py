@@ -30,10 +30,10 @@ def select(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list
     """For each row of scores the k highest, ties to the smaller id, without the row's own id: (scores, ids)."""
     out = []
     for row, q in zip(scores.astype(np.float64 if scores.dtype != np.int64 else np.int64), own, strict=True):
-        places = np.arange(len(row))
-        if len(row) > k + 1:
-            places = np.flatnonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1])  # k + 1: its own may be among them
-        places = places[ids[places] != q]
+        places = np.flatnonzero(ids != q)  # first: its id may repeat any number of times
+        if len(places) > k:
+            others = row[places]
+            places = places[others >= np.partition(others, len(others) - k)[len(others) - k]]
         places = places[np.lexsort((ids[places], -row[places]))[:k]]
         out.append((row[places].astype(np.int64), ids[places]))
     return out
