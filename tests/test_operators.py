@@ -9,6 +9,7 @@ from tracewell.functions import company as co
 from tracewell.functions import labels as lb
 from tracewell.functions import numbers
 from tracewell.functions import text as tx
+from tracewell.operators import conversations as cv
 from tracewell.operators import datasets as ds
 from tracewell.operators import intervals as iv
 from tracewell.operators import runs, scoring
@@ -172,3 +173,15 @@ def test_latency_model(spark):
     assert max(r["r2"] for r in rows) > 0.9
     with pytest.raises(ValueError):
         fit_latency_regressor(df.limit(5), "y", ["runtime"], ["tokens"], "id")
+
+
+def test_prompts_of_a_long_conversation(spark, tmp_path):
+    from tracewell.plans import QUERIES
+
+    rows = [(1, 0, "system", "rule")] + [(1, k, "user" if k % 2 else "assistant", "ab") for k in range(1, 1206)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["turn"]: (r["n"], r["chars"]) for r in QUERIES["w9_conversation_prompts"](spark, str(tmp_path)).collect()}
+    assert got == {k: (k + 1, 4 + 2 * k) for k in range(1, 1206, 2)}
+    last = lambda **a: cv.conversation_prompts(turns, **a).where("turn = 1205").first()["messages"]
+    assert len(last()) == 1206 and len(last(most=3)) == 5

@@ -13,16 +13,26 @@ def last_n_messages(turns: DataFrame, n: int, key: str = "conv_id", order: str =
     return ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "role", "text"))).alias("messages"))
 
 
-def conversation_prompts(turns: DataFrame, most: int = 64, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """For each user turn, the messages sent with it: the system message, at most `most` earlier messages, and the turn."""
+def conversation_prompts(turns: DataFrame, most: int | None = None, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """For each user turn, the messages sent with it: the system message, all earlier messages (or the last `most` that are
+    no system messages), and the turn."""
     w = Window.partitionBy(key).orderBy(order)
     system = F.first(F.when(F.col("role") == "system", F.col("text")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    said = F.collect_list(F.when(F.col("role") != "system", F.struct("role", "text"))).over(w.rowsBetween(-most, 0))
-    rows = turns.select(key, order, "role", system.alias("system"), said.alias("said")).where("role = 'user'")
+    spoken = turns.select(key, order, "role", "text", system.alias("system")).where("role <> 'system'")
+    said = F.collect_list(F.struct("role", "text")).over(w.rowsBetween(Window.unboundedPreceding if most is None else -most, 0))
+    rows = spoken.select(key, order, "role", "system", said.alias("said")).where("role = 'user'")
     head = F.when(F.col("system").isNotNull(), F.array(F.struct(F.lit("system").alias("role"), F.col("system").alias("text"))))
     return rows.select(key, order, F.concat(F.coalesce(head, F.filter("said", lambda _: F.lit(False))), "said").alias("messages"))
 
 
+def prompt_sizes(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """key, order, n, chars: rows and characters up to each user turn, by running sums, so no list of messages is built."""
+    w = Window.partitionBy(key).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    known = turns.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(key, order, "role", F.length("text").alias("__chars"))
+    sizes = known.select(key, order, "role", F.count("*").over(w).alias("n"), F.sum("__chars").over(w).alias("chars")).where("role = 'user'")
+    return sizes.groupBy(key, order).agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+
+
 def trim_to_budget(turns: DataFrame, budget: int, tokens: Column, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """key, kept_pairs, dropped_pairs, kept_tokens, over_budget: the oldest pairs of user and assistant go until what is
     left fits; the system message and the last user message always stay, and are over budget if they alone don't fit."""

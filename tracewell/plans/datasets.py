@@ -270,8 +270,7 @@ def w8_last_n_messages(spark, sf):
 
 @query("SELECT a.conv_id, a.turn, count(*) AS n, CAST(sum(length(b.text)) AS BIGINT) AS chars FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn <= a.turn WHERE a.role = 'user' GROUP BY ALL")
 def w9_conversation_prompts(spark, sf):
-    p = cv.conversation_prompts(table(spark, sf, "conversations"), most=1000)
-    return p.select("conv_id", "turn", F.size("messages").cast("long").alias("n"), F.aggregate("messages", F.lit(0), lambda a, m: a + F.length(m["text"])).cast("long").alias("chars"))
+    return cv.prompt_sizes(table(spark, sf, "conversations"))
 
 
 @query("""
