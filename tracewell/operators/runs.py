@@ -186,6 +186,35 @@ def pairing_signature(requests: DataFrame, runtime: str = "runtime") -> DataFram
     return counts.groupBy(runtime).agg(F.count("*").alias("groups"), F.sum("n").alias("requests"), F.sum(part).alias("signature"))
 
 
+def sample_digests(lines: DataFrame) -> DataFrame:
+    """run_id, n, created, sha from run_id, example_id, line, day: rows, first day, and SHA-256 of the lines in the order of
+    their ids. The digest is fed row by row, so no list or text of a run's lines stands anywhere; a run is one task's."""
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        names, held = ["run_id", "n", "created", "sha"], None
+        close = lambda: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([*held[:3], held[3].hexdigest()], (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names)
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is None or held[0] != r[0]:
+                    if held:
+                        yield close()
+                    held = [r[0], 0, None, hashlib.sha256()]
+                if held[1]:
+                    held[3].update(b"\n")
+                held[3].update(r[2].encode())
+                held[1] += 1
+                held[2] = r[3] if held[2] is None else held[2] if r[3] is None else min(held[2], r[3])
+        if held:
+            yield close()
+
+    rows = lines.select("run_id", "example_id", "line", "day").repartition("run_id").sortWithinPartitions("run_id", "example_id", "line")
+    return rows.mapInArrow(run, "run_id string, n long, created string, sha string")
+
+
 def slo(value: Column, threshold: Column, at_most: bool = True) -> Column:
     met = value <= threshold if at_most else value >= threshold
     return F.when(threshold.isNull(), "not defined").when(value.isNull(), "no data").when(met, "pass").otherwise("fail")

@@ -35,9 +35,9 @@ def f17_replay_map(spark, sf):
 
 @query("SELECT model AS run_id, count(*) AS n, min(day) AS created, substr(sha256(string_agg(example_id || '|' || array_to_string(expected, ','), chr(10) ORDER BY example_id)), 1, 12) AS sample_sha FROM tagged GROUP BY model")
 def u5_consolidate_evals(spark, sf):
-    # A run's sample is an evaluation set of bounded size; its digest is defined over the ordered list.
     line = F.concat_ws("|", "example_id", F.array_join("expected", ","))
-    return base.tagged(spark, sf).groupBy(F.col("model").alias("run_id")).agg(F.count("*").alias("n"), F.min("day").alias("created"), F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example_id", line.alias("line")))), lambda x: x["line"]), "\n"), 256), 1, 12).alias("sample_sha"))
+    found = runs.sample_digests(base.tagged(spark, sf).select(F.col("model").alias("run_id"), "example_id", line.alias("line"), "day"))
+    return found.select("run_id", "n", "created", F.substring("sha", 1, 12).alias("sample_sha"))
 
 
 @query("SELECT c_custkey, c_mktsegment AS segment, true AS has_all, false AS has_contacts FROM customer")
