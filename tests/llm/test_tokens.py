@@ -1,6 +1,7 @@
 """Token counts, BPE and token stores against the library itself."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -76,6 +77,62 @@ def test_count_edges(spark):
     assert count_tokens(rows(spark).limit(0), tokenizer_path(BYTE)).collect() == []
 
 
+def changed_file(tmp_path, name, **steps):
+    spec = json.load(open(tokenizer_path(name), encoding="utf-8"))
+    path = tmp_path / "changed.json"
+    path.write_text(json.dumps(spec | steps), encoding="utf-8")
+    return str(path)
+
+
+def test_files_of_other_kinds_are_not_cut(tmp_path):
+    from tokenizers import Tokenizer
+
+    for path in (changed_file(tmp_path, WORD, normalizer=None), changed_file(tmp_path, BYTE, normalizer={"type": "NFD"})):
+        coder, lib = UnitEncoder(path), Tokenizer.from_file(path)
+        assert coder.kind == "whole"
+        texts = ["Hello WORLD and a Word", "", "déjà vu", "x  y"]
+        want = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+        off, ids = coder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(off, off[1:], strict=False)] == want
+
+
+@pytest.mark.parametrize("name", [BYTE, WORD, None])
+def test_count_of_odd_texts(spark, tmp_path, name):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(name) if name else changed_file(tmp_path, WORD, normalizer=None)
+    texts = odd_texts()
+    lib = Tokenizer.from_file(path)
+    want = [(k, len(t.encode()), len(e.ids)) for k, (t, e) in enumerate(zip(texts, lib.encode_batch_fast(texts, add_special_tokens=False), strict=True))]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, block string").repartition(3)
+    assert sorted(map(tuple, count_tokens(df, path).collect())) == want
+
+
+def test_each_key_is_worked_on_once(spark):
+    from tracewell.llm import distinct
+
+    def ask(batches):
+        for batch in batches:
+            for block, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place, asked = distinct.bundles(pa.array([f"{k}" for k in range(n)], pa.string()), 5)
+                assert sorted(place) == list(range(n))
+                for b, d in [(-1, b"own"), *asked]:
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([b], pa.int32()), pa.array([d], pa.binary())], ["block", "bucket", "data"])
+
+    asked = spark.createDataFrame([(1, 40), (2, 60), (3, 0)], "block long, n long").repartition(3).mapInArrow(ask, "block long, bucket int, data binary")
+    seen = spark.sparkContext.accumulator(0)
+
+    def work(keys):
+        seen.add(len(keys))
+        return [k + b"!" for k in keys]
+
+    rows = distinct.answer(asked, 5, work).collect()
+    assert seen.value == 60
+    got = {b: [x for r in rows if r["block"] == b and r["bucket"] >= 0 for x in distinct.unpack(bytes(r["data"])).to_pylist()] for b in (1, 2, 3)}
+    assert {b: sorted(x) for b, x in got.items()} == {b: sorted(f"{k}!".encode() for k in range(n)) for b, n in ((1, 40), (2, 60), (3, 0))}
+    assert [bytes(r["data"]) for r in rows if r["bucket"] < 0] == [b"own"] * 3
+
+
 def test_codec_edges(spark):
     got = bpe.encode_documents(rows(spark), tokenizer_path(WORD)).orderBy("doc_id").collect()
     assert [r["doc_id"] for r in got] == [None, 1, 1, 2, 2, 3]

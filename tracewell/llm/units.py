@@ -32,6 +32,7 @@ SIGNS = r"!-/:-@\[-`{-~"
 WORDS = rf"^[\n\t0-9{LETTERS}{SIGNS}]*[0-9{LETTERS}{SIGNS}][\n\t0-9{LETTERS}{SIGNS}]*$"
 CONTRACTION = rf"'[{LETTERS}]"
 PRETOKEN = rf"[\n\t]*([{LETTERS}]+|[0-9]|[{SIGNS}]+)[\n\t]*"
+OPAQUE = "\x02"  # begins a key that is no pre-token but a stretch of text; pre-tokens hold no control characters
 END = "\x01"  # stands for the end of a word in the engine; no unit that goes there holds it
 
 
@@ -42,6 +43,33 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+#: The steps before merging of the two kinds of file for which cuts at a single space are known to be safe.
+SPACED = {"normalizer": None, "steps": [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}]}
+DROPPED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "steps": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+    ],
+}
+
+
+def known_kind(spec: dict) -> str:
+    """spaced or dropped if the file normalizes and splits exactly as those do, and adds no token that takes in white space
+    or parts of words; else whole."""
+    pre = spec.get("pre_tokenizer") or {}
+    steps = [{k: v for k, v in x.items() if k != "trim_offsets"} for x in pre.get("pretokenizers", [pre]) if x]
+    plain = all(not (x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized")) and not re.search(r"\s", x["content"]) for x in spec.get("added_tokens") or [])
+    for kind, known in (("spaced", SPACED), ("dropped", DROPPED)):
+        if plain and spec["model"].get("type") == "BPE" and spec.get("normalizer") == known["normalizer"] and steps == known["steps"]:
+            return kind
+    return "whole"
+
+
+def byte_char(char: str) -> str:
+    return next(c for c, b in byte_alphabet().items() if b == ord(char))
+
+
 class UnitEncoder:
     """Ids of whole texts as Tokenizer.from_file(path).encode(text, add_special_tokens=False) gives them.
 
@@ -56,15 +84,9 @@ class UnitEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        pre, normal = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        steps = [x["type"] for x in pre.get("pretokenizers", [pre]) if x]
         #: spaced: a unit keeps the space before it. dropped: white space is no part of any token. whole: no cut is known to be safe.
-        self.kind = "whole"
-        if steps == ["ByteLevel"] and pre.get("use_regex") and not pre.get("add_prefix_space") and not normal:
-            self.kind = "spaced"
-        elif steps == ["Split", "ByteLevel"] and pre["pretokenizers"][0].get("behavior") == "Removed":
-            self.kind = "dropped"
-        self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        self.kind = known_kind(spec)
+        self.special = [x["content"] for x in spec.get("added_tokens") or []]
         self.marks = "|".join(sorted({re.escape(x[:2]) for x in self.special})) or "$^"
         self.vocabulary = pa.array([self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())])
         self.engine = self._engine(spec) if self.kind != "whole" else None
@@ -150,6 +172,48 @@ class UnitEncoder:
             table = pa.concat_arrays([table, self.by_library(values.take(pa.array(first[:-1])).to_pylist())])
         return first, row, table
 
+    def pretokens(self, units: pa.Array, before: str) -> pa.ListArray:
+        """The pre-tokens of each distinct unit with `before` in front, as keys of piece_sizes. A unit that may hold a special
+        token, and any text of a file without safe cuts, is one key of its own."""
+        if self.kind == "whole":
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(units) + 1), pa.int32()), pc.binary_join_element_wise(OPAQUE, units, ""))
+        simple = pc.match_substring_regex(units, "^[a-z]+$")  # one pre-token of letters in either kind of file
+        first = (byte_char(" ") if before else "") if self.kind == "spaced" else ""
+        one = pc.binary_join_element_wise(first, units.filter(simple), "")
+        rest, split, normal = units.filter(pc.invert(simple)).to_pylist(), self.library.pre_tokenizer.pre_tokenize_str, self.library.normalizer
+        found = [[OPAQUE + before + x] if any(s in x for s in self.special) else [p for p, _ in split(normal.normalize_str(x) if normal else before + x)] for x in rest]
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(one) + 1), pa.int32()), one), pa.array(found, pa.list_(pa.string()))]
+        return pa.concat_arrays(lists).take(pa.array(order(simple.to_numpy(zero_copy_only=False))))
+
+    def frequencies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """(ends, piece, times, pieces): text k has the pre-tokens pieces[piece[j]] times[j] times for each j from ends[k] to
+        ends[k + 1]; pieces are distinct."""
+        lists = self.cut(texts)
+        first = np.asarray(lists.offsets).astype(np.int64)
+        first = first - first[0]
+        values = lists.flatten()
+        coded = values.dictionary_encode()
+        row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        table = self.pretokens(coded.dictionary, " " if self.kind == "spaced" else "")
+        if self.kind == "spaced" and len(texts):  # no space before the first unit of a text
+            row[first[:-1]] = len(table) + np.arange(len(texts))
+            table = pa.concat_arrays([table, self.pretokens(values.take(pa.array(first[:-1])), "")])
+        inner = table.flatten().dictionary_encode()
+        start, n = np.asarray(table.offsets).astype(np.int64), len(inner.dictionary)
+        key, times = counted(np.repeat(np.arange(len(texts)), np.diff(first)) * len(table) + row)
+        owner, unit = np.divmod(key, max(1, len(table)))
+        each = np.diff(start)[unit]
+        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(start[unit] - start[0], each)
+        piece = inner.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        key, times = counted(np.repeat(owner, each) * max(1, n) + piece[at], np.repeat(times, each))
+        owner, piece = np.divmod(key, max(1, n))
+        return np.searchsorted(owner, np.arange(len(texts) + 1)), piece, times, inner.dictionary
+
+    def piece_sizes(self, pieces: list[str]) -> list[int]:
+        """Number of tokens of each key of pretokens()."""
+        merged = self.library.model.tokenize
+        return [len(self.library.encode(p[1:], add_special_tokens=False)) if p[:1] == OPAQUE else len(merged(p)) for p in pieces]
+
     def count(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text; no ids are made beyond those of the distinct units."""
         if not len(texts):
@@ -166,6 +230,17 @@ class UnitEncoder:
         return gather(table, row, first)
 
 
+def counted(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in ascending order, how often each occurs or the sum of its times)."""
+    if times is None:
+        keys = np.sort(keys)
+    else:
+        by = np.argsort(keys)
+        keys, times = keys[by], times[by]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.diff(np.append(starts, len(keys))) if times is None else np.add.reduceat(times, starts) if len(keys) else times
+
+
 def order(front: np.ndarray) -> np.ndarray:
     """Where each row is once those of `front` have been moved before all others."""
     return np.where(front, np.cumsum(front) - 1, front.sum() + np.cumsum(~front) - 1)
