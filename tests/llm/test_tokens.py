@@ -156,6 +156,69 @@ def test_grammar_round_trip():
         token_store.Shard(b"????" + bytes(40))
 
 
+def most_often(symbols):
+    """The largest number of non-overlapping occurrences of any pair."""
+    last, n = {}, {}
+    for k, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
+        if last.get(pair, -2) < k - 1 or pair[0] != pair[1]:
+            last[pair] = k
+            n[pair] = n.get(pair, 0) + 1
+    return max(n.values(), default=0)
+
+
+def test_grammar_goes_on_to_its_end():
+    rnd = np.random.default_rng(3)
+    cases = [np.zeros(1 << 19, int), np.tile(rnd.integers(0, 50_000, 20_000), 11), rnd.integers(0, 4, 30_000), rnd.integers(0, 300, 5000), np.repeat(rnd.integers(0, 3, 900), rnd.integers(1, 9, 900)), np.array([1, 1, 1, 2, 1, 1, 1])]
+    for ids in cases:
+        rules, symbols = token_store.compress(ids, 50_257)
+        assert most_often(symbols.tolist()) < 2
+        assert len({*map(tuple, rules.tolist())}) == len(rules)
+        ends = np.array([len(ids)])
+        assert (token_store.Shard(token_store.write_shard([1], ends, ids, 50_257)).ids() == ids).all()
+    rules, symbols = token_store.compress(cases[0], 50_257)
+    assert (len(rules), len(symbols)) == (18, 2)
+    rules, symbols = token_store.compress(cases[1], 50_257)
+    assert len(symbols) <= 4
+    assert len(token_store.compress(cases[2], 50_257, rounds=1)[0]) <= 16
+    _, symbols = token_store.compress(cases[3], 50_257, least=5)
+    assert most_often(symbols.tolist()) < 5
+
+
+def test_a_document_is_read_without_the_shard():
+    ids = np.tile(np.random.default_rng(4).integers(0, 50_000, 4096), 64)
+    ends = np.arange(100, len(ids) + 1, 100)
+    shard = token_store.Shard(token_store.write_shard(list(range(len(ends))), ends, ids, 50_257))
+    reads = 0
+
+    class Counted(np.ndarray):
+        def __getitem__(self, k):
+            nonlocal reads
+            reads += 1
+            return super().__getitem__(k)
+
+    shard.length, shard._symbols = shard.length.view(Counted), tuple(x.view(Counted) for x in shard._symbols)
+    for k in (0, 7, 1000, len(ends) - 1):
+        reads = 0
+        assert (shard.document(k) == ids[ends[k] - 100 : ends[k]]).all()
+        assert reads < 600
+
+
+def test_store_with_a_hot_id(spark):
+    texts = [f"text number {k} of one id" for k in range(300)]
+    df = spark.createDataFrame([(None if k % 3 else 5, t) for k, t in enumerate(texts)] + [(9, "last")], "doc_id long, text string").repartition(4)
+    out = token_store.new_store(spark)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # as partitions of many rows aren't put together
+    spark.conf.set(key, "false")
+    try:
+        token_store.write_tokens(df, tokenizer_path(BYTE), out, shard_ids=64)
+    finally:
+        spark.conf.unset(key)
+    assert spark.read.parquet(out).select("part").distinct().count() > 2
+    got = token_store.read_tokens(spark, out).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 200 + [5] * 100 + [9]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+
+
 def test_store_edges(spark):
     out = token_store.new_store(spark)
     token_store.write_tokens(rows(spark), tokenizer_path(BYTE), out, shard_ids=8)

@@ -1,14 +1,16 @@
 """Token ids in shards compressed by a pair grammar, with random access.
 
 A shard is one row of a Parquet table: its place (part, shard), the number of ids before it in its part, and `grammar`,
-the bytes of the format below. All numbers are little-endian.
+the bytes of the format below. All numbers are little-endian; a symbol24 array is the low 16 bits of all its symbols, then
+the high 8 bits of all.
 
-    magic "RPG1", uint32: vocabulary, rules, symbols, documents
-    uint16 left[rules], right[rules]    rule r stands for the symbols left[r] right[r], and has the symbol vocabulary + r
+    magic "RPG2", uint32: vocabulary, rules, symbols, documents
+    symbol24 left[rules], right[rules]  rule r stands for the symbols left[r] right[r], and has the symbol vocabulary + r
     uint32 length[rules]                ids that a rule expands to
-    uint16 symbol[symbols]              the shard's ids after all replacements
+    symbol24 symbol[symbols]            the shard's ids after all replacements
     int64 doc_id[documents], uint8 has_id[documents]
     uint32 end[documents]               ids of the shard up to each document's end
+    uint32 at[documents], skip[documents]   the symbol in which a document begins, and ids of it that come before
 """
 
 from __future__ import annotations
@@ -26,58 +28,137 @@ from pyspark.sql import functions as F
 from .shared import by_bytes, shared_dir, small_batches, texts_of
 from .units import encoder
 
-SYMBOLS = 1 << 16
+SYMBOLS = 1 << 24
 HEAD = "part int, shard int, before long, n_ids long, grammar binary"
 
 
-def compress(ids: np.ndarray, vocabulary: int, rounds: int = 4, least: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs of the rules, symbols): in each round, all pairs that occur `least` times or more, most frequent first, as
-    far as 16-bit symbols go, are replaced at once, from left to right where they overlap."""
-    a, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
-    if vocabulary > SYMBOLS:
-        raise ValueError("the format holds vocabularies of up to 65,536 ids")
-    for k in range(rounds):
-        room = (SYMBOLS - vocabulary - len(rules)) // (rounds - k)
-        if len(a) < 2 or room < 1:
-            break
-        pair = (a[:-1] << np.uint32(16)) | a[1:]
-        slot = (pair * np.uint32(0x9E3779B1)) >> np.uint32(14)
-        often = np.flatnonzero(np.bincount(slot, minlength=1 << 18)[slot] >= least)
-        found, back, n = np.unique(pair[often], return_inverse=True, return_counts=True)
-        kept = np.flatnonzero(n >= least)
-        kept = kept[np.argsort(-n[kept], kind="stable")[:room]]
-        if not len(kept):
-            break
-        symbol = np.zeros(len(found), np.uint32)
-        symbol[kept] = vocabulary + len(rules) + np.arange(len(kept))
-        new = symbol[back]
-        at, new = often[new > 0], new[new > 0]
-        begins = np.concatenate([[True], np.diff(at) > 1])
+def first_of_runs(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """True for the places in `at` (ascending) whose pairs don't overlap an equal pair before: in a run of one symbol,
+    every second place. Places of a run whose pair may be replaced stand in `at` without a gap."""
+    keep = np.ones(len(at), bool)
+    same = np.flatnonzero(a[at] == a[at + 1])
+    if len(same) > 1:
+        place = at[same]
+        begins = np.concatenate([[True], np.diff(place) > 1])
         run = np.flatnonzero(begins)[np.cumsum(begins) - 1]
-        even = (np.arange(len(at)) - run) % 2 == 0
-        at, new = at[even], new[even]
+        keep[same] = (np.arange(len(same)) - run) % 2 == 0
+    return keep
+
+
+def sorted_pairs(left: np.ndarray, right: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the pairs in ascending order, the pairs in that order as left * 2**32 + right)."""
+    wide, places = int(symbols).bit_length(), int(len(left)).bit_length()
+    if 2 * wide + places > 63:
+        pair = (left << 32) | right
+        order = np.argsort(pair)
+        return order, pair[order]
+    packed = np.sort((left << (wide + places)) | (right << places) | np.arange(len(left)))  # sorting alone is faster than ordering
+    pair = packed >> places
+    return packed & ((1 << places) - 1), ((pair >> wide) << 32) | (pair & ((1 << wide) - 1))
+
+
+def compress(ids: np.ndarray, vocabulary: int, rounds: int | None = None, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of the rules, symbols): pairs are replaced by new symbols until none occurs `least` times without overlaps
+    (by default: twice), or for so many rounds.
+
+    The most frequent pair is always replaced wherever it stands. In the same round, so is each pair at the places where it is
+    more frequent than both pairs that overlap it (of equally frequent ones, the greater pair comes first), if there are
+    `least` such places: these replacements don't touch each other. What is left of a pair that has a symbol gets the same
+    symbol in later rounds. Another pair without `least` occurrences gains some only from such a symbol, so only places with
+    pairs that may be replaced, and those beside a replacement, are looked at again, and at the end all of them."""
+    a, rules, n_rules = ids.astype(np.int64), [], 0
+    ruled, ruled_symbol = np.zeros(0, np.int64), np.zeros(0, np.int64)  # pairs that have a symbol, in ascending order
+    live = np.arange(max(0, len(a) - 1))
+    again = False  # has a symbol been used again since all places were looked at?
+    while rounds is None or rounds > 0:
+        if not len(live):
+            if not again:
+                break
+            live, again = np.arange(len(a) - 1), False
+            continue
+        rounds = None if rounds is None else rounds - 1
+        counts_once = first_of_runs(a, live)
+        at, odd = live[counts_once], live[~counts_once]
+        order, sorted_pair = sorted_pairs(a[at], a[at + 1], vocabulary + n_rules)
+        starts = np.flatnonzero(np.concatenate([[True], sorted_pair[1:] != sorted_pair[:-1]]))
+        n = np.diff(np.append(starts, len(at)))
+        group = np.empty(len(at), np.int64)
+        group[order] = np.repeat(np.arange(len(starts)), n)
+        pairs = sorted_pair[starts]
+        symbol = np.zeros(len(n), np.int64)
+        if len(ruled):
+            place = np.minimum(np.searchsorted(ruled, pairs), len(ruled) - 1)
+            symbol = np.where(ruled[place] == pairs, ruled_symbol[place], 0)
+        often = (n >= least)[group] | (symbol > 0)[group]
+        at, group = at[often], group[often]
+        if not len(at):
+            live = odd
+            continue
+        rank = (n << 32) | np.arange(len(n))
+        weight = np.zeros(len(a) + 1, np.int64)  # by place; the last stands before the first
+        weight[at] = rank[group]
+        best = (weight[at] > weight[at - 1]) & (weight[at] > weight[at + 1])
+        times = np.bincount(group[best], minlength=len(n))
+        again |= bool(times[symbol > 0].any())
+        chosen = np.flatnonzero((times >= least) & (symbol == 0))
+        symbol[chosen] = vocabulary + n_rules + np.arange(len(chosen))
+        best &= symbol[group] > 0
+        found = pairs[chosen]
+        rules.append(np.stack([found >> 32, found & 0xFFFFFFFF], 1))
+        n_rules += len(chosen)
+        ruled, ruled_symbol = np.concatenate([ruled, found]), np.concatenate([ruled_symbol, symbol[chosen]])
+        by = np.argsort(ruled)
+        ruled, ruled_symbol = ruled[by], ruled_symbol[by]
+        here, new = at[best], symbol[group[best]]
+        alive = np.zeros(len(a), bool)
+        alive[at] = alive[odd] = True
+        alive[here] = True
+        alive[np.maximum(here - 1, 0)] = True
         keep = np.ones(len(a), bool)
-        a[at], keep[at + 1] = new, False
-        a = a[keep]
-        rules = np.concatenate([rules, np.stack([found[kept] >> np.uint32(16), found[kept] & np.uint32(0xFFFF)], 1)])
-    return rules, a
+        keep[here + 1] = False
+        a[here] = new
+        a, alive = a[keep], alive[keep]
+        live = np.flatnonzero(alive[:-1])
+    if vocabulary + n_rules > SYMBOLS:
+        raise ValueError("the format holds up to 16,777,216 symbols: write smaller shards")
+    return np.concatenate([np.zeros((0, 2), np.int64), *rules]), a
+
+
+def rule_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Ids that each symbol expands to. A rule is made of ids and earlier rules; it waits for those of its own kind only."""
+    length = np.ones(vocabulary + len(rules), np.int64)
+    length[vocabulary:] = 0
+    open_rules = np.arange(len(rules))
+    while len(open_rules):
+        left, right = length[rules[open_rules, 0]], length[rules[open_rules, 1]]
+        known = (left > 0) & (right > 0)
+        length[vocabulary + open_rules[known]] = left[known] + right[known]
+        open_rules = open_rules[~known]
+    return length
+
+
+def symbol24(a: np.ndarray) -> bytes:
+    return (a & 0xFFFF).astype("<u2").tobytes() + (a >> 16).astype("u1").tobytes()
 
 
 def write_shard(docs: list, ends: np.ndarray, ids: np.ndarray, vocabulary: int, **how) -> bytes:
     rules, symbols = compress(ids, vocabulary, **how)
-    length = np.ones(vocabulary + len(rules), np.uint32)
-    for k, (x, y) in enumerate(rules.tolist()):
-        length[vocabulary + k] = length[x] + length[y]
+    length = rule_lengths(rules, vocabulary)
+    stops = np.cumsum(length[symbols])
+    begins = np.concatenate([[0], ends[:-1]]) if len(ends) else np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(stops, begins, side="right"), max(0, len(symbols) - 1))
+    skip = begins - (stops - length[symbols])[at] if len(symbols) else np.zeros(len(begins), np.int64)
     return b"".join([
-        b"RPG1", struct.pack("<4I", vocabulary, len(rules), len(symbols), len(docs)),
-        rules.T.astype("<u2").tobytes(), length[vocabulary:].astype("<u4").tobytes(), symbols.astype("<u2").tobytes(),
-        np.array([x or 0 for x in docs], "<i8").tobytes(), np.array([x is not None for x in docs], np.uint8).tobytes(), ends.astype("<u4").tobytes(),
+        b"RPG2", struct.pack("<4I", vocabulary, len(rules), len(symbols), len(docs)),
+        symbol24(rules[:, 0]), symbol24(rules[:, 1]), length[vocabulary:].astype("<u4").tobytes(), symbol24(symbols),
+        np.array([x or 0 for x in docs], "<i8").tobytes(), np.array([x is not None for x in docs], np.uint8).tobytes(),
+        ends.astype("<u4").tobytes(), at.astype("<u4").tobytes(), skip.astype("<u4").tobytes(),
     ])
 
 
 class Shard:
     def __init__(self, data: bytes):
-        if data[:4] != b"RPG1":
+        if data[:4] != b"RPG2":
             raise ValueError("no shard of token ids")
         self.vocabulary, rules, symbols, docs = struct.unpack_from("<4I", data, 4)
         at = 20
@@ -88,42 +169,62 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.left, self.right, self.length = take("<u2", rules), take("<u2", rules), take("<u4", rules)
-        self.symbols, doc, has = take("<u2", symbols), take("<i8", docs), take("u1", docs)
-        self.docs, self.ends = [int(d) if h else None for d, h in zip(doc, has, strict=True)], take("<u4", docs).astype(np.int64)
-        self._table = None
-
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that symbols stand for, by a table of each rule's expansion."""
-        if self._table is None:
-            table = [struct.pack("<H", k) for k in range(self.vocabulary)]
-            for x, y in zip(self.left.tolist(), self.right.tolist(), strict=True):
-                table.append(table[x] + table[y])
-            off = np.concatenate([[0], np.cumsum(np.fromiter(map(len, table), np.int64, len(table)) // 2)])
-            self._table = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(np.frombuffer(b"".join(table), "<u2")))
-        return self._table.take(pa.array(symbols.astype(np.int32))).flatten().to_numpy()
+        def take24(n: int) -> tuple[np.ndarray, np.ndarray]:
+            return take("<u2", n), take("u1", n)
+
+        self._left, self._right, self.length = take24(rules), take24(rules), take("<u4", rules)
+        self._symbols, doc, has = take24(symbols), take("<i8", docs), take("u1", docs)
+        self.docs = [int(d) if h else None for d, h in zip(doc, has, strict=True)]
+        self.ends, self.at, self.skip = (take("<u4", docs) for _ in range(3))
+
+    @staticmethod
+    def whole(parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return parts[0].astype(np.int64) | (parts[1].astype(np.int64) << 16)
 
     def ids(self) -> np.ndarray:
-        return self.expand(self.symbols)
+        """All ids: symbols are put at their places, and those that are rules replaced there by their two, level by level."""
+        left, right = self.whole(self._left), self.whole(self._right)
+        length = np.concatenate([np.ones(self.vocabulary, np.int64), self.length])
+        symbol = self.whole(self._symbols)
+        stops = np.cumsum(length[symbol])
+        place, out = stops - length[symbol], np.empty(int(stops[-1]) if len(stops) else 0, np.uint32)
+        while len(symbol):
+            rule = symbol >= self.vocabulary
+            out[place[~rule]] = symbol[~rule]
+            r, place = symbol[rule] - self.vocabulary, place[rule]
+            symbol, place = np.concatenate([left[r], right[r]]), np.concatenate([place, place + length[left[r]]])
+        return out
 
     def document(self, k: int) -> np.ndarray:
-        """Ids of the k-th document; only the symbols that it touches are expanded."""
-        start, end = int(self.ends[k - 1]) if k else 0, int(self.ends[k])
-        sizes = np.ones(self.vocabulary + len(self.length), np.int64)
-        sizes[self.vocabulary :] = self.length
-        stops = np.cumsum(sizes[self.symbols])
-        a, b = int(np.searchsorted(stops, start, side="right")), int(np.searchsorted(stops, end, side="left")) + 1
-        base = int(stops[a - 1]) if a else 0
-        return self.expand(self.symbols[a:b])[start - base : end - base]
+        """Ids of the k-th document. Only its own symbols are read, and rules that lie wholly before or after it are passed
+        over by their length: the work follows the document's ids and the depth of the rules, not the shard."""
+        need = int(self.ends[k]) - (int(self.ends[k - 1]) if k else 0)
+        at, skip, out, stack = int(self.at[k]), int(self.skip[k]), [], []
+        one = lambda parts, j: int(parts[0][j]) | (int(parts[1][j]) << 16)
+        while len(out) < need:
+            if not stack:
+                stack.append(one(self._symbols, at))
+                at += 1
+            symbol = stack.pop()
+            r = symbol - self.vocabulary
+            size = 1 if r < 0 else int(self.length[r])
+            if skip >= size:
+                skip -= size
+            elif r < 0:
+                out.append(symbol)
+            else:
+                stack += (one(self._right, r), one(self._left, r))
+        return np.array(out, np.uint32)
 
 
 def write_tokens(df: DataFrame, path: str, out: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_ids: int = 1 << 19) -> None:
     """Encode every whole text by the tokenizer file at `path`, append end_id, and write shards to the Parquet table `out`
-    in ascending order of id_col (null first; equal ids by text). A null text counts as empty and has only its end id; an
-    empty table gives an empty `out`. Repeated rows are kept. Only the two named columns are read.
+    in ascending order of id_col (null first; equal ids by a digest of their text). A null text counts as empty and has
+    only its end id; an empty table gives an empty `out`. Repeated rows are kept. Only the two named columns are read.
 
-    One range shuffle by id orders the texts; each task then encodes its range as a stream and holds one shard, which
-    closes after the first document that fills it. A lost task is done again from the shuffle with the same result."""
+    One range shuffle by id, digest and place orders the texts, so that rows of one id, or of none, are dealt over as many
+    tasks as they need; each task then encodes its range as a stream and holds one shard, which closes after the first
+    document that fills it. A lost task is done again from the shuffle with the same result."""
     small_batches(df.sparkSession)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +260,9 @@ def write_tokens(df: DataFrame, path: str, out: str, id_col: str = "doc_id", tex
         if docs:
             yield close()
 
-    rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
-    rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(shards, HEAD).write.option("compression", "zstd").parquet(out)
+    rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"), F.xxhash64(df[text_col]).alias("digest"), F.monotonically_increasing_id().alias("place"))
+    order = ["id", "digest", "place"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(shards, HEAD).write.option("compression", "zstd").parquet(out)
 
 
 def read_tokens(spark: SparkSession, out: str, id_col: str = "doc_id") -> DataFrame:
@@ -176,7 +278,7 @@ def read_tokens(spark: SparkSession, out: str, id_col: str = "doc_id") -> DataFr
                 shard = Shard(data.as_py())
                 raw = shard.ids().astype("<u4").tobytes()
                 ends = shard.ends.tolist()
-                starts = [0, *ends[:-1]]
+                starts = [0, *ends][: len(ends)]
                 crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(ends), pa.int32()), pa.array(shard.docs, pa.int64()), pa.array(np.array(starts, np.int64) + before), pa.array(np.array(ends, np.int64) - np.array(starts, np.int64)), pa.array(crc, pa.int64())],
