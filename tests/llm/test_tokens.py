@@ -133,6 +133,29 @@ def test_each_key_is_worked_on_once(spark):
     assert [bytes(r["data"]) for r in rows if r["bucket"] < 0] == [b"own"] * 3
 
 
+@pytest.mark.parametrize("name", [BYTE, WORD, None])
+def test_codec_of_odd_texts(spark, tmp_path, name):
+    """Over blocks in several tasks, with chunks that they share; a file without safe cuts too."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(name) if name else changed_file(tmp_path, WORD, normalizer=None)
+    texts = [t + "".join(odd_texts()[3:9]) for t in odd_texts()[:300]] + odd_texts()[-6:]
+    lib = Tokenizer.from_file(path)
+    want = [(k, e.ids, lib.decode(e.ids, skip_special_tokens=False)) for k, e in enumerate(lib.encode_batch_fast(texts, add_special_tokens=False))]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, block string").repartition(3)
+    assert sorted(map(tuple, bpe.encode_documents(df, path, mean_chunk=64).collect())) == want
+
+
+def test_joins_that_do_not_agree_are_refused():
+    units = UnitEncoder(tokenizer_path(BYTE))
+    counts, which, distinct = bpe.cut_texts(pa.array(["one two three four " * 50]), 16)
+    chunks = [bpe.Encoded(x, units.id_type) for x in bpe.encode_chunks(units, distinct.cast(pa.binary()).to_pylist())]
+    for c in chunks:
+        c.last_ids = c.last_ids + 1
+    with pytest.raises(ValueError):
+        bpe.join_chunks(units, counts, which, chunks)
+
+
 def test_codec_edges(spark):
     got = bpe.encode_documents(rows(spark), tokenizer_path(WORD)).orderBy("doc_id").collect()
     assert [r["doc_id"] for r in got] == [None, 1, 1, 2, 2, 3]

@@ -89,6 +89,7 @@ class UnitEncoder:
         self.special = [x["content"] for x in spec.get("added_tokens") or []]
         self.marks = "|".join(sorted({re.escape(x[:2]) for x in self.special})) or "$^"
         self.vocabulary = pa.array([self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())])
+        self.id_type = "<u2" if len(self.vocabulary) <= 1 << 16 else "<u4"
         self.engine = self._engine(spec) if self.kind != "whole" else None
 
     def _engine(self, spec: dict):
