@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import small_batches, stored, texts_of
@@ -83,23 +83,24 @@ def links(distinct: DataFrame, distance: int = 2, blocks: int = 5, most: int = 6
     return pairs.union(places.join(stars, "place").select("a", F.col("__fp").alias("b")).where(F.col("a") < F.col("b")).where(near)).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root long: the smallest node of each node's component, by alternating large and small stars; each round ends
-    in a written table. Nodes without edges don't occur."""
-    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    seen = None
-    for _ in range(rounds):
+def components(edges: DataFrame) -> DataFrame:
+    """node, root long: the smallest node of each node's component, by alternating large and small stars until a round
+    changes nothing (each halves the longest path at least, so about the logarithm of that is enough). A round is two
+    jobs, each of which ends in a written table, and tells by the way whether anything has changed. Nodes without edges
+    don't occur."""
+    edges, seen = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()), None
+    while True:
         both = edges.union(edges.select("v", "u"))
-        lowest = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = stored(both.join(lowest, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        lowest = stored(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.union(lowest.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        told = Observation()
+        after = small.select("e.u", "e.v").where("u > v").distinct()
+        edges = stored(after.observe(told, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")))
+        if told.get == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        seen = now
-    raise RuntimeError("components did not settle")
+        seen = told.get
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
