@@ -44,25 +44,81 @@ def test_completion_finds_the_least_waste():
         room = rnd.randint(0, 70)
         left = {s: sizes.count(s) for s in set(sizes)}
         best = max(sum(c) for n in range(len(sizes) + 1) for c in combinations(sizes, n) if sum(c) <= room)
-        got = packing.completion(room, sorted(left, reverse=True), left, 10_000)
-        assert sum(got) == best
+        got, whole = packing.completion(room, left, None)
+        assert whole and sum(got) == best
         assert all(got.count(s) <= left[s] for s in got)
+    assert packing.completion(23, {10: 3, 7: 3, 4: 3}, 1)[1] is False
+
+
+def fewest(sizes, capacity):
+    """By trying all packings."""
+    sizes, best, rooms = sorted(sizes, reverse=True), len(sizes), []
+
+    def put(k):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(sizes):
+            best = len(rooms)
+            return
+        for j in {r: j for j, r in enumerate(rooms) if r >= sizes[k]}.values():
+            rooms[j] -= sizes[k]
+            put(k + 1)
+            rooms[j] += sizes[k]
+        rooms.append(capacity - sizes[k])
+        put(k + 1)
+        rooms.pop()
+
+    put(0)
+    return best
+
+
+def histogram(sizes):
+    return {s: sizes.count(s) for s in set(sizes)}
+
+
+def test_no_packing_has_fewer_sequences():
+    rnd, above = random.Random(3), 0
+    for _ in range(1500):
+        capacity = rnd.choice((20, 30, 60, 100))
+        sizes = [rnd.randint(max(1, capacity // rnd.choice((3, 5, 10))), capacity * rnd.choice((5, 7, 10)) // 10) for _ in range(rnd.randint(0, 11))]
+        plan = packing.bin_completion(histogram(sizes), capacity, None, None)
+        assert sorted(s for f, n in plan.fillings for s in f * n) == sorted(sizes)
+        assert all(sum(f) <= capacity for f, _ in plan.fillings) and plan.sequences == sum(n for _, n in plan.fillings)
+        assert plan.proved and not plan.cut
+        assert plan.sequences == (least := fewest(sizes, capacity)) and plan.bound <= least
+        above += plan.bound < least
+    assert above > 20  # not all are settled by the bound
+
+
+def test_branching_mends_a_greedy_packing():
+    sizes = [50, 45, 40, 40, 30, 26, 25, 24, 20]
+    assert packing.bin_completion(histogram(sizes), 100, branch_nodes=0).sequences == 4
+    assert packing.bin_completion(histogram(sizes), 100, branch_nodes=0).cut == 1
+    assert packing.bin_completion(histogram(sizes), 100).sequences == 3
 
 
 def test_few_sequences():
     rnd = random.Random(2)
     sizes = [rnd.randint(1, 100) for _ in range(5000)]
-    plan = packing.bin_completion({s: sizes.count(s) for s in set(sizes)}, 100)
-    used = [s for filling, n in plan for s in filling * n]
-    assert sorted(used) == sorted(sizes)
-    # No packing has fewer sequences than this: those over capacity - k stand without pieces of k or more.
-    least = 0
-    for k in range(1, 51):
-        alone, half, rest = ([s for s in sizes if a < s <= b] for a, b in ((100 - k, 100), (50, 100 - k), (k - 1, 50)))
-        least = max(least, len(alone) + len(half) + max(0, -(-(sum(rest) - len(half) * 100 + sum(half)) // 100)))
-    assert least <= sum(n for _, n in plan) <= 1.01 * least
+    plan = packing.bin_completion(histogram(sizes), 100)
+    assert sorted(s for filling, n in plan.fillings for s in filling * n) == sorted(sizes)
+    assert plan.bound <= plan.sequences <= 1.01 * plan.bound
+    assert sum(n for _, n in packing.best_fit_decreasing(histogram(sizes), 100)) <= 1.02 * plan.bound
     big = packing.bin_completion({700: 10**9, 300: 10**9 + 7, 1: 5}, 1000)
-    assert sum(n for _, n in big) == 10**9 + 3 and len(big) < 20
+    assert big.sequences == big.bound == 10**9 + 3 and len(big.fillings) < 20
+    rare = [rnd.randint(1000, 1400) for _ in range(300)]
+    plan = packing.bin_completion(histogram(rare), 4096, 50, 50)
+    assert plan.cut and not plan.proved and plan.sequences >= plan.bound
+
+
+def test_groups_of_a_hot_length(spark):
+    """One length, and one row, that most pieces share."""
+    df = spark.createDataFrame([(5, 0, 100)] * 3000 + [(None, 0, 100)] * 2000 + [(k, 0, 1 + k % 90) for k in range(500)], "doc_id long, piece int, length long")
+    rows = packing.pack(df, 256).collect()
+    n = check_sequences(rows, 256)
+    assert len(rows) == 5500 and n == packing.bin_completion(histogram([r["length"] for r in rows]), 256).sequences
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 5500
 
 
 def test_edges(spark):
