@@ -1,6 +1,7 @@
 """Language and quality models: exact sums on small cases, held-out accuracy on the tables."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -13,41 +14,76 @@ PIECES = tokenizer_path("piece_bpe_32k.model")
 COUNTS = {"en": {"the": 9, "and": 5, "water": 2, "house": 3}, "de": {"der": 9, "und": 5, "wasser": 2, "haus": 3}}
 
 
+def model_of(counts, steps=3):
+    pieces, languages = language.vocabulary(PIECES), sorted(counts)
+    return language.Model(languages, pieces, np.stack([language.fit(list(counts[k]), list(counts[k].values()), pieces, steps) for k in languages], 1), 1e-5)
+
+
 def brute_word(word, model, c):
-    """Sum over all segmentations, by recursion."""
-    index = {int(h): k for k, h in enumerate(model.hashes)}
+    """Sum over all segmentations, in exact fractions, by recursion."""
+    index = {int(h): k for k, h in enumerate(model.pieces.hashes)}
 
     def piece(s):
-        return model.weights[index[h], c] if (h := int(language.code_hash(language.as_codes([s], len(s)))[0, -1])) in index else 0.0
-
-    def rest(at):
-        if at == len(word):
-            return 1.0
-        total = model.unknown * rest(at + 1)
-        for end in range(at + 1, min(len(word), at + language.MOST_LETTERS) + 1):
-            total += piece(("" if at else language.MARK) + word[at:end]) * rest(end)
-        return total
+        return Fraction(float(model.weights[index[h], c])) if (h := int(language.code_hash(language.as_codes([s], len(s)))[0, -1])) in index else 0
 
-    return math.log(rest(0))
+    rest = [Fraction(0)] * len(word) + [Fraction(1)]
+    for at in range(len(word) - 1, -1, -1):
+        rest[at] = Fraction(model.unknown) * rest[at + 1]
+        for end in range(at + 1, min(len(word), at + 40) + 1):
+            rest[at] += piece(("" if at else language.MARK) + word[at:end]) * rest[end]
+    return math.log(rest[0].numerator) - math.log(rest[0].denominator)
 
 
 def test_forward_sums_all_segmentations():
-    model = language.fit(COUNTS, PIECES)
-    words = ["the", "haus", "thewater", "q", "漢字", "", "undhouse"]
+    model = model_of(COUNTS)
+    words = ["the", "haus", "thewater", "q", "漢字", "", "undhouse", "wasser" * 24, "andthe" * 5 + "xq", "hausderwasserund" * 40, "a" * 31, "b" * 32, "c" * 33]
     got = language.word_scores(words, model)
     for k, w in enumerate(words):
         for c in range(2):
-            assert abs(got[k, c] - (brute_word(w, model, c) if w else 0)) < 1e-9
+            assert abs(got[k, c] - (brute_word(w, model, c) if w else 0)) < 1e-7 * max(1, len(w)), w
     assert np.isfinite(language.word_scores(["x" * 5000, "漢" * 200], model)).all()
 
 
+def test_no_piece_of_letters_is_left_out():
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=PIECES)
+    letters = {p for k in range(sp.get_piece_size()) if (p := sp.id_to_piece(k).lower()).removeprefix(language.MARK).isalpha()}
+    found = language.vocabulary(PIECES)
+    assert len(found.hashes) == found.size == len(letters) and max(found.lengths) == max(map(len, letters)) > 13
+
+
+def test_expected_uses_of_long_words():
+    """Each letter of a word lies in one piece, so the letters of all expected pieces and of the unknown add up to its length;
+    a piece's expected uses are the derivative of the log probability by the logarithm of its weight."""
+    model = model_of(COUNTS)
+    for word in ("water", "thewaterandhouse" * 3, "und" * 30):
+        found = language.Forward(language.edges([word], len(word), model.pieces), 1, model.pieces, model.weights[:, :1], model.unknown)
+        uses = np.zeros(len(model.pieces.hashes))
+        found.expected(np.ones(1), uses)
+        for k in np.argsort(-uses)[:5]:
+            moved = model.weights.copy()
+            moved[k] *= 1 + 1e-6
+            more = language.word_scores([word], language.Model(model.languages, model.pieces, moved, model.unknown))[0, 0]
+            slope = (more - language.word_scores([word], model)[0, 0]) / 1e-6
+            assert abs(slope - uses[k]) < 1e-3 * max(1, uses[k])
+
+
 def test_expectation_raises_likelihood():
-    total = [sum(n * language.word_scores([w], language.fit({"en": COUNTS["en"]}, PIECES, steps=s))[0, 0] for w, n in COUNTS["en"].items()) for s in (1, 2, 4)]
+    total = [sum(n * language.word_scores([w], model_of({"en": COUNTS["en"]}, s))[0, 0] for w, n in COUNTS["en"].items()) for s in (1, 2, 4)]
     assert total[0] < total[1] < total[2]
 
 
+def test_sample_is_bounded_whatever_repeats(spark):
+    rows = [("en", f"word{k} the house")for k in range(50)] + [("en", "the same text")] * 500 + [("de", "das haus"), ("xx", "123"), (None, "none"), ("de", None)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    model = language.train(df, PIECES, documents=10)
+    assert model.languages == ["de", "en", "xx"]
+    assert np.allclose(model.weights.sum(0)[:2], 1)
+
+
 def test_language_edges(spark):
-    model = language.fit(COUNTS, PIECES)
+    model = model_of(COUNTS)
     rows = [(1, "Und das Haus, der Wasser!", "en", 1), (2, "the house and the water", None, 2), (3, None, "de", 3), (4, "", "de", 3), (5, "123 !?", "de", 3), (None, "THE AND", "x", 1), (7, "der und " * 20_000, "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     got = {r["doc_id"]: (r["p"]["lang"], r["p"]["score"]) for r in df.select("doc_id", language.predict(F.col("text"), model).alias("p")).collect()}
