@@ -128,6 +128,24 @@ def test_top_k(spark):
     assert topk.top_k(df, F.lit(False)).collect() == []
 
 
+def test_products_beyond_64_bits(spark):
+    from fractions import Fraction
+
+    rnd = np.random.default_rng(9)
+    values = [1e300, -1e300, 1.7e308, 3e9, -3e9, 2.5, -0.3, 0.0, 1e17, 7e15, 1.0]
+    rows = [(i, [float(x) for x in rnd.choice(values, 3)]) for i in range(60)] + [(60, [3e9, 1.0, 0.0]), (61, [3e9, 1.0, 0.0]), (62, [1e300, 1.0, 0.0]), (63, [1e300, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [(lambda y: y.numerator // y.denominator)(Fraction(x) * 64) for x in v] for i, v in rows}
+    long = (1 << 63) - 1
+    want = []
+    for q in ints:
+        if q % 20 == 0:
+            scored = sorted((-min(long, max(-long, sum(x * y for x, y in zip(ints[q], v, strict=True)))), i) for i, v in ints.items() if i != q)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:9])]
+    for tile in (16, 4096):
+        assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, 9, tile=tile, fan_in=2).collect())) == sorted(want)
+
+
 def test_top_k_of_a_repeated_id(spark):
     rnd = np.random.default_rng(5)
     rows = [(20, [2.0, 2.0, float(x)]) for x in rnd.random(40)] + [(i, [float(x) for x in rnd.random(3)]) for i in range(100, 120)]
