@@ -144,3 +144,19 @@ def test_quality_held_out(spark):
     assert len(tested) > 40
     assert sum(p == y for p, y in tested) >= 0.93 * len(tested)
     assert sum(p == y for p, y in tested if y == 1) >= 0.98 * sum(y == 1 for _, y in tested)
+
+
+def test_all_ties_vote():
+    vectors = np.array([[1, 0], [1, 0], [1, 0], [0, 1]], np.float32)
+    for order in ([0, 1, 2, 3], [3, 2, 1, 0], [1, 3, 0, 2]):
+        model = quality.Model(np.zeros(2, np.float32), np.eye(2, dtype=np.float32), vectors[order], np.array([1.0, 0.0, 0.0, 1.0])[order], 1, 4.0)
+        assert np.allclose(model.score(np.array([[5, 0]], np.float32)), 1 / 3)
+
+
+def test_quality_sample_is_bounded_whatever_repeats(spark):
+    docs = spark.createDataFrame([(1, f"text {k} of one id") for k in range(300)] + [(2, "the same")] * 300 + [(k, f"other text {k}") for k in range(3, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 400 + [(2, 0)] * 400 + [(2, 1)] + [(k, k % 2) for k in range(3, 60)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    model = quality.train(docs, labels, sample=40)
+    assert len(model.labels) == 40 and set(model.labels) == {0.0, 1.0}
+    whole = quality.train(docs, labels, sample=10_000)
+    assert len(whole.labels) == 300 + 2 + 57

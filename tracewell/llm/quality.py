@@ -38,9 +38,10 @@ class Model:
         out, k = [], min(self.neighbours, len(self.labels))
         for at in range(0, len(z), 512):
             cosine = z[at : at + 512] @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6).astype(np.float64) ** self.sharpness
-            out.append((weight * self.labels[near]).sum(1) / weight.sum(1))
+            least = np.partition(cosine, len(self.labels) - k, axis=1)[:, len(self.labels) - k]
+            row, near = np.nonzero(cosine >= least[:, None])
+            weight = np.maximum(cosine[row, near], 1e-6).astype(np.float64) ** self.sharpness
+            out.append(np.bincount(row, weight * self.labels[near], len(cosine)) / np.bincount(row, weight, len(cosine)))
         return np.clip(np.concatenate(out), 0, 1) if out else np.zeros(0)
 
 
@@ -94,21 +95,28 @@ def describe(texts: pa.Array) -> np.ndarray:
 
 
 def train(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, dimensions: int = 32, neighbours: int = 10, sharpness: float = 4.0) -> Model:
-    """Fit on about `sample` labelled texts, chosen by a hash of the id; `labels` holds the rows to learn from. Rows with a
-    null id or label teach nothing; an id with several labels counts with each. Without labels every score is 0.5."""
+    """Fit on at most `sample` labelled texts; `labels` holds the rows to learn from. Rows with a null id or label teach
+    nothing; an id with several labels counts with each, one with several texts with each, and repeats count once. Without
+    labels every score is 0.5.
+
+    Labels are chosen by the smallest hashes of id and label (before that, they are drawn by it at a rate that gives twice as
+    many), and of the texts that have these labels again at most `sample` by a hash of the text. So `sample` rows are
+    sent to the tasks, and as many feature vectors to the driver, however often an id repeats in either table."""
     small_batches(df.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
-    rate = sample / max(1, known.count())
-    chosen = known.where(F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1_000_003)) < rate * 1_000_003)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "label")
+    rate = 2 * sample / max(1, known.count())
+    drawn = known.withColumn("draw", F.xxhash64("id", "label", F.lit("quality"))).where(F.pmod("draw", F.lit(1_000_003)) < rate * 1_000_003).dropDuplicates(["id", "label"])
+    chosen = drawn.orderBy("draw", "id", "label").limit(sample).select("id", "label")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "label", F.xxhash64("id", "text").alias("place"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(0))
             for a, b in by_bytes(texts, 2 << 20):
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f2").tobytes() for x in describe(texts[a:b])], pa.binary()), batch.column(1)[a:b]], ["x", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f2").tobytes() for x in describe(texts[a:b])], pa.binary()), batch.column(1)[a:b], batch.column(2)[a:b]], ["x", "label", "place"])
 
-    got = rows.mapInArrow(features, "x binary, label double").toArrow()
+    described = rows.mapInArrow(features, "x binary, label double, place long").dropDuplicates(["place", "label"])
+    got = described.orderBy("place", "label").limit(sample).toArrow()
     y = got.column("label").to_numpy()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), "<f2").reshape(len(y), FEATURES).astype(np.float32)
     order = np.lexsort((*x[:, :: FEATURES // 8].T, y)) if len(y) else np.zeros(0, int)  # the same model however rows arrive
@@ -120,7 +128,8 @@ def train(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
 
 def predict(text: Column, model: Model) -> Column:
-    """double from 0 to 1: the labels of a whole text's nearest labelled neighbours, weighted by a power of the cosine. A
+    """double from 0 to 1: the labels of a whole text's nearest labelled neighbours, weighted by a power of the cosine. All
+    that are as near as the last of them vote too, so ties need no order. A
     null text counts as empty; the empty text is scored like any other."""
 
     @F.arrow_udf("double")
