@@ -22,7 +22,7 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
-def brute_components(fps):
+def brute_components(fps, distance=2):
     """{node: smallest id} over {id: fingerprint}."""
     ids, root = sorted(fps), {k: k for k in fps}
 
@@ -33,7 +33,7 @@ def brute_components(fps):
 
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if (fps[a] ^ fps[b]).bit_count() <= 2:
+            if (fps[a] ^ fps[b]).bit_count() <= distance:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {k: find(k) for k in ids}
@@ -80,6 +80,26 @@ def test_links_in_crowded_buckets(spark):
         assert {g for g in groups(want) if len(g) > 1} == groups(roots)
 
 
+def test_links_at_other_distances(spark):
+    rnd = random.Random(6)
+    base = rnd.getrandbits(64)
+    fps = {k: v for k, v in enumerate({base ^ sum(1 << b for b in rnd.sample(range(14), rnd.choice((2, 3)))) for _ in range(60)} | {rnd.getrandbits(64) for _ in range(20)})}
+    signed = {k: v - (1 << 64) if v >> 63 else v for k, v in fps.items()}
+    df = spark.createDataFrame([(v,) for v in signed.values()], "__fp long")
+    name = {v: k for k, v in signed.items()}
+    for distance, most in ((1, 4), (3, 8)):
+        edges = {(r["a"], r["b"]) for r in simhash.links(df, distance, 5, most=most).collect()}
+        near = {(min(x, y), max(x, y)) for x in signed.values() for y in signed.values() if x != y and ((x ^ y) & (2**64 - 1)).bit_count() <= distance}
+        assert edges <= near and near
+        root = {k: k for k in fps}
+        for a, b in edges:
+            x, y = sorted((root[name[a]], root[name[b]]))
+            root = {k: x if v == y else v for k, v in root.items()}
+        want = brute_components(fps, distance)
+        groups = lambda m: {frozenset(k for k in m if m[k] == r) for r in set(m.values())}
+        assert groups(root) == groups(want)
+
+
 def test_duplicate_edges(spark):
     text = "the quick brown fox jumps over the lazy dog near the river bank"
     rows = [(5, text, "x", 0), (3, text.upper(), "x", 0), (None, text, "y", 1), (7, None, None, 1), (8, "", "x", None), (9, " \n", "x", 2), (5, text, "x", 0), (11, "something else " * 3000, "x", 0)]

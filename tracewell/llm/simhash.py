@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from .shared import small_batches, stored, texts_of
 
 BITS = 64
+#: Choices of blocks by which a fingerprint is put up, at most, when crowded buckets are cut further.
+MOST_KEYS = 200
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -59,28 +62,45 @@ def block_masks(distance: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def keyed_by(distinct: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """__fp, choice, bucket and n, the bucket's fingerprints, where these are several."""
+    masks = F.array(*[F.col("__fp").bitwiseAND(F.lit(m)) for m in block_masks(distance, blocks)])
+    keyed = distinct.select("__fp", F.posexplode(masks).alias("choice", "bucket"))
+    crowd = keyed.groupBy("choice", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    return stored(keyed.join(crowd, ["choice", "bucket"]))
+
+
 def links(distinct: DataFrame, distance: int = 2, blocks: int = 5, most: int = 64) -> DataFrame:
     """a, b long: links that join the same fingerprints as all pairs at most `distance` bits apart do.
 
     Fingerprints that share a choice of blocks meet in a bucket; pairs of a bucket are verified by their Hamming
-    distance. In a bucket of over `most` fingerprints pairs would grow with its square; there, at a distance of 2 (others
-    raise an error), each fingerprint is put at its own place and at all one bit away, and those that meet at a place are
-    linked to the smallest of them and verified to be near: the same links but for pairs joined by them anyway."""
-    keyed = distinct.select("__fp", F.posexplode(F.array(*[F.col("__fp").bitwiseAND(F.lit(m)) for m in block_masks(distance, blocks)])).alias("choice", "bucket"))
-    crowd = keyed.groupBy("choice", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(keyed.join(crowd, ["choice", "bucket"]))
-    few = met.where(F.col("n") <= most)
+    distance. In a bucket of over `most` fingerprints pairs would grow with its square. There, at a distance of 2, each
+    fingerprint is put at its own place and at all one bit away, and those that meet at a place are linked to the smallest of
+    them: all that meet at a place are near, so these are the same links but for pairs joined by them anyway. At other
+    distances they are cut into more blocks, with longer keys, as long as these give no more than MOST_KEYS choices; what
+    is crowded then is compared pair by pair, so the work may grow with the square of such a bucket, but no link is lost."""
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    pairs = few.select("choice", "bucket", F.col("__fp").alias("a")).join(few.select("choice", "bucket", F.col("__fp").alias("b")), ["choice", "bucket"]).where(F.col("a") < F.col("b")).where(near).select("a", "b")
-    crowded = stored(met.where(F.col("n") > most).select("__fp").distinct())
-    if crowded.isEmpty():
-        return pairs.distinct()
-    if distance != 2:
-        raise ValueError("crowded buckets are linked at a distance of 2 only")
+    found = None
+    while True:
+        met = keyed_by(distinct, distance, blocks)
+        finer = min(BITS, 2 * blocks)
+        last = distance != 2 and (finer == blocks or comb(finer, distance) > MOST_KEYS)
+        few = met if last else met.where(F.col("n") <= most)
+        one, two = (few.select("choice", "bucket", F.col("__fp").alias(c)) for c in "ab")
+        pairs = one.join(two, ["choice", "bucket"]).where(F.col("a") < F.col("b")).where(near).select("a", "b")
+        found = pairs if found is None else found.union(pairs)
+        if last:
+            return found.distinct()
+        distinct = stored(met.where(F.col("n") > most).select("__fp").distinct())
+        if distinct.isEmpty():
+            return found.distinct()
+        if distance == 2:
+            break
+        blocks = finer
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(BITS)])
-    places = crowded.select("__fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("__fp")))).alias("place"))
+    places = distinct.select("__fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("__fp")))).alias("place"))
     stars = places.groupBy("place").agg(F.min("__fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return pairs.union(places.join(stars, "place").select("a", F.col("__fp").alias("b")).where(F.col("a") < F.col("b")).where(near)).distinct()
+    return found.union(places.join(stars, "place").select("a", F.col("__fp").alias("b")).where(F.col("a") < F.col("b")).where(near)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
