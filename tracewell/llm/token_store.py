@@ -32,31 +32,38 @@ SYMBOLS = 1 << 24
 HEAD = "part int, shard int, before long, n_ids long, grammar binary"
 
 
-def first_of_runs(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+def first_of_runs(at: np.ndarray, same: np.ndarray) -> np.ndarray:
     """True for the places in `at` (ascending) whose pairs don't overlap an equal pair before: in a run of one symbol,
-    every second place. Places of a run whose pair may be replaced stand in `at` without a gap."""
-    keep = np.ones(len(at), bool)
-    same = np.flatnonzero(a[at] == a[at + 1])
-    if len(same) > 1:
-        place = at[same]
-        begins = np.concatenate([[True], np.diff(place) > 1])
+    every second place. `same` tells which pairs are two of one symbol; those of a run stand in `at` without a gap."""
+    keep, twice = np.ones(len(at), bool), np.flatnonzero(same)
+    if len(twice) > 1:
+        begins = np.concatenate([[True], np.diff(at[twice]) > 1])
         run = np.flatnonzero(begins)[np.cumsum(begins) - 1]
-        keep[same] = (np.arange(len(same)) - run) % 2 == 0
+        keep[twice] = (np.arange(len(twice)) - run) % 2 == 0
     return keep
 
 
 def sorted_pairs(left: np.ndarray, right: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """(places of the pairs in ascending order, the pairs in that order as left * 2**32 + right)."""
     wide, places = int(symbols).bit_length(), int(len(left)).bit_length()
+    left = left.astype(np.int64)
     if 2 * wide + places > 63:
         pair = (left << 32) | right
         order = np.argsort(pair)
         return order, pair[order]
-    packed = np.sort((left << (wide + places)) | (right << places) | np.arange(len(left)))  # sorting alone is faster than ordering
+    packed = np.sort((left << (wide + places)) | (right.astype(np.int64) << places) | np.arange(len(left)))  # sorting alone is faster than ordering
     pair = packed >> places
     return packed & ((1 << places) - 1), ((pair >> wide) << 32) | (pair & ((1 << wide) - 1))
 
 
+SLOTS = 18  # bits of a pair's slot, of which several times as many are had as there are rules
+
+
+def slots_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A slot for each pair; different pairs may share one."""
+    return (left.astype(np.uint32) * np.uint32(0x9E3779B1) ^ right.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOTS)
+
+
 def compress(ids: np.ndarray, vocabulary: int, rounds: int | None = None, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(pairs of the rules, symbols): pairs are replaced by new symbols until none occurs `least` times without overlaps
     (by default: twice), or for so many rounds.
@@ -66,8 +73,11 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int | None = None, least:
     `least` such places: these replacements don't touch each other. What is left of a pair that has a symbol gets the same
     symbol in later rounds. Another pair without `least` occurrences gains some only from such a symbol, so only places with
     pairs that may be replaced, and those beside a replacement, are looked at again, and at the end all of them."""
-    a, rules, n_rules = ids.astype(np.int64), [], 0
+    if vocabulary > SYMBOLS:
+        raise ValueError("the format holds up to 16,777,216 symbols")
+    a, rules, n_rules = ids.astype(np.int32), [], 0
     ruled, ruled_symbol = np.zeros(0, np.int64), np.zeros(0, np.int64)  # pairs that have a symbol, in ascending order
+    ruled_slot = np.zeros(1 << SLOTS, bool)  # slots of those pairs
     live = np.arange(max(0, len(a) - 1))
     again = False  # has a symbol been used again since all places were looked at?
     while rounds is None or rounds > 0:
@@ -77,51 +87,58 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int | None = None, least:
             live, again = np.arange(len(a) - 1), False
             continue
         rounds = None if rounds is None else rounds - 1
-        counts_once = first_of_runs(a, live)
-        at, odd = live[counts_once], live[~counts_once]
-        order, sorted_pair = sorted_pairs(a[at], a[at + 1], vocabulary + n_rules)
-        starts = np.flatnonzero(np.concatenate([[True], sorted_pair[1:] != sorted_pair[:-1]]))
+        left, right = a[live], a[live + 1]
+        once = first_of_runs(live, left == right)
+        at, odd = live[once], live[~once]
+        order, sorted_pair = sorted_pairs(left[once], right[once], vocabulary + n_rules)
+        starts = np.flatnonzero(np.concatenate([[True], sorted_pair[1:] != sorted_pair[:-1]])) if len(at) else np.zeros(0, np.int64)
         n = np.diff(np.append(starts, len(at)))
-        group = np.empty(len(at), np.int64)
-        group[order] = np.repeat(np.arange(len(starts)), n)
         pairs = sorted_pair[starts]
         symbol = np.zeros(len(n), np.int64)
-        if len(ruled):
-            place = np.minimum(np.searchsorted(ruled, pairs), len(ruled) - 1)
-            symbol = np.where(ruled[place] == pairs, ruled_symbol[place], 0)
-        often = (n >= least)[group] | (symbol > 0)[group]
-        at, group = at[often], group[often]
-        if not len(at):
+        known = np.flatnonzero(ruled_slot[slots_of(pairs >> 32, pairs & 0xFFFFFFFF)]) if n_rules else starts[:0]
+        if len(known):
+            place = np.minimum(np.searchsorted(ruled, pairs[known]), len(ruled) - 1)
+            symbol[known] = np.where(ruled[place] == pairs[known], ruled_symbol[place], 0)
+        # Groups that may be replaced, numbered by their weight; an occurrence's group stands at its place.
+        often = np.flatnonzero((n >= least) | (symbol > 0))
+        if not len(often):
             live = odd
             continue
-        rank = (n << 32) | np.arange(len(n))
-        weight = np.zeros(len(a) + 1, np.int64)  # by place; the last stands before the first
-        weight[at] = rank[group]
-        best = (weight[at] > weight[at - 1]) & (weight[at] > weight[at + 1])
-        times = np.bincount(group[best], minlength=len(n))
-        again |= bool(times[symbol > 0].any())
-        chosen = np.flatnonzero((times >= least) & (symbol == 0))
-        symbol[chosen] = vocabulary + n_rules + np.arange(len(chosen))
-        best &= symbol[group] > 0
-        found = pairs[chosen]
+        weight = np.zeros(len(n), np.int32)
+        weight[often[np.argsort(n[often], kind="stable")]] = np.arange(1, len(often) + 1)
+        at_place = np.zeros(len(a) + 1, np.int32)  # the last stands before the first
+        at_place[at[order]] = np.repeat(weight, n)
+        at = np.flatnonzero(at_place)
+        own = at_place[at]
+        best = (own > at_place[at - 1]) & (own > at_place[at + 1])
+        here, own = at[best], own[best]
+        times, by_weight = np.bincount(own, minlength=len(often) + 1), np.zeros(len(often) + 1, np.int64)
+        by_weight[weight[often]] = symbol[often]
+        again |= bool((times * (by_weight > 0)).any())
+        new = np.flatnonzero((times >= least) & (by_weight == 0))
+        by_weight[new] = vocabulary + n_rules + np.arange(len(new))
+        group = np.zeros(len(often) + 1, np.int64)
+        group[weight[often]] = often
+        found = pairs[group[new]]
         rules.append(np.stack([found >> 32, found & 0xFFFFFFFF], 1))
-        n_rules += len(chosen)
-        ruled, ruled_symbol = np.concatenate([ruled, found]), np.concatenate([ruled_symbol, symbol[chosen]])
-        by = np.argsort(ruled)
+        n_rules += len(new)
+        ruled, ruled_symbol = np.concatenate([ruled, np.sort(found)]), np.concatenate([ruled_symbol, by_weight[new][np.argsort(found)]])
+        by = np.argsort(ruled, kind="stable")
         ruled, ruled_symbol = ruled[by], ruled_symbol[by]
-        here, new = at[best], symbol[group[best]]
-        alive = np.zeros(len(a), bool)
-        alive[at] = alive[odd] = True
-        alive[here] = True
+        ruled_slot[slots_of(found >> 32, found & 0xFFFFFFFF)] = True
+        sure = by_weight[own] > 0
+        here, own = here[sure], own[sure]
+        alive = at_place[:-1] > 0
+        alive[odd] = True
         alive[np.maximum(here - 1, 0)] = True
         keep = np.ones(len(a), bool)
         keep[here + 1] = False
-        a[here] = new
+        a[here] = by_weight[own]
         a, alive = a[keep], alive[keep]
         live = np.flatnonzero(alive[:-1])
     if vocabulary + n_rules > SYMBOLS:
         raise ValueError("the format holds up to 16,777,216 symbols: write smaller shards")
-    return np.concatenate([np.zeros((0, 2), np.int64), *rules]), a
+    return np.concatenate([np.zeros((0, 2), np.int64), *rules]), a.astype(np.int64)
 
 
 def rule_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
