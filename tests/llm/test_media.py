@@ -39,6 +39,37 @@ def test_other_files():
             media.demux(data[:cut], t)
 
 
+def test_counts_beyond_the_file():
+    """Every four bytes of a file set to large, small and negative numbers, within bounded memory."""
+    import resource
+
+    payload = bytes(range(256)) * 27
+    data = media.mux(payload[: 576 * 12], keyframe_every=4, chunk_frames=5)
+    soft, hard = resource.getrlimit(resource.RLIMIT_AS)
+    used = int(open("/proc/self/statm").read().split()[0]) * resource.getpagesize()
+    resource.setrlimit(resource.RLIMIT_AS, (used + (256 << 20), hard))
+    try:
+        head = len(data) - 576 * 12
+        for at in range(0, head, 1):
+            for value in (b"\xff\xff\xff\xff", b"\x7f\xff\xff\xff", b"\0\0\0\0", b"\0\0\0\1", b"\0\1\0\0"):
+                broken = data[:at] + value + data[at + 4 :]
+                for t in media.tracks(broken):
+                    assert len(media.demux(broken, t)) == t["sizes"].sum() <= len(broken)
+                    assert len(t["times"]) <= len(t["sizes"]) and (t["offsets"] >= 0).all()
+    finally:
+        resource.setrlimit(resource.RLIMIT_AS, (soft, hard))
+
+
+def test_compact_sizes_and_fragments():
+    sizes = [3, 0, 5, 1]
+    for width, table in ((4, bytes([0x30, 0x51])), (8, bytes(sizes)), (16, struct.pack(">4H", *sizes))):
+        stbl = media.box(b"stbl", media.full(b"stz2", bytes([0, 0, 0, width]), struct.pack(">I", 4), table), media.full(b"stsc", struct.pack(">IIII", 1, 1, 4, 1)), media.full(b"stco", struct.pack(">II", 1, 8)))
+        data = media.box(b"mdat", b"abcdefghi") + media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.full(b"hdlr", bytes(4), b"vide"), media.box(b"minf", stbl)))) + media.box(b"moof")
+        (t,) = media.tracks(data)
+        assert media.demux(data, t) == b"abcdefghi" and t["sizes"].tolist() == sizes
+        assert t["fragmented"] and t["handler"] == "vide"
+
+
 def test_mux_rejects_partial_frames():
     for bad in (b"", b"x" * 575):
         with pytest.raises(ValueError):

@@ -106,10 +106,12 @@ def numbers(data: memoryview, at: int, end: int, kind: str, n: int) -> np.ndarra
 
 def tracks(data: bytes) -> list[dict]:
     """For each track: handler, codec, timescale, duration (ticks), and its samples' byte offsets, sizes, durations and the
-    numbers, from 0, of its sync samples (all, if it has no table of those)."""
-    view, out = memoryview(data), []
+    numbers, from 0, of its sync samples (all, if it has no table of those). Samples of movie fragments aren't read: a file
+    that has some is told by `fragmented` on each track."""
+    view, out, fragmented = memoryview(data), [], False
     for path, at, end in walk(view, 0, len(view)):
         kind = path[-1]
+        fragmented |= kind == b"moof"
         if kind == b"trak":
             out.append({"handler": "", "codec": "", "timescale": 0, "duration": 0})
         if not out or b"trak" not in path:
@@ -122,31 +124,53 @@ def tracks(data: bytes) -> list[dict]:
         elif kind == b"stsd" and end - at >= 16:
             t["codec"] = bytes(view[at + 12 : at + 16]).decode("latin-1")
         elif kind == b"stsz" and end - at >= 12:
-            t["size"], t["n"] = struct.unpack_from(">II", view, at + 4)
-            t["sizes"] = numbers(view, at + 12, end, ">u4", t["n"]) if not t["size"] else np.full(t["n"], t["size"], np.int64)
+            size, n = struct.unpack_from(">II", view, at + 4)
+            t["sizes"] = np.full(min(n, len(view) // size), size, np.int64) if size else numbers(view, at + 12, end, ">u4", n)
+        elif kind == b"stz2" and end - at >= 12:
+            n, width = struct.unpack_from(">I", view, at + 8)[0], view[at + 7]
+            if width in (8, 16):
+                t["sizes"] = numbers(view, at + 12, end, f">u{width // 8}", n)
+            elif width == 4:
+                pairs = numbers(view, at + 12, end, "u1", (n + 1) // 2)
+                t["sizes"] = np.stack([pairs >> 4, pairs & 15], 1).reshape(-1)[:n]
         elif kind in (b"stts", b"stsc", b"stss", b"stco", b"co64") and end - at >= 8:
             width = {b"stts": 2, b"stsc": 3}.get(kind, 1)
             n = struct.unpack_from(">I", view, at + 4)[0] * width
             t[kind.decode()] = numbers(view, at + 8, end, ">u8" if kind == b"co64" else ">u4", n)
     for t in out:
-        sizes = t.get("sizes", np.zeros(0, np.int64))
-        chunk = t.get("co64", t.get("stco", np.zeros(0, np.int64)))
-        runs = t.get("stsc", np.zeros(0, np.int64))
-        runs = runs[: len(runs) // 3 * 3].reshape(-1, 3)
-        per = np.repeat(runs[:, 1], np.diff([*(runs[:, 0] - 1), len(chunk)]).clip(0)) if len(runs) else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(per)), per)[: len(sizes)]
-        sizes = sizes[: len(owner)]
-        before = np.cumsum(sizes) - sizes
-        first = np.searchsorted(owner, np.arange(len(per)))
-        t["sizes"], t["offsets"] = sizes, chunk[owner] + before - before[np.minimum(first, max(0, len(before) - 1))][owner] if len(owner) else np.zeros(0, np.int64)
-        stts = t.get("stts", np.zeros(0, np.int64))
-        stts = stts[: len(stts) // 2 * 2].reshape(-1, 2)
-        t["times"] = np.repeat(stts[:, 1], stts[:, 0])[: len(sizes)]
-        t["sync"] = t["stss"] - 1 if "stss" in t else np.arange(len(sizes))
-        t["sync"] = t["sync"][(t["sync"] >= 0) & (t["sync"] < len(sizes))]
+        lay_out(t, len(view))
+        t["fragmented"] = fragmented
     return out
 
 
+def lay_out(t: dict, file_bytes: int) -> None:
+    """Offsets, sizes, times and sync samples of a track from its tables. Counts are taken from the file, so nothing is
+    expanded before it is held to what the file can have: samples to the chunks' own and to the table of sizes, chunks to the
+    table of offsets. Samples end before the first that doesn't lie in the file, or with which they would be larger than it."""
+    nothing = np.zeros(0, np.int64)
+    sizes, chunk = t.get("sizes", nothing), t.get("co64", t.get("stco", nothing))
+    runs = t.get("stsc", nothing)
+    runs = runs[: len(runs) // 3 * 3].reshape(-1, 3)
+    begin = np.maximum.accumulate(np.append(runs[:, 0] - 1, len(chunk)).clip(0, len(chunk)))
+    per = np.zeros(len(chunk), np.int64)
+    per[begin[0] :] = np.repeat(runs[:, 1], np.diff(begin))
+    stops = np.minimum(np.cumsum(np.minimum(per, len(sizes))), len(sizes))
+    n = int(stops[-1]) if len(stops) else 0
+    owner, sizes = np.searchsorted(stops, np.arange(n), side="right"), sizes[:n]
+    before = np.cumsum(sizes) - sizes
+    firsts = np.minimum(np.concatenate([[0], stops[:-1]]), max(0, n - 1)).astype(np.int64)
+    offsets = chunk[owner] + before - before[firsts[owner]] if n else nothing
+    bad = np.flatnonzero((offsets < 0) | (offsets > file_bytes - sizes) | (before > file_bytes - sizes))
+    n = int(bad[0]) if len(bad) else n
+    stts = t.get("stts", nothing)
+    stts = stts[: len(stts) // 2 * 2].reshape(-1, 2)
+    until = np.minimum(np.cumsum(np.minimum(stts[:, 0], n)), n)
+    sync = t["stss"] - 1 if "stss" in t else np.arange(n)
+    t["offsets"], t["sizes"] = offsets[:n], sizes[:n]
+    t["times"] = np.repeat(stts[:, 1], np.diff(until, prepend=0))
+    t["sync"] = sync[(sync >= 0) & (sync < n)]
+
+
 def demux(data: bytes, track: dict) -> bytes:
     """The track's samples, in order, as they are stored."""
     at, end = track["offsets"], track["offsets"] + track["sizes"]
@@ -174,13 +198,21 @@ def with_media(df: DataFrame, data: Column, name: str = "media") -> DataFrame:
     return df.withColumn(name, run(data.cast("string")))
 
 
-MEDIA = "struct<codec string, handler string, timescale long, duration_s double, n_samples long, keyframes array<struct<start long, end long>>, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long>"
+MEDIA = "struct<tracks int, fragmented boolean, codec string, handler string, timescale long, duration_s double, n_samples long, keyframes array<struct<start long, end long>>, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long>"
+
+
+NO_TRACK = {"codec": "", "handler": "", "timescale": 0, "duration": 0, "fragmented": False, **{k: np.zeros(0, np.int64) for k in ("sizes", "offsets", "sync")}}
+
 
+def probe(media: Column, tail: int = 32, handler: str | None = None) -> Column:
+    """Struct of the first track of ISO media, or of the first with the named handler ("vide", "soun"): number of tracks,
+    whether there are movie fragments (whose samples aren't read), codec, handler, timescale, duration in seconds, samples,
+    the byte range of each keyframe in the file, digests of the file and of the track's samples, and the CRC of the samples'
+    last bytes.
 
-def probe(media: Column, tail: int = 32) -> Column:
-    """Struct of the first track of ISO media: codec, handler, timescale, duration in seconds, samples, the byte range of
-    each keyframe in the file, digests of the file and of the track's samples, and the CRC of the samples' last bytes.
-    Null, empty or broken media give codec '' and no samples; a file that ends early gives the samples it names."""
+    Null, empty or broken media, or none of that handler, give codec '' and no samples. A file that ends early, or whose
+    tables name more than it holds, gives the samples before the first that doesn't lie in it. Memory is bounded by a small
+    multiple of the file, whatever its tables say."""
 
     @F.arrow_udf(MEDIA)
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -188,12 +220,13 @@ def probe(media: Column, tail: int = 32) -> Column:
             rows = []
             for data in column.to_pylist():
                 data = data or b""
-                t = next(iter(tracks(data)), None) or {"codec": "", "handler": "", "timescale": 0, "duration": 0, "sizes": np.zeros(0, int), "offsets": np.zeros(0, int), "sync": np.zeros(0, int)}
+                found = tracks(data)
+                t = next((x for x in found if handler in (None, x["handler"])), NO_TRACK)
                 payload = demux(data, t)
                 starts = t["offsets"][t["sync"]]
                 ranges = [{"start": a, "end": b} for a, b in zip(starts.tolist(), (starts + t["sizes"][t["sync"]]).tolist(), strict=True)]
-                rows.append({"codec": t["codec"], "handler": t["handler"], "timescale": t["timescale"], "duration_s": t["duration"] / t["timescale"] if t["timescale"] else 0.0, "n_samples": len(t["sizes"]), "keyframes": ranges, "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-tail:])})
-            yield pa.array(rows, pa.struct([("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64())]))
+                rows.append({"tracks": len(found), "fragmented": t["fragmented"], "codec": t["codec"], "handler": t["handler"], "timescale": t["timescale"], "duration_s": t["duration"] / t["timescale"] if t["timescale"] else 0.0, "n_samples": len(t["sizes"]), "keyframes": ranges, "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-tail:])})
+            yield pa.array(rows, pa.struct([("tracks", pa.int32()), ("fragmented", pa.bool_()), ("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64())]))
 
     return run(media)
 
