@@ -16,6 +16,7 @@ from .units import UnitEncoder, encoder, gather
 
 #: Bytes that the rolling hash sees; a power of two.
 WINDOW = 16
+LEVEL = 6  # of compression of what is moved: chunks and ids weigh more than the time to compress them
 MULTIPLIER = np.uint32(0x9E3779B1)
 
 
@@ -210,7 +211,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             texts = texts_of(batch.column(1))
             for a, b in by_bytes(texts):
                 counts, which, chunks = cut_texts(texts[a:b], mean_chunk)
-                place, asked = bundles(chunks, buckets)
+                place, asked = bundles(chunks, buckets, LEVEL)
                 ids = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(0)[a:b])
                 for bucket, data, own in ((-1, pack_numbers(counts, place[which]), ids), *((k, x, pa.nulls(1, ids.type)) for k, x in asked)):
                     yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([data], pa.binary()), own], ["block", "bucket", "data", "ids"])
@@ -236,4 +237,4 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             yield from close()
 
     asked = rows.mapInArrow(cut, f"block long, bucket int, data binary, ids array<{kind}>")
-    return answer(asked, buckets, lambda keys: encode_chunks(encoder(path), keys)).mapInArrow(assemble, schema).withColumnRenamed("id", id_col)
+    return answer(asked, buckets, lambda keys: encode_chunks(encoder(path), keys), LEVEL).mapInArrow(assemble, schema).withColumnRenamed("id", id_col)

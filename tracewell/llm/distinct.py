@@ -23,14 +23,14 @@ def bucket_count(df: DataFrame, text_col: str) -> int:
     return max(LEAST_BUCKETS, -(-(df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // BUCKET_BYTES))
 
 
-def pack(items: pa.Array) -> bytes:
-    """Strings or binaries as one compressed piece."""
+def pack(items: pa.Array, level: int = 1) -> bytes:
+    """Strings or binaries as one piece, compressed at a level of zstandard."""
     import zstandard
 
     items = pa.concat_arrays([items.cast(pa.binary())])
     sizes = pc.binary_length(items).to_numpy(zero_copy_only=False).astype("<u4")
     data = items.buffers()[2]
-    return zstandard.ZstdCompressor(1).compress(b"".join((np.array([len(sizes)], "<u4").tobytes(), sizes.tobytes(), data.to_pybytes()[: int(sizes.sum(dtype=np.int64))] if data else b"")))
+    return zstandard.ZstdCompressor(level).compress(b"".join((np.array([len(sizes)], "<u4").tobytes(), sizes.tobytes(), data.to_pybytes()[: int(sizes.sum(dtype=np.int64))] if data else b"")))
 
 
 def unpack(data: bytes) -> pa.BinaryArray:
@@ -51,7 +51,7 @@ def unpack_numbers(data: bytes) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u4").astype(np.int64) for x in unpack(data).to_pylist()]
 
 
-def bundles(keys: pa.Array, buckets: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+def bundles(keys: pa.Array, buckets: int, level: int = 1) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
     """(place of each key once all are ordered by bucket, the bundles in that order) of distinct keys."""
     from xxhash import xxh3_64_intdigest
 
@@ -62,10 +62,10 @@ def bundles(keys: pa.Array, buckets: int) -> tuple[np.ndarray, list[tuple[int, b
     sorted_keys, which = keys.take(pa.array(order)), bucket[order]
     starts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])) if len(which) else np.zeros(0, np.int64)
     stops = np.append(starts[1:], len(which)) if len(which) else starts
-    return place, [(int(which[a]), pack(sorted_keys[a:b])) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+    return place, [(int(which[a]), pack(sorted_keys[a:b], level)) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
 
 
-def answer(rows: DataFrame, buckets: int, work: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+def answer(rows: DataFrame, buckets: int, work: Callable[[list[bytes]], list[bytes]], level: int = 1) -> DataFrame:
     """rows, sorted by block and bucket, in which the data of bundles (bucket from 0) are the packed answers to their keys;
     other rows (bucket -1: a block's own data) pass through. work gets keys that its bucket hasn't had before."""
 
@@ -81,7 +81,7 @@ def answer(rows: DataFrame, buckets: int, work: Callable[[list[bytes]], list[byt
                     keys = unpack(row.column("data")[0].as_py()).to_pylist()
                     new = [x for x in keys if x not in known]
                     known.update(zip(new, work(new), strict=True))
-                    data = pa.array([pack(pa.array([known[x] for x in keys], pa.binary()))], pa.binary())
+                    data = pa.array([pack(pa.array([known[x] for x in keys], pa.binary()), level)], pa.binary())
                     row = row.set_column(row.schema.get_field_index("data"), "data", data)
                 yield row
 
