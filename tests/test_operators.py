@@ -32,6 +32,18 @@ def test_interval_join_and_phases(spark):
         assert got[14.1] == ("later", "request_without_first_content")
 
 
+def test_interval_join_of_repeated_and_null_ids(spark):
+    requests = spark.createDataFrame([("e", "r", 0.0, 10.0, 1.0, 9.0), ("e", "s", 495.0, 499.0, None, None), (None, "n", 0.0, 9e9, None, None)], "experiment_id string, request_uid string, start_s double, end_s double, first_s double, last_s double")
+    rows = [("e", 1, 5.0), ("e", 1, 500.0), ("e", None, 5.0), ("e", None, 600.0), ("e", 1, 5.0), (None, 2, 5.0), ("e", 3, None), ("f", 1, 5.0)]
+    samples = spark.createDataFrame([(*r, "x") for r in rows], "experiment_id string, sample_id int, timestamp_s double, r string").repartition(3)
+    for width in (None, 2.0, 3600.0):
+        got = iv.interval_join(samples, requests, width).collect()
+        assert sorted((str(r["sample_id"]), str(r["timestamp_s"]), str(r["request_uid"])) for r in got) == sorted((str(i), str(t), "r" if e == "e" and t == 5.0 else "None") for e, i, t in rows)
+        assert {r["observed_phase"] for r in got} == {"decode_observed", "outside_request"} and got[0].asDict()["r"] == "x"
+    assert iv.interval_join(samples, requests.limit(0)).count() == len(rows)
+    assert iv.interval_join(samples.limit(0), requests).collect() == []
+
+
 def test_phase_metrics(spark):
     rows = [("r", 1, 10.5, "cpu", 0.2, "gauge"), ("r", 2, 11.5, "cpu", 0.6, "gauge"), ("r", 3, 11.0, "disk", 100.0, "counter"), ("r", 4, 13.0, "disk", 300.0, "counter"), (None, 5, 1.0, "cpu", 9.0, "gauge")]
     df = spark.createDataFrame(rows, "request_uid string, sample_id int, timestamp_s double, metric string, value double, kind string")
@@ -95,6 +107,32 @@ def test_company_envelopes(spark):
     assert canvas[""]["key_partners"] == co.UNKNOWN
 
 
+def test_company_containers_as_text(spark):
+    import json
+
+    inner = {
+        "name": "N",
+        "identity": json.dumps({"description": "d", "receitaFederal": json.dumps({"mainCnae": "62"})}),
+        "technologies": "['Spark', None, ' spark ', 'Flink', True]",
+        "tags": '["a", null, ""]',
+        "cb_tags": "lone",
+        "mopep": {"x": 1},
+        "scores": {"mopep": {"business_model": "B2C", "company_tags": ["no"]}, "porte": {"category": "Micro"}},
+        "company_size": {},
+        "employees": 0,
+        "businessIntelligence": "{'employees': 7, 'competitors': ['X'], 'estimated': None}",
+        "digital_presence": {"domain_details": {"hasBlog": "Sim"}, "social_media": {"twitterX": "", "twitter_x": "t"}},
+    }
+    rows = [(1, json.dumps({"data": json.dumps({"company": inner})})), (2, json.dumps({"domain": "o", "segment": "outer", "payload": {"segment": None, "name": "P"}})), (3, json.dumps({"company": {}, "domain": "x", "payload": "{}"}))]
+    got = {r["k"]: r["company"] for r in co.company_normalize(spark.createDataFrame(rows, "k int, record string")).collect()}
+    c = got[1]
+    assert (c["name"], c["description"], c["main_cnae"], c["business_model"], c["company_size"], c["employees"]) == ("N", "d", "62", None, "Micro", "7")
+    assert (c["technologies"], c["tags"], c["competitors"]) == (["Spark", "Flink", "true"], ["a", "lone"], ["X"])
+    assert c["has_blog"] is True and c["social_media"]["twitter_x"] == "t" and c["company_id"] == "N"
+    assert (got[2]["company_id"], got[2]["name"], got[2]["segment"]) == ("o", "P", None)
+    assert got[3]["domain"] == "x"
+
+
 def test_samples_and_splits(spark):
     df = spark.createDataFrame([(str(k), f"t{k % 40}", ["short", "medium", "heavy"][k % 3]) for k in range(300)], "id string, h string, bucket string")
     pick = lambda d, seed: [r["id"] for r in ds.stratified_hash_sample(d, 4, seed).orderBy("position", "bucket_order").collect()]
@@ -153,7 +191,10 @@ def test_redact_json(spark):
 
     assert hidden('{"a": {"Auth-Token": [1]}, "b": ["--token", "--token", "token"]}') == '{"a":{"Auth-Token":"[REDACTED]"},"b":["--token","[REDACTED]","token"]}'
     assert hidden('["x=S", ["password", {"q": 1}, 2.5, null]]', "S") == '["x=[REDACTED]",["password","[REDACTED]",2.5,null]]'
-    assert (hidden("{oops"), hidden(None), hidden("7"), hidden('"é"')) == (None, None, "7", '"é"')
+    assert (hidden("{oops"), hidden(None), hidden("7"), hidden('"é"'), hidden('"token=1"')) == (None, None, "7", '"é"', '"token=1"')
+    assert hidden('["--token", "token=S", "by S", {"S": "S", "secret": null}]', "S") == '["--token","[REDACTED]","by [REDACTED]",{"S":"[REDACTED]","secret":"[REDACTED]"}]'
+    deep = '{"a":' * 300 + '["token","x"]' + "}" * 300
+    assert hidden(deep) == deep.replace('"x"', '"[REDACTED]"')
 
 
 def test_run_inventory(spark):

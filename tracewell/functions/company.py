@@ -14,33 +14,13 @@ BLOCKS = ["customer_segments", "value_propositions", "channels", "customer_relat
 CHANNELS = ["linkedin", "facebook", "instagram", "tiktok", "pinterest", "youtube", "twitter_x"]
 EVIDENCE = ["description", "segment", "estimated_segment", "business_model", "technologies", "employees", "annual_revenue", "is_ecommerce"]
 PROMPT_FIELDS = ["name", "domain", "description", "main_cnae", "segment", "estimated_segment", "business_model", "company_size", "employees", "sales_team_size", "annual_revenue", "is_ecommerce", "has_blog", "technologies", "tags", "competitors", "social_media"]
-#: Where a scalar field may stand, best place first; ~ is the record without its envelope.
-PLACES = {
-    "cnpj": ["~.cnpj"],
-    "domain": ["~.domain"],
-    "name": ["~.name", "~.identity.name"],
-    "description": ["~.description", "~.identity.description"],
-    "main_cnae": [f"~.{p}.{f}" for p in ("receita_federal", "identity.receitaFederal", "identity.receita_federal") for f in ("main_cnae", "mainCnae", "cnae_principal")],
-    "segment": ["~.segment", "~.businessIntelligence.segment", "~.business_intelligence.segment"],
-    "estimated_segment": ["~.estimated_segment", "~.businessIntelligence.estimated.segment", "~.business_intelligence.estimated.segment"],
-    "business_model": ["~.business_model", *[f"~.{p}.{f}" for p in ("mopep", "scores.mopep") for f in ("business_model", "businessModel")]],
-    "company_size": [f"~.{p}.{f}" for p in ("company_size", "scores.porte") for f in ("company_size_category", "category")],
-    "employees": ["~.employees", *[f"~.{b}.{f}" for b in ("businessIntelligence", "business_intelligence") for f in ("employees", "estimated.employees")]],
-    "sales_team_size": ["~.sales_team_size", "~.businessIntelligence.salesTeamSize", "~.business_intelligence.salesTeamSize"],
-    "annual_revenue": ["~.annual_revenue", "~.estimated_revenue", *[f"~.{b}.estimated.{f}" for b in ("businessIntelligence", "business_intelligence") for f in ("annualRevenue", "annual_revenue")]],
-    "is_ecommerce": ["~.is_ecommerce"],
-    "has_blog": ["~.has_blog", *[f"~.{d}.{e}.hasBlog" for d in ("digitalPresence", "digital_presence") for e in ("domainDetails", "domain_details")]],
-    "relationship_rd": ["~.relationship_rd", "~.crmContext.relationshipRd", "~.crm_context.relationshipRd"],
-    "relationship_totvs": ["~.relationship_totvs", "~.crmContext.relationshipTotvs", "~.crm_context.relationshipTotvs"],
-    "updated_at": ["~.updated_at", "~.enriched_at"],
-}
-#: Where lists stand; all places count.
-LISTS = {
-    "technologies": ["~.technologies", *[f"~.{d}.{e}.technologies" for d in ("digitalPresence", "digital_presence") for e in ("domainDetails", "domain_details")]],
-    "tags": ["~.tags", "~.cb_tags", "~.businessIntelligence.tags", "~.business_intelligence.tags", *[f"~.{p}.{f}" for p in ("mopep", "scores.mopep") for f in ("company_tags", "companyTags")]],
-    "competitors": ["~.competitors", "~.businessIntelligence.competitors", "~.business_intelligence.competitors"],
-    "warnings": ["~._warnings", "~.warnings"],
-}
+#: Fields of a record that are read, besides the channels.
+RAW = [
+    "cnpj", "domain", "name", "description", "segment", "estimated_segment", "business_model", "employees", "sales_team_size", "annual_revenue", "estimated_revenue", "is_ecommerce", "has_blog",
+    "technologies", "tags", "cb_tags", "competitors", "_warnings", "warnings", "relationship_rd", "relationship_totvs", "updated_at", "enriched_at", "sources_metadata", "twitterX",
+    "identity", "digitalPresence", "digital_presence", "businessIntelligence", "business_intelligence", "scores", "mopep", "company_size", "crmContext", "crm_context", "receita_federal",
+]
+OBJECT, LIST = "map<string,string>", "array<string>"
 
 
 def boolean(text: Column) -> Column:
@@ -61,39 +41,108 @@ def distinct_folded(items: Column) -> Column:
 
 
 def filled(text: Column) -> Column:
-    return bind(text, lambda x: F.when(~F.coalesce(F.trim(x), F.lit("")).isin("", "[]", "{}"), x))
+    return F.when(~F.coalesce(F.trim(text), F.lit("")).isin("", "[]", "{}"), text)
+
+
+def either(*texts: Column) -> Column:
+    """The first that isn't empty, zero or false, or else the last as far as it isn't empty."""
+    true = [F.when(~F.lower(F.trim(x)).isin("0", "0.0", "false"), filled(x)) for x in texts[:-1]]
+    return F.coalesce(*true, filled(texts[-1]))
+
+
+def literal_as_json(text: Column) -> Column:
+    """A Python literal as JSON, which may have single quotes here."""
+    name = lambda x, word, to: F.regexp_replace(x, rf"([\[,:{{]\s*){word}(?=\s*[,\]}}])", "$1" + to)
+    return name(name(name(name(text, "None", "null"), "None", "null"), "True", "true"), "False", "false")
+
+
+def container(text: Column, kind: str) -> Column:
+    """An object as map or a list as array, of text: JSON or a Python literal; null if it is neither. Items that are
+    containers themselves stay text, so it is all one whether a container is nested or held as text."""
+    t = F.trim(text)
+    return F.when(t.startswith("{" if kind == OBJECT else "["), F.coalesce(F.from_json(t, kind), F.from_json(literal_as_json(t), kind)))
+
+
+def opened(*texts: Column) -> Column:
+    """The first of the objects that has any fields."""
+    return F.get(F.filter(F.array(*[container(x, OBJECT) for x in texts]), lambda m: F.size(m) > 0), F.lit(0))
+
+
+def listed(*texts: Column) -> Column:
+    """All items of several lists one after another; a scalar is a list of one."""
+    one = lambda x: F.when(filled(x).isNull(), F.array().cast(LIST)).otherwise(F.coalesce(container(x, LIST), F.array(x)))
+    return distinct_folded(F.concat(*map(one, texts)))
+
+
+def scalar(text: Column) -> Column:
+    return F.when(~F.ltrim(text).rlike(r"^[\[{]"), text)
 
 
 def company_normalize(df: DataFrame, record: str = "record", name: str = "company") -> DataFrame:
     """df with a struct of the known fields of a JSON record. The record may stand in data.company or company, and may hold
-    a payload (an object, or its JSON text), whose fields override those around it. A field's first place with a value
-    counts. The steps are kept apart by generators of one row, so no later use computes the fields again."""
-    get = F.get_json_object
-    base = F.coalesce(filled(get(record, "$.data.company")), filled(get(record, "$.company")), F.col(record))
-    opened = df.withColumn("__base", F.explode(F.array(base)))
-    payload = F.coalesce(filled(get(record, "$.payload")), filled(get("__base", "$.payload")))
-    opened = opened.withColumn("__payload", F.explode(F.array(bind(payload, lambda p: F.when(F.trim(p).startswith("{"), p)))))
-    opened = opened.withColumn("__around", F.explode(F.array(F.when(F.col("__payload").isNotNull(), F.col(record)).otherwise(F.col("__base")))))
-    # Paths are many, so they are written as SQL, which is quicker to build than columns.
-    once = lambda x, then: f"get(transform(array({x}), x -> {then}), 0)"
-    value = lambda c, p: once(f"get_json_object({c}, '{p.replace('~', '$')}')", "if(coalesce(trim(x), '') in ('', '[]', '{}'), null, x)")
-    spot = lambda p: f"coalesce({value('__payload', p)}, {value('__around', p)})"
-    at = lambda p: F.expr(spot(p))
-    items = lambda p: F.expr(once(spot(p), "if(x is null, cast(array() as array<string>), coalesce(from_json(x, 'array<string>'), array(x)))"))
-    one = lambda p: F.expr(once(spot(p), "if(ltrim(x) like '[%' or ltrim(x) like '{%', null, x)"))
-    fields = {n: F.coalesce(*map(one, places)) for n, places in PLACES.items()}
-    flags = {n: bind(fields[n], boolean) for n in ("is_ecommerce", "has_blog")}
-    shop = bind(fields["estimated_segment"], lambda x: F.when(fold(x) == "ecommerce", True))
-    fields |= {"is_ecommerce": F.coalesce(flags["is_ecommerce"], shop), "has_blog": flags["has_blog"]}
-    lists = {n: distinct_folded(F.concat(*map(items, places))) for n, places in LISTS.items()}
-    spots = [f"~.{d}.{s}." for d in ("digitalPresence", "digital_presence") for s in ("socialMedia", "social_media")]
-    names = {c: [f"~.{c}", *[s + c for s in spots]] for c in CHANNELS[:-1]}
-    names["twitter_x"] = ["~.twitter_x", "~.twitterX", *[s + c for s in spots for c in ("twitterX", "twitter_x")]]
-    social = F.struct(*[F.coalesce(*map(at, places)).alias(c) for c, places in names.items()])
-    known = F.struct(*[c.alias(n) for n, c in {**fields, **lists}.items()], social.alias("social_media"))
-    out = opened.withColumn(name, F.explode(F.array(known))).drop("__base", "__payload", "__around")
+    a payload, whose fields override those around it. Containers may be JSON text or Python literals. Of several places of a
+    container the first that has any fields counts, of several places of a field the first with a value in those.
+
+    Each document is parsed once, level by level, into a map of its fields; every step is a projection of its own."""
+    at = lambda m, k: F.col(m)[k]
+    out = df.withColumn("__outer", container(F.col(record), OBJECT)).withColumn("__data", container(at("__outer", "data"), OBJECT))
+    out = out.withColumn("__company", opened(at("__data", "company"), at("__outer", "company")))
+    out = out.withColumn("__payload", opened(at("__outer", "payload"), F.coalesce("__company", "__outer")["payload"]))
+    out = out.withColumn("__base", F.when(F.col("__payload").isNotNull(), F.col("__outer")).otherwise(F.coalesce("__company", "__outer")))
+    over = lambda k: F.when(F.coalesce(F.map_contains_key("__payload", F.lit(k)), F.lit(False)), at("__payload", k)).otherwise(at("__base", k)).alias(k)
+    out = out.withColumn("__raw", F.struct(*map(over, [*RAW, *CHANNELS])))
+    raw = lambda k: F.col("__raw")[k]
+    out = out.withColumns({
+        "__identity": container(raw("identity"), OBJECT),
+        "__digital": container(either(raw("digitalPresence"), raw("digital_presence")), OBJECT),
+        "__business": container(either(raw("businessIntelligence"), raw("business_intelligence")), OBJECT),
+        "__scores": container(raw("scores"), OBJECT),
+        "__crm": container(either(raw("crmContext"), raw("crm_context")), OBJECT),
+    })
+    out = out.withColumns({
+        "__details": container(either(at("__digital", "domainDetails"), at("__digital", "domain_details")), OBJECT),
+        "__social": container(either(at("__digital", "socialMedia"), at("__digital", "social_media")), OBJECT),
+        "__estimated": container(at("__business", "estimated"), OBJECT),
+        "__mopep": opened(raw("mopep"), at("__scores", "mopep")),
+        "__porte": opened(raw("company_size"), at("__scores", "porte")),
+        "__receita": opened(raw("receita_federal"), either(at("__identity", "receitaFederal"), at("__identity", "receita_federal"))),
+    })
+    estimated_segment = either(raw("estimated_segment"), at("__estimated", "segment"))
+    fields = {
+        "cnpj": filled(raw("cnpj")),
+        "domain": filled(raw("domain")),
+        "name": either(raw("name"), at("__identity", "name")),
+        "description": either(raw("description"), at("__identity", "description")),
+        "main_cnae": either(at("__receita", "main_cnae"), at("__receita", "mainCnae"), at("__receita", "cnae_principal")),
+        "segment": either(raw("segment"), at("__business", "segment")),
+        "estimated_segment": estimated_segment,
+        "business_model": either(raw("business_model"), at("__mopep", "business_model"), at("__mopep", "businessModel")),
+        "company_size": either(at("__porte", "company_size_category"), at("__porte", "category")),
+        "employees": either(raw("employees"), at("__business", "employees"), at("__estimated", "employees")),
+        "sales_team_size": either(raw("sales_team_size"), at("__business", "salesTeamSize")),
+        "annual_revenue": either(F.coalesce(filled(raw("annual_revenue")), filled(raw("estimated_revenue"))), at("__estimated", "annualRevenue"), at("__estimated", "annual_revenue")),
+        "relationship_rd": either(raw("relationship_rd"), at("__crm", "relationshipRd")),
+        "relationship_totvs": either(raw("relationship_totvs"), at("__crm", "relationshipTotvs")),
+        "updated_at": F.coalesce(filled(raw("updated_at")), filled(raw("enriched_at"))),
+    }
+    shop = F.when(fold(estimated_segment) == "ecommerce", True)
+    social = {c: either(raw(c), at("__social", c)) for c in CHANNELS[:-1]}
+    social["twitter_x"] = either(F.coalesce(filled(raw("twitter_x")), filled(raw("twitterX"))), at("__social", "twitterX"), at("__social", "twitter_x"))
+    known = {
+        **{n: scalar(c) for n, c in fields.items()},
+        "is_ecommerce": F.coalesce(boolean(raw("is_ecommerce")), shop),
+        "has_blog": F.coalesce(boolean(raw("has_blog")), boolean(at("__details", "hasBlog"))),
+        "technologies": listed(raw("technologies"), at("__details", "technologies")),
+        "tags": listed(raw("tags"), raw("cb_tags"), at("__business", "tags"), at("__mopep", "company_tags"), at("__mopep", "companyTags")),
+        "competitors": listed(raw("competitors"), at("__business", "competitors")),
+        "warnings": listed(raw("_warnings"), raw("warnings")),
+        "sources_metadata": F.when(container(raw("sources_metadata"), OBJECT).isNotNull(), filled(raw("sources_metadata"))),
+        "social_media": F.struct(*[scalar(c).alias(n) for n, c in social.items()]),
+    }
+    out = out.withColumn(name, F.struct(*[c.alias(n) for n, c in known.items()]))
     own = F.trim(F.coalesce(F.col(f"{name}.cnpj"), F.col(f"{name}.domain"), F.col(f"{name}.name"), F.lit("")))
-    return out.withColumn(name, F.col(name).withField("company_id", own))
+    # A generator of one row keeps the fields from being computed again for each later use.
+    return out.select(*df.columns, F.explode(F.array(F.col(name).withField("company_id", own))).alias(name))
 
 
 def company_tags(c: Column) -> Column:

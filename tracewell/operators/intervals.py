@@ -13,23 +13,36 @@ def phase_of(t: Column, first: Column, last: Column) -> Column:
     return F.when(first.isNull(), "request_without_first_content").when(t < first, "prefill_observed").when(last.isNull() | (t <= last), "decode_observed").otherwise("response_close")
 
 
-def interval_join(samples: DataFrame, requests: DataFrame, width_s: float = 3600.0, key: str = "experiment_id") -> DataFrame:
+def bucket_width(spans: DataFrame) -> float:
+    """Mean length of the intervals: then all of them together touch at most three times as many buckets as they are."""
+    mean = None if spans.isStreaming else spans.agg(F.avg(F.col("end_s") - F.col("start_s"))).first()[0]
+    return max(1e-3, mean) if mean is not None else 3600.0
+
+
+def interval_join(samples: DataFrame, requests: DataFrame, width_s: float | None = None, key: str = "experiment_id") -> DataFrame:
     """Every sample with the request of its key that holds its time, ends included; of several the one that starts first
     (then the smaller request_uid), of none nulls, with observed_phase.
 
-    samples: key, sample_id, timestamp_s and more; requests: key, request_uid, start_s, end_s, first_s, last_s. Requests
-    without either bound match nothing. Requests are put into every bucket of width_s seconds that they touch, so the join
-    is on (key, bucket) and the exact test runs inside; a key that holds most samples is spread over its buckets. The
-    first match is a partial aggregate, not a sort."""
+    samples: key, timestamp_s and more; requests: key, request_uid, start_s, end_s, first_s, last_s. Requests without
+    either bound match nothing. Each row of samples gives one row, whatever its other columns repeat or lack.
+
+    Requests are put into every bucket of width_s seconds that they touch (by default their mean length), so the join is on
+    (key, bucket) and the exact test runs inside; a key that holds most samples is spread over its buckets. Rows carry a
+    number through that one join, by which the first match of each is taken: a partial aggregate, not a sort."""
     spans = requests.where(F.col("start_s").isNotNull() & F.col("end_s").isNotNull() & (F.col("start_s") <= F.col("end_s")))
-    bucket = lambda c: F.floor(c / F.lit(width_s))
-    spans = spans.select(key, F.struct("start_s", "request_uid", "end_s", "first_s", "last_s").alias("r"), F.explode(F.sequence(bucket(F.col("start_s")), bucket(F.col("end_s")))).alias("__bucket"))
-    at = samples.select(key, "sample_id", "timestamp_s", bucket(F.col("timestamp_s")).alias("__bucket"))
-    hit = at.join(spans, [key, "__bucket"]).where((F.col("timestamp_s") >= F.col("r.start_s")) & (F.col("timestamp_s") <= F.col("r.end_s")))
-    first = hit.groupBy("sample_id").agg(F.min("r").alias("r"))
-    out = samples.join(first, "sample_id", "left")
-    phase = F.when(F.col("r").isNull(), OUTSIDE).otherwise(phase_of(F.col("timestamp_s"), F.col("r.first_s"), F.col("r.last_s")))
-    return out.select(*samples.columns, F.col("r.request_uid").alias("request_uid"), F.col("r.start_s").alias("request_start_s"), phase.alias("observed_phase"))
+    width = F.lit(width_s if width_s is not None else bucket_width(spans))
+    bucket = lambda c: F.floor(c / width)
+    spans = spans.select(
+        F.col(key).alias("__key"),
+        F.struct("start_s", "request_uid", "end_s", "first_s", "last_s").alias("r"),
+        F.explode(F.sequence(bucket(F.col("start_s")), bucket(F.col("end_s")))).alias("__in"),
+    )
+    rows = samples.select(F.struct(*samples.columns).alias("s"), F.monotonically_increasing_id().alias("__row"))
+    t = F.col("s.timestamp_s")
+    held = (F.col(f"s.{key}") == F.col("__key")) & (bucket(t) == F.col("__in")) & (t >= F.col("r.start_s")) & (t <= F.col("r.end_s"))
+    out = rows.join(spans, held, "left").groupBy("__row").agg(F.first("s").alias("s"), F.min("r").alias("r"))
+    phase = F.when(F.col("r").isNull(), OUTSIDE).otherwise(phase_of(t, F.col("r.first_s"), F.col("r.last_s")))
+    return out.select("s.*", F.col("r.request_uid").alias("request_uid"), F.col("r.start_s").alias("request_start_s"), phase.alias("observed_phase"))
 
 
 def phase_metrics(correlated: DataFrame, keys: list[str]) -> DataFrame:

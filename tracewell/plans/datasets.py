@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import company as co
@@ -306,13 +307,53 @@ def normalised(spark, sf):
     return co.company_normalize(base.companies(spark, sf))
 
 
+COMPANY_FIELDS = [
+    "company_id", "cnpj", "domain", "name", "description", "main_cnae", "segment", "estimated_segment", "business_model", "company_size", "employees", "sales_team_size", "annual_revenue",
+    "is_ecommerce", "has_blog", "relationship_rd", "relationship_totvs", "updated_at", "sources_metadata",
+]
+
+
+def text_companies(spark, sf):
+    """Companies whose containers are JSON text or Python literals, with empty containers before those that count."""
+    part = lambda **fields: F.to_json(F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()]))
+    name, odd = F.col("c_name"), F.col("c_custkey") % 2 == 1
+    inner = part(
+        name=name,
+        identity=part(description=F.concat(F.lit("sells to "), F.lower("c_mktsegment")), receita_federal=part(cnae_principal=F.col("c_nationkey"))),
+        technologies=F.concat(F.lit("['Spark', None, ' spark ', '"), name, F.lit("']")),
+        tags=F.when(odd, "lone").otherwise('["x", null, "", "X"]'),
+        mopep=F.when(odd, '{"x": 1}').otherwise("{}"),
+        scores=part(mopep=part(businessModel="B2C", companyTags=F.array(F.lit("y")))),
+        company_size="{}",
+        employees=F.when(odd, 0).otherwise(F.col("c_custkey")),
+        businessIntelligence=F.concat(F.lit("{'employees': 7, 'competitors': ['"), name, F.lit("'], 'estimated': {'annualRevenue': 5}}")),
+        digital_presence=part(domain_details=part(hasBlog=F.when(odd, "Sim").otherwise("0")), social_media=part(twitterX="", twitter_x="t")),
+        crmContext=part(relationshipRd="client"),
+        updated_at="",
+        enriched_at="2024-01-01",
+        sources_metadata='{"a": 1}',
+        _warnings=F.array(F.lit("w"), F.lit("W"), name),
+    )
+    return table(spark, sf, "customer").select("c_custkey", part(data=part(company=inner), domain="outside").alias("record"))
+
+
 @query("""
-SELECT c_custkey, c_name AS company_id, c_mktsegment AS segment, CASE WHEN c_custkey % 2 = 1 OR c_acctbal > 5000 THEN true END AS is_ecommerce, CASE WHEN c_custkey % 2 = 0 THEN n_name || '|SaaS' ELSE '' END AS tags,
-    CASE WHEN c_custkey % 2 = 1 THEN 'Spark|' || n_name ELSE '' END AS technologies, CASE WHEN c_custkey % 2 = 1 THEN CAST(c_custkey AS VARCHAR) END AS employees
-FROM customer JOIN nation ON c_nationkey = n_nationkey
+SELECT c_custkey, 'export' AS shape, c_name AS company_id, CASE WHEN even THEN c_name END AS cnpj, CASE WHEN odd THEN c_name END AS domain, CASE WHEN odd THEN c_name END AS name, CAST(NULL AS VARCHAR) AS description,
+    CAST(NULL AS VARCHAR) AS main_cnae, c_mktsegment AS segment, CASE WHEN odd THEN 'ecommerce' END AS estimated_segment, CASE WHEN even THEN 'B2B ' || lower(c_mktsegment) END AS business_model, CAST(NULL AS VARCHAR) AS company_size,
+    CASE WHEN odd THEN CAST(c_custkey AS VARCHAR) END AS employees, CAST(NULL AS VARCHAR) AS sales_team_size, CAST(NULL AS VARCHAR) AS annual_revenue, CASE WHEN odd OR c_acctbal > 5000 THEN true END AS is_ecommerce,
+    CAST(NULL AS BOOLEAN) AS has_blog, CAST(NULL AS VARCHAR) AS relationship_rd, CAST(NULL AS VARCHAR) AS relationship_totvs, CAST(NULL AS VARCHAR) AS updated_at, CAST(NULL AS VARCHAR) AS sources_metadata,
+    CASE WHEN even THEN n_name || '|SaaS' ELSE '' END AS tags, CASE WHEN odd THEN 'Spark|' || n_name ELSE '' END AS technologies, '' AS competitors, '' AS warnings, CASE WHEN odd THEN 'instagram' ELSE '' END AS channels
+FROM (SELECT *, c_custkey % 2 = 0 AS even, c_custkey % 2 = 1 AS odd FROM customer JOIN nation ON c_nationkey = n_nationkey)
+UNION ALL
+SELECT c_custkey, 'text', c_name, NULL, NULL, c_name, 'sells to ' || lower(c_mktsegment), CASE WHEN c_nationkey <> 0 THEN CAST(c_nationkey AS VARCHAR) ELSE '0' END, NULL, NULL, CASE WHEN even THEN 'B2C' END, NULL,
+    CASE WHEN odd OR c_custkey = 0 THEN '7' ELSE CAST(c_custkey AS VARCHAR) END, NULL, '5', NULL, odd, 'client', NULL, '2024-01-01', '{"a": 1}', CASE WHEN odd THEN 'lone' ELSE 'x|y' END, 'Spark|' || c_name, c_name, 'w|' || c_name, 'twitter_x'
+FROM (SELECT *, c_custkey % 2 = 0 AS even, c_custkey % 2 = 1 AS odd FROM customer)
 """)
 def x29_company_normalize(spark, sf):
-    return normalised(spark, sf).select("c_custkey", "company.company_id", "company.segment", "company.is_ecommerce", F.array_join("company.tags", "|").alias("tags"), F.array_join("company.technologies", "|").alias("technologies"), "company.employees")
+    found = normalised(spark, sf).select("c_custkey", F.lit("export").alias("shape"), "company").unionByName(co.company_normalize(text_companies(spark, sf)).select("c_custkey", F.lit("text").alias("shape"), "company"))
+    lists = [F.array_join(f"company.{n}", "|").alias(n) for n in ("tags", "technologies", "competitors", "warnings")]
+    channels = F.concat_ws("|", *[F.when(F.col(f"company.social_media.{n}").isNotNull(), n) for n in co.CHANNELS]).alias("channels")
+    return found.select("c_custkey", "shape", *[f"company.{n}" for n in COMPANY_FIELDS], *lists, channels)
 
 
 @query("""
