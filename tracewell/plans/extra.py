@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import company as co
 from ..functions import labels as lb
 from ..functions import text as tx
-from ..operators import runs, scoring
+from ..operators import gates, runs, scoring
 from ..sources.tables import table
 from . import base
 from .base import query
@@ -20,17 +21,78 @@ def f15_run_inventory(spark, sf):
     return run_table(spark, sf).select("run_id", "status", "n", "included", "comparison_id", why.alias("exclusion"))
 
 
-@query(RUNS + " SELECT comparison_id, count(*) AS runs, count(DISTINCT run_id) = count(*) AS distinct_runs, CASE WHEN count(*) < 3 THEN 'fewer than 3 runs' ELSE '' END AS reasons FROM runs WHERE status = 'complete' AND run_id <> 5 GROUP BY comparison_id")
+@query("""
+, b(k, reason) AS (VALUES (1, 'declared manifest is missing'), (2, 'final manifest is missing'), (3, 'manifest is no JSON'), (3, 'final manifest names no run'), (4, 'declared manifest names run other'), (5, 'final manifest names no run'),
+    (6, 'declared manifest has no list of files'), (7, '../x lies outside the run'), (7, '../x is not in the checksum list'), (8, 'csv/all-requests.csv is named more than once'), (9, 'csv/all-requests.csv is missing'),
+    (10, 'csv/all-requests.csv has no valid hash'), (11, 'csv/all-requests.csv has another hash'), (12, 'csv/all-requests.csv has no size'), (13, 'csv/all-requests.csv has another size'), (14, 'csv/all-requests.csv is not in the checksum list'),
+    (15, 'csv/all-requests.csv has another hash in the checksum list'), (16, 'table all-requests is missing'), (16, 'no measured request succeeded'), (17, 'table all-requests is not inventoried'), (18, 'table all-requests lacks columns status'),
+    (19, 'table all-requests is empty'), (20, 'table all-requests has rows of another run'), (21, 'no measured request succeeded')),
+n(name) AS (VALUES ('all-requests'), ('request-events'), ('prometheus-samples'), ('telemetry-by-request'), ('request-phase-metrics')),
+r AS (SELECT * FROM b UNION ALL SELECT k, 'table ' || name || ' is not inventoried' FROM (VALUES (1), (6)) v(k) CROSS JOIN n)
+SELECT 'run-' || c_custkey AS run, string_agg(reason, ';' ORDER BY reason) AS reasons FROM customer JOIN r ON k = c_custkey % 24 GROUP BY c_custkey
+""")
+def f7_validate_run(spark, sf):
+    """A run for each customer, whose number tells which rule it breaks."""
+    k, name = F.col("k"), F.col("name")
+    c = table(spark, sf, "customer").select(F.concat(F.lit("run-"), F.col("c_custkey")).alias("run"), (F.col("c_custkey") % 24).alias("k"))
+    t = c.select("run", "k", F.explode(F.array(*map(F.lit, gates.REQUIRED))).alias("name")).withColumn("path", F.concat(F.lit("csv/"), name, F.lit(".csv")))
+    first, size = name == "all-requests", F.length("run") + F.length("path")
+    t = t.select("*", first.alias("first"), F.sha2(F.concat("run", "path"), 256).alias("sha256"), size.cast("long").alias("bytes"))
+    said = F.struct("path", F.when(F.col("first") & (k == 10), "zz").otherwise(F.col("sha256")).alias("sha256"), F.when(~F.col("first") | ~k.isin(12, 13), F.col("bytes")).when(k == 13, F.col("bytes") + 1).alias("bytes"))
+    more = F.when(k == 7, F.array(F.struct(F.lit("../x").alias("path"), F.sha2(F.lit("x"), 256).alias("sha256"), F.lit(1).cast("long").alias("bytes")))).when((k == 8) & F.col("first"), F.array(said))
+    item = t.select("run", "k", F.explode(F.concat(F.array(said), F.when(F.col("first"), F.coalesce(more, F.array())).otherwise(F.array()))).alias("i"))
+    inventory = item.groupBy("run", "k").agg(F.collect_list("i").alias("files"))
+    declared = inventory.where(k != 1).select("run", F.lit("dataset-manifest").alias("kind"), F.to_json(F.struct(F.when(k == 4, "other").otherwise(F.col("run")).alias("experiment_id"), F.when(k != 6, F.col("files")).alias("files"))).alias("document"), F.lit(None).cast("string").alias("error"))
+    final = c.where(k != 2).select("run", F.lit("manifest"), F.when(k == 3, "{bad").when(k == 5, "{}").otherwise(F.to_json(F.struct(F.col("run").alias("run_id")))), F.when(k == 3, "invalid JSON"))
+    files = t.where(~F.col("first") | (k != 9)).select("run", "path", F.when(F.col("first") & (k == 11), F.sha2("run", 256)).otherwise(F.col("sha256")).alias("sha256"), "bytes")
+    listed = t.where(~F.col("first") | (k != 14)).select("run", "path", F.when(F.col("first") & (k == 15), F.sha2("run", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    columns = F.create_map(*[F.lit(x) for n, cs in gates.REQUIRED.items() for x in (n, "|".join(cs))])
+    had = F.split(F.when(F.col("first") & (k == 18), F.replace(columns[name], F.lit("|status"), F.lit(""))).otherwise(columns[name]), r"\|")
+    tables = t.where(~F.col("first") | (k != 16)).select(
+        "run", "name", F.when(F.col("first") & (k == 17), "other.csv").otherwise(F.col("path")).alias("path"), had.alias("columns"), F.when(F.col("first") & (k == 19), 0).otherwise(9).alias("rows"),
+        F.when(F.col("first") & (k == 20), 2).otherwise(0).alias("foreign"), F.when(F.col("first"), F.when(k == 21, 0).otherwise(4)).alias("measured"),
+    )
+    return gates.run_integrity(declared.union(final), files, tables, listed).select("run", F.array_join("reasons", ";").alias("reasons"))
+
+
+@query("""
+, b(k, reason) AS (VALUES (1, 'no included run of c'), (1, 'the group holds 2 runtimes'), (1, 'pairing is not proven'), (2, '2 included runs of a'), (3, 'run ids repeat'), (4, 'runs have 2 comparison ids'), (5, '1 runs have an incomplete identity'),
+    (6, 'pairing is not proven'), (7, 'pairing is not proven'), (8, 'no included run of a'), (8, 'no included run of b'), (8, 'no included run of c'))
+SELECT c_custkey AS campaign, CASE k WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 8 THEN 0 ELSE 3 END AS ready, reasons = '' AS comparable, k NOT IN (1, 6, 7, 8) AS paired, reasons
+FROM (SELECT c_custkey, c_custkey % 9 AS k, coalesce((SELECT string_agg(reason, ';' ORDER BY reason) FROM b WHERE b.k = c_custkey % 9), '') AS reasons FROM customer)
+""")
 def f16_comparability_gate(spark, sf):
-    ready = run_table(spark, sf).where("included").groupBy("comparison_id").agg(F.count("*").alias("runs"), F.count_distinct("run_id").alias("ids"))
-    reasons = F.array_compact(F.array(F.when(F.col("runs") < 3, "fewer than 3 runs"), F.when(F.col("ids") < F.col("runs"), "run ids repeat")))
-    return ready.select("comparison_id", "runs", (F.col("ids") == F.col("runs")).alias("distinct_runs"), F.array_join(reasons, ";").alias("reasons"))
+    """A campaign for each customer, whose number tells what stands against it."""
+    k, rt, run = F.col("k"), F.col("runtime"), F.col("run_id")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("campaign"), (F.col("c_custkey") % 9).alias("k"))
+    r = c.select("*", F.explode(F.when(k == 2, F.array(*map(F.lit, "abca"))).otherwise(F.array(*map(F.lit, "abc")))).alias("runtime"), F.monotonically_increasing_id().alias("n"))
+    number = F.row_number().over(Window.partitionBy("campaign").orderBy("runtime"))
+    r = r.withColumn("n", F.when((k == 3) & (rt == "b"), 1).otherwise(number)).withColumn("run_id", F.concat_ws("-", "campaign", "n"))
+    comparison = F.concat_ws("-", F.lit("g"), "campaign", F.when((k == 4) & (rt == "c"), "other"))
+    r = r.select("campaign", "k", "run_id", "runtime", ((k != 8) & ~((k == 1) & (rt == "c"))).alias("included"), comparison.alias("comparison_id"), F.when((k == 5) & (rt == "b"), F.array(F.lit("model"))).otherwise(lb.array_of([])).alias("identity_missing"))
+    groups = runs.comparison_groups(r.where("included").withColumn("model", F.lit("m")))
+    pairs = r.groupBy("run_id").agg(F.max(F.when((k == 6) & (rt == "c"), 2).when((k != 7) | (rt != "c"), 1)).alias("signature"))
+    got = gates.comparability(r, groups, pairs, ["a", "b", "c"])
+    return got.select("campaign", "ready", "comparable", F.col("pairing_verified").alias("paired"), F.array_join("reasons", ";").alias("reasons"))
 
 
-@query("SELECT conv_id, sha256(text) AS answer FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant' AND trim(text) <> '') WHERE k = 1")
+@query("""
+, s AS (SELECT c_custkey AS source, c_custkey % 7 AS k, c_name FROM customer),
+b(k, reason) AS (VALUES (1, 'manifest is missing'), (2, 'hash differs from the manifest'), (3, 'source runtime is not the canonical one'), (4, '1 requests have two answers'), (5, 'no answer'), (6, 'hash differs from the manifest'), (6, 'source runtime is not the canonical one'))
+SELECT source, 'q' || q AS item, c_name || q AS value FROM s CROSS JOIN (VALUES (1), (2)) v(q) WHERE k = 0 UNION ALL SELECT source, 'reason', reason FROM s JOIN b USING (k)
+""")
 def f17_replay_map(spark, sf):
-    said = table(spark, sf, "conversations").where("role = 'assistant' and trim(text) <> ''").select("conv_id", "turn", "text")
-    return scoring.dedup(said, ["conv_id"], [F.col("turn")]).select("conv_id", F.sha2("text", 256).alias("answer"))
+    """Responses of a source for each customer, whose number tells what is wrong with them: two requests, with a second turn and
+    a blank answer beside the first one's."""
+    k, q, turn = F.col("k"), F.col("q"), F.col("turn_index")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("source"), (F.col("c_custkey") % 7).alias("k"), "c_name")
+    turns = F.array(*[F.struct(F.lit(a).alias("q"), F.lit(b).alias("turn_index"), F.lit(blank).alias("blank")) for a, b, blank in ((1, 1, False), (1, 1, True), (1, 2, False), (2, 1, False))])
+    r = c.select("source", "k", "c_name", F.explode(turns).alias("t")).select("source", "k", "c_name", "t.*")
+    answer = F.when((k == 5) | F.col("blank"), F.when(k == 4, F.concat("c_name", q)).otherwise(" ")).otherwise(F.concat("c_name", q))
+    responses = r.select("source", F.concat(F.lit("q"), q).alias("request_id"), "turn_index", answer.alias("answer"))
+    told = c.where(k != 1).select("source", F.when(k.isin(3, 6), "other").otherwise("llama").alias("source_runtime"), F.when(k != 6, F.lit("h")).alias("responses_sha256"), F.when(k == 2, "x").otherwise("h").alias("sha256"))
+    answers, reasons = gates.replay_map(responses, told, "llama")
+    return answers.select("source", F.col("request_id").alias("item"), F.col("answer").alias("value")).union(reasons.select("source", F.lit("reason"), F.explode("reasons")))
 
 
 @query("SELECT model AS run_id, count(*) AS n, min(day) AS created, substr(sha256(string_agg(example_id || '|' || array_to_string(expected, ','), chr(10) ORDER BY example_id)), 1, 12) AS sample_sha FROM tagged GROUP BY model")
@@ -55,9 +117,11 @@ def x35_render_messages(spark, sf):
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'missing text' WHEN 1 THEN 'invalid JSON' WHEN 2 THEN 'schema violation' END AS reason FROM events")
 def x24_schema_check(spark, sf):
+    """Answers that came as streams of two deltas each, but for those without any."""
     text = F.when(F.col("event_id") % 4 == 1, "{oops").when(F.col("event_id") % 4 == 2, '{"tags": "x"}').when(F.col("event_id") % 4 == 3, F.to_json(F.struct(F.array("event_type").alias("tags"))))
-    got = F.from_json(text, "struct<tags:array<string>>")["tags"]
-    reason = F.when(text.isNull(), "missing text").when(F.try_parse_json(text).isNull(), "invalid JSON").when(got.isNull(), "schema violation")
+    delta = lambda x: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(x.alias("content")).alias("delta"))).alias("choices"))))
+    body = F.when(text.isNotNull(), F.concat_ws("\n\n", delta(F.substring(text, 1, 4)), delta(F.substring(text, 5, 1000)), F.lit("data: [DONE]\n")))
+    reason = gates.schema_failure(gates.stream_text(body), "tags array<string>", ["tags"])
     return table(spark, sf, "events").select("event_id", reason.alias("reason"))
 
 
