@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stored, texts_of
+from .shared import discard, small_batches, stored, texts_of, written
 
 BITS = 64
 #: Choices of blocks by which a fingerprint is put up, at most, when crowded buckets are cut further.
@@ -108,19 +108,20 @@ def components(edges: DataFrame) -> DataFrame:
     changes nothing (each halves the longest path at least, so about the logarithm of that is enough). A round is two
     jobs, each of which ends in a written table, and tells by the way whether anything has changed. Nodes without edges
     don't occur."""
-    edges, seen = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()), None
+    (edges, place), seen = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()), None
     while True:
         both = edges.union(edges.select("v", "u"))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stored(both.join(lowest, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large, between = written(both.join(lowest, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         told = Observation()
         after = small.select("e.u", "e.v").where("u > v").distinct()
-        edges = stored(after.observe(told, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")))
+        edges, next_place = written(after.observe(told, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")))
+        discard(edges.sparkSession, place, between)  # the round before can't be asked for again: its successor is written
         if told.get == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        seen = told.get
+        seen, place = told.get, next_place
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
