@@ -39,6 +39,24 @@ def s3_read_company_export(spark, sf):
     return parts[0].union(parts[1]).union(parts[2]).select("kind", F.get_json_object("record", "$.c_custkey").alias("custkey"), F.get_json_object("record", "$.c_mktsegment").alias("segment"))
 
 
+@query("""
+, r AS (SELECT run_id, count(*) AS n, CASE WHEN run_id = 3 THEN 'partial' ELSE 'complete' END AS status FROM requests GROUP BY run_id)
+SELECT 'run=' || run_id AS run, kind, CASE WHEN kind = 'manifest' AND run_id = 4 THEN 'invalid JSON' END AS error, CASE WHEN kind = 'dataset-manifest' THEN status WHEN run_id <> 4 THEN 'n' || n END AS said
+FROM r CROSS JOIN (VALUES ('dataset-manifest'), ('manifest')) k(kind) WHERE kind = 'manifest' OR run_id <> 5
+""")
+def s4_read_manifests(spark, sf):
+    """Manifests of runs as JSON files below each run's folder json, one of them broken, one missing, beside other files."""
+    folder = io.shared_folder(spark)
+    r = base.requests(spark, sf).groupBy("run_id").agg(F.count("*").alias("n")).withColumn("run", F.col("run_id"))
+    declared = F.to_json(F.struct(F.when(F.col("run_id") == 3, "partial").otherwise("complete").alias("status")))
+    final = F.when(F.col("run_id") == 4, "{oops").otherwise(F.to_json(F.struct(F.struct(F.concat(F.lit("n"), F.col("n")).alias("status")).alias("run"))))
+    documents = r.select("run", "run_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("dataset-manifest", "manifest", "other"))), F.array(declared, final, F.lit("{}")))).alias("kind", "document"))
+    documents = documents.where((F.col("run_id") != 5) | (F.col("kind") != "dataset-manifest")).select("run", F.lit(1).alias("json"), "kind", "document")
+    documents.write.partitionBy("run", "json", "kind").text(folder)
+    said = tx.first_scalar(F.col("document"), "$.status", "$.run.status")
+    return io.read_manifests(spark, folder, "*.txt", deep=1).select("run", "kind", "error", said.alias("said"))
+
+
 def event_stream(spark, sf):
     return io.table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 

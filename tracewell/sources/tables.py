@@ -19,7 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all machines see; where that is unset (tests), one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines see")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     return f"{base}/tracewell/{uuid.uuid4().hex}"
 
 
@@ -86,11 +90,16 @@ def read_company_export(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("record"))
 
 
-def read_manifests(spark: SparkSession, root: str) -> DataFrame:
-    """run, kind (dataset-manifest or manifest), document, error of every manifest below a folder json; broken JSON is a row."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*manifest.json").text(root, wholetext=True)
+def read_manifests(spark: SparkSession, root: str, name: str = "*manifest.json", deep: int = 0) -> DataFrame:
+    """run, kind (dataset-manifest or manifest), document, error of every manifest below a folder json; broken JSON is a row.
+
+    Files of the pattern `name` are <run>/json/<kind>.json, or with deep = 1 any files in <run>/json/<kind>; folders may be
+    written as partitions, column=value."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
     place = F.split(F.col("_metadata.file_path"), "/")
-    rows = files.select(F.element_at(place, -3).alias("run"), F.element_at(place, -2).alias("folder"), F.regexp_replace(F.element_at(place, -1), r"\.json$", "").alias("kind"), F.col("value").alias("document"))
+    part = lambda k: F.element_at(place, k - deep)
+    kind = F.regexp_replace(F.regexp_replace(part(-1), r"\.json$", ""), "^[^=]*=", "")
+    rows = files.select(part(-3).alias("run"), F.regexp_replace(part(-2), "=.*", "").alias("folder"), kind.alias("kind"), F.col("value").alias("document"))
     rows = rows.where((F.col("folder") == "json") & F.col("kind").isin("dataset-manifest", "manifest"))
     return rows.select("run", "kind", "document", F.when(F.try_parse_json("document").isNull(), "invalid JSON").alias("error"))
 
