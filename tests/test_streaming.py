@@ -43,12 +43,14 @@ def test_latest_and_history(spark, tmp_path):
     log, schema = str(tmp_path / "log"), "id string, pos int, ok boolean"
     df = stream(spark, [("a", 1, False), ("b", 2, True)], schema, log)
     out, mark = str(tmp_path / "latest"), str(tmp_path / "mark")
-    for version, more in enumerate(([], [("a", 3, True)])):
+    for more in ([], [("a", 3, True)]):
         if more:
             stream(spark, more, schema, log)
         jobs.upsert_latest(df, out, "id", "pos", mark).trigger(availableNow=True).start().awaitTermination(120)
-        got = {r["id"]: r["pos"] for r in spark.read.parquet(f"{out}/v={version}").collect()}
+        got = {r["id"]: r["pos"] for r in jobs.newest_rows(spark, out).collect()}
     assert got == {"a": 3, "b": 2}
+    versions = jobs.bucket_versions(spark, out)
+    assert sorted(v for vs in versions.values() for v in vs) == [0, 0, 1]  # only the bucket of "a" was written again
     turns = stream(spark, [(1, k, "user" if k % 2 else "assistant", f"t{k}") for k in range(14)] + [(2, 0, "system", "s"), (2, 1, "user", None)], "conv_id long, turn long, role string, text string", str(tmp_path / "turns"))
     rows = run(jobs.last_n_history(turns, 10), "history", "update")
     assert [(r["conv_id"], [m["turn"] for m in r["messages"]]) for r in rows] == [(1, list(range(4, 14)))]

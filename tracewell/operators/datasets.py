@@ -113,3 +113,42 @@ def cycle_rows(df: DataFrame, order: str, n: int) -> DataFrame:
     total = frozen.agg(F.count("*").alias("__total"))
     slots = df.sparkSession.range(n).withColumnRenamed("id", "slot").join(F.broadcast(total)).withColumn("ordinal", F.col("slot") % F.col("__total"))
     return slots.drop("__total").join(frozen, "ordinal")
+
+
+#: USD for a million tokens of a batch.
+INPUT_PRICE, OUTPUT_PRICE = 0.05, 0.4
+
+
+def batch_cost(records: DataFrame, payload: Column, by: str, max_output_tokens: int = 256, input_price: float = INPUT_PRICE, output_price: float = OUTPUT_PRICE) -> DataFrame:
+    """Requests, tokens and USD of a labelling batch by group, before it is sent: an estimate of a token for three bytes of
+    the payload, and a ceiling of one for each byte, both with 200 for the envelope. A null payload counts as empty."""
+    size = F.coalesce(F.octet_length(payload), F.lit(0))
+    got = records.groupBy(by).agg(F.count("*").alias("requests"), F.sum(F.ceil(size / 3) + 200).cast("long").alias("input_tokens"), F.sum(size + 200).cast("long").alias("most_input_tokens"))
+    got = got.withColumn("most_output_tokens", F.col("requests") * max_output_tokens)
+    usd = lambda c, price: F.col(c) * F.lit(price) / 1e6
+    got = got.select("*", usd("input_tokens", input_price).alias("input_usd"), usd("most_input_tokens", input_price).alias("most_input_usd"), usd("most_output_tokens", output_price).alias("most_output_usd"))
+    return got.select("*", (F.col("input_usd") + F.col("most_output_usd")).alias("total_usd"), (F.col("most_input_usd") + F.col("most_output_usd")).alias("most_total_usd"))
+
+
+def budget_gate(costs: DataFrame, most_usd: float) -> DataFrame:
+    """One row: the ceiling of all groups together, the budget, and whether the ceiling keeps within it. A budget that isn't
+    above zero is an error."""
+    if most_usd <= 0:
+        raise ValueError("the budget must be above zero")
+    total = costs.agg(F.coalesce(F.sum("most_total_usd"), F.lit(0.0)).alias("ceiling_usd"))
+    return total.select("ceiling_usd", F.lit(float(most_usd)).alias("budget_usd"), (F.col("ceiling_usd") <= most_usd).alias("within"))
+
+
+def materialize_summary(dataset: DataFrame, history: DataFrame, by: str, key: str = "example_id") -> DataFrame:
+    """State of a labelling run by group: examples, and of the history (one row for each materialised example: key, request_ok,
+    parse_ok, latency_ms, f1, exact_match) counts, rates over all examples, mean latency of successful rows, mean F1 and
+    share of exact matches of parsed ones. What isn't parsed is pending."""
+    rows = dataset.select(key, by).join(history.withColumn("__there", F.lit(True)), key, "left")
+    sure = lambda c: F.coalesce(F.col(c), F.lit(False))
+    ok, parsed = sure("request_ok"), sure("parse_ok")
+    got = rows.groupBy(by).agg(
+        F.count("*").alias("examples"), F.count("__there").alias("materialised"), F.count_if(ok).alias("successful"), F.count_if(parsed).alias("parsed"),
+        F.avg(F.when(ok, F.col("latency_ms"))).alias("mean_latency_ms"), F.avg(F.when(parsed, F.col("f1"))).alias("mean_f1"), F.avg(F.when(parsed, F.col("exact_match").cast("int"))).alias("exact_match_rate"),
+    )
+    rate = lambda c: F.col(c) / F.col("examples")
+    return got.select("*", (F.col("materialised") - F.col("successful")).alias("failed"), (F.col("examples") - F.col("parsed")).alias("pending"), rate("successful").alias("request_success_rate"), rate("parsed").alias("parse_rate"))

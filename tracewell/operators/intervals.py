@@ -104,6 +104,24 @@ def concurrency(intervals: DataFrame, key: str) -> DataFrame:
     return even.withColumn("open", F.sum("step").over(w)).groupBy(key).agg(F.max("open").alias("max_in_flight"))
 
 
+def queue_timeline(requests: DataFrame, key: str) -> DataFrame:
+    """key, t, until, in_flight, waiting after every moment at which requests (arrival_s, start_s, end_s) arrive, start or end;
+    `until` is the next such moment, null at the last. Moves of one moment count together."""
+    move = lambda t, flight, wait: F.struct(F.col(t).alias("t"), F.lit(flight).alias("f"), F.lit(wait).alias("w"))
+    moves = requests.select(key, F.explode(F.array(move("arrival_s", 0, 1), move("start_s", 1, -1), move("end_s", -1, 0))).alias("m"))
+    even = moves.groupBy(key, "m.t").agg(F.sum("m.f").alias("f"), F.sum("m.w").alias("w"))
+    order = Window.partitionBy(key).orderBy("t")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    return even.select(key, "t", F.lead("t").over(order).alias("until"), F.sum("f").over(so_far).alias("in_flight"), F.sum("w").over(so_far).alias("waiting"))
+
+
+def queue_profile(requests: DataFrame, key: str) -> DataFrame:
+    """Most requests that wait at once by key, and how many wait and run on average over time."""
+    span = F.col("until") - F.col("t")
+    over_time = lambda c: F.try_divide(F.sum(F.col(c) * span), F.sum(span))
+    return queue_timeline(requests, key).groupBy(key).agg(F.max("waiting").alias("max_waiting"), over_time("waiting").alias("mean_waiting"), over_time("in_flight").alias("mean_in_flight"))
+
+
 def prefer_precomputed(ready: DataFrame, raw: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of `ready` that are valid (a gauge with a mean; a counter with a delta and two samples), and for keys that none
     covers, means and deltas of the raw samples."""

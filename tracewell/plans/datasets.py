@@ -162,10 +162,15 @@ def j10_batch_results_join(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(last, "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("missing")).alias("error"))
 
 
-@query("SELECT count(*) AS n, CAST(sum(ceil(strlen(text) / 3) + 200) AS BIGINT) AS tokens, CAST(sum(strlen(text) + 200) AS BIGINT) AS most_tokens, count(*) * 256 AS output FROM documents WHERE text IS NOT NULL")
+@query("""
+, c AS (SELECT lang, count(*) AS requests, CAST(sum(ceil(strlen(coalesce(text, '')) / 3) + 200) AS BIGINT) AS input_tokens, CAST(sum(strlen(coalesce(text, '')) + 200) AS BIGINT) AS most_input_tokens FROM documents GROUP BY lang),
+u AS (SELECT *, requests * 256 AS most_output_tokens, round((input_tokens * 0.05 + requests * 256 * 0.4) / 1e6, 9) AS total_usd, round((most_input_tokens * 0.05 + requests * 256 * 0.4) / 1e6, 9) AS most_total_usd FROM c)
+SELECT *, (SELECT sum(most_input_tokens * 0.05 + requests * 256 * 0.4) / 1e6 <= 0.1 FROM c) AS within FROM u
+""")
 def a25_batch_cost(spark, sf):
-    b = F.octet_length("text")
-    return table(spark, sf, "documents").where("text is not null").agg(F.count("*").alias("n"), F.sum(F.ceil(b / 3) + 200).cast("long").alias("tokens"), F.sum(b + 200).cast("long").alias("most_tokens"), (F.count("*") * 256).alias("output"))
+    costs = ds.batch_cost(table(spark, sf, "documents"), F.col("text"), "lang")
+    gate = ds.budget_gate(costs, 0.1).select("within")  # one row
+    return costs.crossJoin(F.broadcast(gate)).select("lang", "requests", "input_tokens", "most_input_tokens", "most_output_tokens", F.round("total_usd", 9).alias("total_usd"), F.round("most_total_usd", 9).alias("most_total_usd"), "within")
 
 
 @query("SELECT run_id, round(sum(((prompt_tokens - least(output_tokens * 3, prompt_tokens)) * 0.05 + least(output_tokens * 3, prompt_tokens) * 0.005 + output_tokens * 0.4) / 1e6), 9) AS usd FROM requests GROUP BY run_id")
@@ -174,11 +179,18 @@ def a26_usage_cost(spark, sf):
     return base.requests(spark, sf).groupBy("run_id").agg(F.round(F.sum(cost), 9).alias("usd"))
 
 
-@query("SELECT count(*) AS examples, count(quality) AS materialised, count(*) FILTER (quality = 1) AS successful, count(*) FILTER (quality IS NULL) AS pending, round(count(*) FILTER (quality = 1) / count(*), 9) AS rate FROM documents LEFT JOIN labels USING (doc_id)")
+@query("""
+, h AS (SELECT *, user_id % 5 <> 0 AS there FROM scored)
+SELECT split, count(*) AS examples, count(*) FILTER (there) AS materialised, count(*) FILTER (there AND request_ok) AS successful, count(*) FILTER (there AND parse_ok) AS parsed, count(*) FILTER (there AND NOT request_ok) AS failed,
+    count(*) - count(*) FILTER (there AND parse_ok) AS pending, round(count(*) FILTER (there AND request_ok) / count(*), 9) AS request_success_rate, round(count(*) FILTER (there AND parse_ok) / count(*), 9) AS parse_rate,
+    round(avg(latency_ms) FILTER (there AND request_ok), 6) AS mean_latency_ms, round(avg(f1) FILTER (there AND parse_ok), 9) AS mean_f1, round(avg(CAST(exact_match AS INT)) FILTER (there AND parse_ok), 9) AS exact_match_rate FROM h GROUP BY split
+""")
 def a24_materialize_summary(spark, sf):
-    h = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
-    ok = F.count_if(F.col("quality") == 1)
-    return h.agg(F.count("*").alias("examples"), F.count("quality").alias("materialised"), ok.alias("successful"), F.count_if(F.col("quality").isNull()).alias("pending"), F.round(ok / F.count("*"), 9).alias("rate"))
+    t = base.tagged(spark, sf).withColumn("s", lb.compare_tags(F.col("expected"), F.col("generated")))
+    history = t.where("user_id % 5 <> 0").select("example_id", (F.col("user_id") % 17 != 0).alias("request_ok"), (F.col("user_id") % 9 != 0).alias("parse_ok"), "latency_ms", "s.f1", "s.exact_match")
+    got = ds.materialize_summary(t, history, "split")
+    exact = ["split", "examples", "materialised", "successful", "parsed", "failed", "pending"]
+    return got.select(*exact, *[F.round(c, 6 if c == "mean_latency_ms" else 9).alias(c) for c in ("request_success_rate", "parse_rate", "mean_latency_ms", "mean_f1", "exact_match_rate")])
 
 
 @query("SELECT page_id, split_part(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '^www\\.', ''), '/', 1) AS domain FROM pages")

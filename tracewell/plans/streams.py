@@ -113,7 +113,23 @@ def st4_last_n_history(spark, sf):
     history = jobs.last_n_history(io.table_stream(spark, sf, "conversations"), 4)
     jobs.replay(jobs.upsert_latest(history, f"{folder}/out", "conv_id", "turn", f"{folder}/mark").outputMode("update"))
     lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"]))
-    return jobs.newest_version(spark, f"{folder}/out").select("conv_id", "turn", F.size("messages").cast("long").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("history"))
+    return jobs.newest_rows(spark, f"{folder}/out").select("conv_id", "turn", F.size("messages").cast("long").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("history"))
+
+
+@query("SELECT user_id AS example_id, max(event_id) AS attempt, arg_max(event_type, event_id) AS label, arg_max(value, event_id) > 20 AS parse_ok FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def st3_prediction_log(spark, sf):
+    """An append log of predictions, replayed as a stream into a table of each example's last attempt."""
+    folder = io.shared_folder(spark)
+    log = event_stream(spark, sf).where("user_id is not null").select(F.col("user_id").alias("example_id"), F.col("event_id").alias("attempt"), F.col("event_type").alias("label"), (F.col("value") > 20).alias("parse_ok"))
+    jobs.replay(jobs.upsert_latest(log, f"{folder}/out", "example_id", "attempt", f"{folder}/mark"))
+    return jobs.newest_rows(spark, f"{folder}/out").select("example_id", "attempt", "label", "parse_ok")
+
+
+@query("SELECT event_type AS stage, user_id % 3 AS runtime, max(event_id) AS run_id, arg_max(CAST(floor(value) AS BIGINT), event_id) AS ok, 100 AS expected FROM events GROUP BY ALL")
+def st6_campaign_monitor(spark, sf):
+    """Runs of a campaign as a stream: the newest of each stage and runtime with its progress."""
+    log = event_stream(spark, sf).select(F.col("event_type").alias("stage"), (F.col("user_id") % 3).alias("runtime"), F.col("event_id").alias("run_id"), F.floor("value").alias("ok"), F.lit(100).alias("expected"), F.col("event_id").alias("started"))
+    return whole(spark, jobs.campaign_monitor(log))
 
 
 @query("SELECT epoch_us(ts) // 3600000000 * 3600 AS start, user_id % 10 AS agent_id, CASE event_type WHEN 'purchase' THEN 429 WHEN 'signup' THEN 503 ELSE 200 END AS status, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")

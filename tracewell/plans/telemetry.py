@@ -89,12 +89,21 @@ def a28_energy_summary(spark, sf):
 
 
 @query("""
-SELECT experiment_id, max(n) AS max_in_flight FROM (
+, most AS (SELECT experiment_id, max(n) AS max_in_flight FROM (
     SELECT experiment_id, sum(d) OVER (PARTITION BY experiment_id ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS n
-    FROM (SELECT experiment_id, start_s AS t, 1 AS d FROM intervals UNION ALL SELECT experiment_id, end_s, -1 FROM intervals)) GROUP BY experiment_id
+    FROM (SELECT experiment_id, start_s AS t, 1 AS d FROM intervals UNION ALL SELECT experiment_id, end_s, -1 FROM intervals)) GROUP BY experiment_id),
+m AS (SELECT experiment_id, start_s - 60 * (request_uid % 5) AS t, 0 AS f, 1 AS w FROM intervals UNION ALL SELECT experiment_id, start_s, 1, -1 FROM intervals UNION ALL SELECT experiment_id, end_s, -1, 0 FROM intervals),
+e AS (SELECT experiment_id, t, sum(f) AS f, sum(w) AS w FROM m GROUP BY ALL),
+l AS (SELECT experiment_id, t, lead(t) OVER o - t AS span, sum(f) OVER o AS in_flight, sum(w) OVER o AS waiting FROM e WINDOW o AS (PARTITION BY experiment_id ORDER BY t))
+SELECT experiment_id, any_value(max_in_flight) AS max_in_flight, max(waiting) AS max_waiting, round(sum(waiting * span) / nullif(sum(span), 0), 4) AS mean_waiting, round(sum(in_flight * span) / nullif(sum(span), 0), 4) AS mean_in_flight
+FROM l JOIN most USING (experiment_id) GROUP BY experiment_id
 """)
 def w12_concurrency_profile(spark, sf):
-    return iv.concurrency(base.intervals(spark, sf), "experiment_id")
+    """Requests arrive up to four minutes before they start."""
+    r = base.intervals(spark, sf)
+    queue = iv.queue_profile(r.withColumn("arrival_s", F.col("start_s") - 60 * (F.col("request_uid") % 5)), "experiment_id")
+    both = iv.concurrency(r, "experiment_id").join(queue, "experiment_id")
+    return both.select("experiment_id", "max_in_flight", "max_waiting", F.round("mean_waiting", 4).alias("mean_waiting"), F.round("mean_in_flight", 4).alias("mean_in_flight"))
 
 
 @query("""

@@ -31,22 +31,60 @@ def rolling(samples: DataFrame, width: str = "1 minute", slide: str | None = Non
     return samples.withWatermark("ts", late).groupBy(w, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("max")).select(F.col("window.start").alias("start"), "metric", "n", "mean", "max")
 
 
-def upsert_latest(log: DataFrame, path: str, key: str, order: str, checkpoint: str):
-    """A query that keeps the latest row of each key of an append log: every batch is merged with what was there and
-    written as a new version (path/v=batch), so a batch that runs twice gives the same version."""
+def upsert_latest(log: DataFrame, path: str, key: str, order: str, checkpoint: str, buckets: int = 16):
+    """A query that keeps the latest row of each key of an append log, in buckets by a hash of the key.
+
+    A batch is merged with the newest rows of the buckets that it touches, and these alone are written again, as
+    path/v=batch/bucket=...: the work follows the batch and its buckets. A batch that runs twice reads what stood before it
+    and gives the same version. Of a bucket's versions the two newest stay."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen = [] if number == 0 else [spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}")]
-        rows = batch
-        for old in seen:
-            rows = rows.unionByName(old)
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        known = bucket_versions(spark, path, number)
+        before = {b: v for b in touched if (v := max(known.get(b, ()), default=None)) is not None}
+        for b, v in before.items():
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v={v}/bucket={b}").withColumn("bucket", F.lit(b)))
         row = F.struct(*batch.columns)
-        rows.groupBy(F.col(key).alias("__key")).agg(F.max_by(row, order).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{path}/v={number}")
+        latest = rows.groupBy("bucket", F.col(key).alias("__key")).agg(F.max_by(row, order).alias("r"))
+        latest.select("bucket", "r.*").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+        for b in before:
+            remove(spark, *[f"{path}/v={v}/bucket={b}" for v in sorted(known[b])[:-1]])
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder of the cluster's file system; none if it isn't there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in system.listStatus(place)] if system.exists(place) else []
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def bucket_versions(spark: SparkSession, path: str, below: int | None = None) -> dict[int, list[int]]:
+    """The versions of each bucket, those under `below` alone if it is given, by the names of their folders."""
+    out: dict[int, list[int]] = {}
+    for v in folders(spark, path):
+        if v.startswith("v=") and (below is None or int(v[2:]) < below):
+            for b in folders(spark, f"{path}/{v}"):
+                if b.startswith("bucket="):
+                    out.setdefault(int(b[7:]), []).append(int(v[2:]))
+    return out
+
+
+def newest_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that upsert_latest keeps below path: of each bucket those of its last version."""
+    newest = [f"{path}/v={max(vs)}/bucket={b}" for b, vs in bucket_versions(spark, path).items()]
+    return spark.read.parquet(*newest)
+
+
 def keep_whole(result: DataFrame, path: str, checkpoint: str):
     """A query whose result is whole after every batch (complete mode), each written as a new version (path/v=batch)."""
 
