@@ -239,3 +239,23 @@ def test_sample_digests_gather_no_lists(spark, sf_dir):
     assert got == {m: (len(p), min(r[3] for r in p), hashlib.sha256("\n".join(r[2] for r in p).encode()).hexdigest()) for m, p in parts.items()}
     plan = QUERIES["u5_consolidate_evals"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_percentiles_equal_the_built_in(spark):
+    import random
+
+    from tracewell.operators.percentiles import percentiles, with_percentiles
+
+    rnd = random.Random(8)
+    values = [0.0, -0.0, 1e-300, -1e-300, 1e300, -1e300, 5.0, 5.0, float("nan"), float("inf"), None]
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice(values) if rnd.random() < 0.2 else rnd.gauss(0, 10) ** 3) for _ in range(2000)] + [("one", 7.0), ("none", None)] + [("flat", 3.0)] * 50
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    points = [0.0, 0.25, 0.5, 0.95, 1.0]
+    fin = numbers.finite(F.col("v"))
+    want = {r["k"]: r["p"] for r in df.groupBy("k").agg(F.percentile(fin, F.array(*map(F.lit, points))).alias("p")).collect()}
+    got = {r["k"]: r["p"] for r in percentiles(df, ["k"], {"x": F.col("v")}, points).collect()}
+    assert set(got) == {"a", "b", None, "one", "flat"}
+    for k, p in got.items():
+        assert p == pytest.approx(want[k], rel=1e-12), k
+    wide = {r["k"]: (r["x_n"], r["x_p50"]) for r in with_percentiles(df.select("k").distinct(), df, ["k"], {"x": F.col("v")}, (0.5,)).collect()}
+    assert wide["none"] == (0, None) and wide["flat"] == (50, 3.0) and set(wide) == {r[0] for r in rows}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
 from ..functions.text import cache_flags, canonical_json, fingerprint, first_scalar
+from .percentiles import percentiles, with_percentiles
 
 #: The sets differ by place.
 OK_STRICT = ["successful", "success", "ok"]
@@ -58,15 +59,15 @@ def experiment_summary(requests: DataFrame, keys: list[str], metrics: dict = MET
     return facts.select(*keys, "requests", "ok", "failed", "unknown", *out)
 
 
-def spread(value: Column, name: str, points=(0.5, 0.95)) -> list[Column]:
-    """n and percentiles of a column, as aggregates."""
-    v = finite(value)
-    return [F.count(v).alias(f"{name}_n"), *[F.percentile(v, F.lit(p)).alias(f"{name}_p{round(100 * p):02d}") for p in points]]
+QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
-def distribution(value: Column) -> list[Column]:
-    v = finite(value)
-    return [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *[F.percentile(v, F.lit(p)).alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)], F.max(v).alias("max")]
+def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, n, mean, std, min, p25, p50, p75, p90, p95, p99, max of a column's finite values by group."""
+    v = finite(F.col(value))
+    facts = df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    got = with_percentiles(facts, df, keys, {"v": F.col(value)}, QUANTILES)
+    return got.select(*keys, F.col("v_n").alias("n"), "mean", "std", "min", *[F.col(f"v_p{round(100 * p)}").alias(f"p{round(100 * p)}") for p in QUANTILES], "max")
 
 
 def comparison_identity(run: Column, controls: dict[str, Column]) -> Column:
@@ -227,7 +228,7 @@ def slo_overall(checks: list[Column]) -> Column:
 
 def representative(requests: DataFrame, key: str, value: str, id_col: str) -> DataFrame:
     """By key the row nearest to the median, ties to the smaller id."""
-    middle = requests.groupBy(key).agg(F.percentile(value, F.lit(0.5)).alias("median"))
+    middle = percentiles(requests, [key], {value: F.col(value)}, [0.5]).select(key, F.col("p")[0].alias("median"))
     near = requests.where(F.col(value).isNotNull()).join(middle, key)
     return near.groupBy(key).agg(F.first("median").alias("median"), F.min(F.struct(F.abs(F.col(value) - F.col("median")).alias("d"), F.col(id_col).alias("id"), F.col(value).alias("v"))).alias("best")).select(key, "median", F.col("best.id").alias(id_col), F.col("best.v").alias(value))
 
@@ -255,7 +256,8 @@ def cell_complete(requested: Column) -> Column:
 
 def resource_summary(rows: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """Per keys: median, p95 and max, distinct requests, and the share of those expected by scenario that have a value."""
-    facts = rows.groupBy(*keys).agg(F.percentile("value", F.lit(0.5)).alias("median"), F.percentile("value", F.lit(0.95)).alias("p95"), F.max("value").alias("peak"), F.count_distinct("request_uid").alias("n_requests"))
+    facts = rows.groupBy(*keys).agg(F.max("value").alias("peak"), F.count_distinct("request_uid").alias("n_requests"))
+    facts = with_percentiles(facts, rows, keys, {"value": F.col("value")}).withColumnsRenamed({"value_p50": "median", "value_p95": "p95"}).drop("value_n")
     return facts.join(expected, keys[0]).withColumn("coverage", F.col("n_requests") / F.col("expected"))
 
 

@@ -11,6 +11,7 @@ from ..functions import numbers, text as tx
 from ..operators import conversations as cv
 from ..operators import datasets as ds
 from ..operators import gates, runs
+from ..operators.percentiles import with_percentiles
 from ..operators.scoring import dedup
 from ..sources import tables as io
 from ..sources.tables import table
@@ -74,7 +75,7 @@ def a19_tag_frequency(spark, sf):
 
 @query("SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, CAST(min(n_chars) AS DOUBLE) AS min, quantile_cont(n_chars, 0.25) AS p25, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.75) AS p75, round(quantile_cont(n_chars, 0.9), 6) AS p90, round(quantile_cont(n_chars, 0.95), 6) AS p95, round(quantile_cont(n_chars, 0.99), 6) AS p99, CAST(max(n_chars) AS DOUBLE) AS max FROM documents GROUP BY lang")
 def a20_distribution(spark, sf):
-    out = table(spark, sf, "documents").groupBy("lang").agg(*runs.distribution(F.col("n_chars")))
+    out = runs.distribution(table(spark, sf, "documents"), ["lang"], "n_chars")
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "std", "p90", "p95", "p99")})
 
 
@@ -569,7 +570,8 @@ def a33_campaign_progress(spark, sf):
 
 @query("SELECT scenario, CASE WHEN m IS NULL THEN 'no data' WHEN m <= 1700 THEN 'pass' ELSE 'fail' END AS ttft, CASE WHEN m > 1700 THEN 'fail' WHEN m IS NULL THEN 'undetermined' ELSE 'pass' END AS overall FROM (SELECT scenario, quantile_cont(ttft_ms, 0.5) AS m FROM requests GROUP BY 1)")
 def f13_slo_check(spark, sf):
-    m = base.requests(spark, sf).groupBy("scenario").agg(F.percentile("ttft_ms", F.lit(0.5)).alias("m"))
+    r = base.requests(spark, sf)
+    m = with_percentiles(r.select("scenario").distinct(), r, ["scenario"], {"ttft": F.col("ttft_ms")}, (0.5,)).withColumnRenamed("ttft_p50", "m")
     ttft, none = runs.slo(F.col("m"), F.lit(1700.0)), runs.slo(F.col("m"), F.lit(None).cast("double"))
     return m.select("scenario", ttft.alias("ttft"), runs.slo_overall([ttft, none]).alias("overall"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 from ..operators import intervals as iv
 from ..operators import runs
+from ..operators.percentiles import with_percentiles
 from ..operators.scoring import dedup
 from . import base
 from .base import query
@@ -165,7 +166,9 @@ FROM (SELECT *, coalesce(ttft_ms, request_latency * 1000) AS t FROM requests) GR
 def a3_performance_summary(spark, sf):
     ok = runs.status_is(runs.OK_WIDE)
     t = F.when(ok, F.coalesce("ttft_ms", F.col("request_latency") * 1000))
-    out = base.requests(spark, sf).groupBy("scenario").agg(F.count("*").alias("total"), F.count_if(ok).alias("ok"), F.round(100 * F.count_if(ok) / F.count("*"), 6).alias("success_pct"), *runs.spread(t, "ttft"))
+    r = base.requests(spark, sf)
+    facts = r.groupBy("scenario").agg(F.count("*").alias("total"), F.count_if(ok).alias("ok"), F.round(100 * F.count_if(ok) / F.count("*"), 6).alias("success_pct"))
+    out = with_percentiles(facts, r, ["scenario"], {"ttft": t})
     return out.withColumns({c: F.round(c, 8) for c in ("ttft_p50", "ttft_p95")})
 
 
@@ -175,7 +178,8 @@ FROM requests GROUP BY ALL
 """)
 def a4_summarize_requests(spark, sf):
     ok = runs.status_is(runs.OK_STRICT)
-    out = base.requests(spark, sf).groupBy("benchmark_phase", "scenario", "repetition").agg(*runs.spread(F.when(ok, F.col("request_latency")), "latency", (0.5, 0.95, 0.99)))
+    r, keys = base.requests(spark, sf), ["benchmark_phase", "scenario", "repetition"]
+    out = with_percentiles(r.select(*keys).distinct(), r, keys, {"latency": F.when(ok, F.col("request_latency"))}, (0.5, 0.95, 0.99))
     return out.select("benchmark_phase", "scenario", "repetition", F.col("latency_n").alias("n"), (F.col("latency_n") < 100).alias("exploratory"), *[F.round(f"latency_{p}", 6).alias(f"latency_{p}") for p in ("p50", "p95", "p99")])
 
 
@@ -186,8 +190,10 @@ BAND = "CASE WHEN p < 512 THEN '[0, 512)' WHEN p < 1024 THEN '[512, 1024)' WHEN
 SELECT scenario, {BAND} AS band, count(*) AS n, round(quantile_cont(request_latency, 0.5), 6) AS latency_p50, round(quantile_cont(p, 0.5) * 196608 / 1048576, 6) AS kv_mib FROM (SELECT *, prompt_tokens AS p FROM requests) GROUP BY ALL
 """)
 def a5_context_summary(spark, sf):
-    band = numbers.context_band(F.col("prompt_tokens")).alias("band")
-    return base.requests(spark, sf).groupBy("scenario", band).agg(F.count("*").alias("n"), F.round(F.percentile("request_latency", F.lit(0.5)), 6).alias("latency_p50"), F.round(F.percentile("prompt_tokens", F.lit(0.5)) * 196608 / 1048576, 6).alias("kv_mib"))
+    band = numbers.context_band(F.col("prompt_tokens"))
+    r, keys = base.requests(spark, sf).withColumn("band", band), ["scenario", "band"]
+    out = with_percentiles(r.groupBy(*keys).agg(F.count("*").alias("n")), r, keys, {"latency": F.col("request_latency"), "tokens": F.col("prompt_tokens")}, (0.5,))
+    return out.select(*keys, "n", F.round("latency_p50", 6).alias("latency_p50"), F.round(F.col("tokens_p50") * 196608 / 1048576, 6).alias("kv_mib"))
 
 
 @query("""
