@@ -30,6 +30,15 @@ def golden_errors(df: DataFrame, labels: list[str], id_col: str = "id", text: st
     return df.join(counts, id_col, "left").select(id_col, reasons.alias("reasons")).where(F.size("reasons") > 0)
 
 
+def load_unlabelled(df: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows: example_id, input_sha256, chars of every row whose text isn't blank; errors: example_id, n of the ids that stand more
+    than once, which strict loading refuses). A blank or null id is the digest of its text. Copies of an id are
+    counted where they lie before they are shuffled, so a hot id is no hot key."""
+    own = F.when(F.coalesce(F.trim(id_col), F.lit("")) == "", F.sha2(text_col, 256)).otherwise(F.col(id_col))
+    rows = df.where(F.trim(text_col) != "").select(own.alias("example_id"), F.sha2(text_col, 256).alias("input_sha256"), F.length(text_col).cast("long").alias("chars"))
+    return rows, rows.groupBy("example_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def latest_per_key(df: DataFrame, key: str, when: str, tie: str) -> DataFrame:
     """The newest row of each key; equal times by the larger tie. A partial aggregate, so hot keys are no sort."""
     row = F.struct(*df.columns)

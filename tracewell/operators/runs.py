@@ -245,7 +245,8 @@ def cell_summary(requests: DataFrame, keys: list[str]) -> DataFrame:
     """Closed-loop curve cells: ok and errors, rates over the wall from first start to last end (null unless above 0)."""
     ok = status_is(OK_STRICT)
     wall = F.max("end_s") - F.min("start_s")
-    got = requests.groupBy(*keys).agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("errors"), wall.alias("wall_s"), F.sum(F.when(ok, F.col("output_tokens"))).alias("tokens"), F.count_if(ok & F.col("prompt_tokens").isNull()).alias("missing_prompt_tokens"), *spread(F.when(ok, F.col("ttft_ms")), "ttft"), *spread(F.when(ok, F.col("latency_s")), "e2e"))
+    got = requests.groupBy(*keys).agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("errors"), wall.alias("wall_s"), F.sum(F.when(ok, F.col("output_tokens"))).alias("tokens"), F.count_if(ok & F.col("prompt_tokens").isNull()).alias("missing_prompt_tokens"))
+    got = with_percentiles(got, requests, keys, {"ttft": F.when(ok, F.col("ttft_ms")), "e2e": F.when(ok, F.col("latency_s"))})
     rate = lambda c: F.when(F.col("wall_s") > 0, F.col(c) / F.col("wall_s"))
     return got.withColumn("requests_s", rate("ok")).withColumn("tokens_s", rate("tokens"))
 

@@ -139,7 +139,7 @@ def j13_expected_grid(spark, sf):
 
 @query("SELECT model, count(*) FILTER (exact_match) AS exact, round(avg(f1) FILTER (parse_ok), 9) AS parsed_f1 FROM scored GROUP BY model")
 def st3_latest_predictions(spark, sf):
-    """The batch form of the resumable log: the last record of each id counts."""
+    """The batch form of the resumable log (st3_prediction_log is the stream): the last record of each id counts."""
     t = base.tagged(spark, sf).withColumn("s", lb.compare_tags(F.col("expected"), F.col("generated"))).select("example_id", "model", "pos", "s.f1", "s.exact_match", (F.col("user_id") % 9 != 0).alias("parse_ok"))
     log = t.withColumn("f1", F.lit(0.0)).withColumn("pos", F.col("pos") - 1).unionByName(t)
     last = scoring.dedup(log, ["example_id"], [F.col("pos")], last=True)
