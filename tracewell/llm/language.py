@@ -197,11 +197,11 @@ def train(df: DataFrame, path: str, text_col: str = "text", lang_col: str = "lan
     """Fit on a bounded sample of df: at most `documents` different whole texts of each non-null language, those with the
     smallest hash (before that, texts are drawn by it at a rate that gives twice as many), with all their words.
 
-    One job counts the languages, another the sample's words and fits each language in a task. The driver gets the
+    One job counts the languages' different texts, another the sample's words and fits each language in a task. The driver gets the
     probabilities: a number by language and piece of the vocabulary."""
     spark, pieces = df.sparkSession, vocabulary(path)
     known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: max(1, r["n"]) for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not sizes:
         return Model([], pieces, np.zeros((0, 0)), unknown)
     rates = spark.createDataFrame([(k, min(1.0, 2 * documents / n)) for k, n in sizes.items()], "lang string, rate double")

@@ -103,9 +103,9 @@ def train(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     many), and of the texts that have these labels again at most `sample` by a hash of the text. So `sample` rows are
     sent to the tasks, and as many feature vectors to the driver, however often an id repeats in either table."""
     small_batches(df.sparkSession)
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).distinct()
     rate = 2 * sample / max(1, known.count())
-    drawn = known.withColumn("draw", F.xxhash64("id", "label", F.lit("quality"))).where(F.pmod("draw", F.lit(1_000_003)) < rate * 1_000_003).dropDuplicates(["id", "label"])
+    drawn = known.withColumn("draw", F.xxhash64("id", "label", F.lit("quality"))).where(F.pmod("draw", F.lit(1_000_003)) < rate * 1_000_003)
     chosen = drawn.orderBy("draw", "id", "label").limit(sample).select("id", "label")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "label", F.xxhash64("id", "text").alias("place"))
 
