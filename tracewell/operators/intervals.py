@@ -14,9 +14,11 @@ def phase_of(t: Column, first: Column, last: Column) -> Column:
 
 
 def bucket_width(spans: DataFrame) -> float:
-    """Mean length of the intervals: then all of them together touch at most three times as many buckets as they are."""
-    mean = None if spans.isStreaming else spans.agg(F.avg(F.col("end_s") - F.col("start_s"))).first()[0]
-    return max(1e-3, mean) if mean is not None else 3600.0
+    """Mean length of the intervals, so that all of them together touch at most three times as many buckets as they are; or
+    more, so that the longest touches no more than a hundred thousand."""
+    length = F.col("end_s") - F.col("start_s")
+    mean, most = (None, None) if spans.isStreaming else spans.agg(F.avg(length), F.max(length)).first()
+    return max(1e-3, mean, most / 100_000) if mean is not None else 3600.0
 
 
 def interval_join(samples: DataFrame, requests: DataFrame, width_s: float | None = None, key: str = "experiment_id") -> DataFrame:
