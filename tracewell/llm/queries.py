@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, media, packing, quality, simhash, token_store, topk
+from . import bpe, chat, language, media, packing, quality, repair, simhash, token_store, topk
 from .shared import held_out, small_batches, table, tokenizer_path
 from .token_count import count_tokens
 
@@ -75,10 +75,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and the digest of the repaired turns of every conversation, after planted damage."""
+    whole = table(spark, sf_dir, "conversations")
+    found, turns = repair.repair_conversations(repair.damaged(whole))
+    ids, hashes = whole.select(F.col("conv_id").alias("id")).distinct(), repair.digests(turns).withColumnRenamed("conv_id", "hash_id")
+    rows = ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").join(hashes, F.col("id").eqNullSafe(F.col("hash_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", *repair.COUNTS, "cost")]
+    return rows.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = [op1_token_count, op2_language_id, op3_topk_search, op4_bpe_codec, op5_token_store, op6_simhash, op7_media, op8_packing, op9_chat_format, op10_quality]
+    own = [op1_token_count, op2_language_id, op3_topk_search, op4_bpe_codec, op5_token_store, op6_simhash, op7_media, op8_packing, op9_chat_format, op10_quality, op12_conversation_repair]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -112,9 +122,73 @@ WITH turns AS (
 SELECT conv_id, n_turns, sha256(all_turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM whole
 """
 
+#: The checksum is computed byte by byte with its table of 256; a recursive query keeps the best (cost, audit) of each state.
+SQL_OP12 = r"""
+WITH RECURSIVE bits(n, k, v) AS (
+    SELECT n, 0, n FROM range(256) t(n)
+    UNION ALL SELECT n, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE k < 8
+), lookup AS (
+    SELECT list(v ORDER BY n) AS xs FROM bits WHERE k = 8
+), lots AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+            lambda a, b: xor(a // 256, xs[(xor(a, b) % 256) + 1])), 4294967295) % 20 AS lot
+    FROM conversations, lookup
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+        CASE lot WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN lot = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM lots WHERE lot <> 0
+), ordered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, left(role, 1) AS initial
+    FROM damaged
+), marked AS (
+    SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+    FROM ordered
+), facts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+        count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+        count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+    FROM marked GROUP BY conv_id
+), inserts(p, q, roles, edits) AS (
+    SELECT q, q, '', '' FROM range(4) t(q)
+    UNION ALL SELECT * FROM (VALUES (0, 2, 'u', 'I'), (0, 3, 'ua', 'II'), (1, 2, 'u', 'I'), (1, 3, 'ua', 'II'), (2, 3, 'a', 'I'), (3, 2, 'u', 'I')) v(p, q, roles, edits)
+), reads(p, q, edit, cost, role) AS (
+    SELECT q, q, 'D', 3, '' FROM range(4) t(q)
+    UNION ALL SELECT * FROM (VALUES (0, 1, 'K', 0, 's'), (0, 2, 'K', 0, 'u'), (1, 2, 'K', 0, 'u'), (2, 3, 'K', 0, 'a'), (3, 2, 'K', 0, 'u'), (0, 2, 'R', 2, 'u'), (1, 2, 'R', 2, 'u'), (2, 3, 'R', 2, 'a'), (3, 2, 'R', 2, 'u')) v(p, q, edit, cost, role)
+), best(conv_id, i, state, cost, audit) AS (
+    SELECT conv_id, CAST(0 AS BIGINT), q, CAST(2 * length(edits) AS BIGINT), edits FROM facts, inserts WHERE p = 0
+    UNION ALL
+    SELECT conv_id, i, state, cost, audit FROM (
+        SELECT b.conv_id, b.i + 1 AS i, n.q AS state, b.cost + r.cost + (r.edit <> 'D' AND m.fault = 'truncated')::BIGINT + 2 * length(n.edits) AS cost, b.audit || r.edit || n.edits AS audit,
+            row_number() OVER (PARTITION BY b.conv_id, n.q ORDER BY b.cost + r.cost + (r.edit <> 'D' AND m.fault = 'truncated')::BIGINT + 2 * length(n.edits), b.audit || r.edit || n.edits) AS place
+        FROM best b JOIN marked m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.i = b.i + 1 JOIN reads r ON r.p = b.state JOIN inserts n ON n.p = r.q
+        WHERE r.edit = 'D' OR (m.fault NOT IN ('blank', 'duplicate') AND (r.edit = 'R' OR m.initial = r.role))
+    ) WHERE place = 1
+), chosen AS (
+    SELECT f.*, b.cost, b.audit FROM facts f JOIN best b ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND b.i = f.n AND b.state IN (0, 3)
+    QUALIFY row_number() OVER (PARTITION BY f.conv_id ORDER BY b.cost, b.audit) = 1
+), steps AS (
+    SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS k FROM chosen WHERE audit <> ''
+), placed AS (
+    SELECT *, sum((edit <> 'I')::INTEGER) OVER (PARTITION BY conv_id ORDER BY k) AS i FROM steps
+), turns AS (
+    SELECT p.conv_id, k, edit, m.role, m.text, (edit = 'K' AND m.initial = 's') AS is_system,
+        row_number() OVER (PARTITION BY p.conv_id, (edit = 'K' AND m.initial = 's') ORDER BY k) AS nth
+    FROM placed p LEFT JOIN marked m ON p.edit <> 'I' AND m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i WHERE edit <> 'D'
+), hashes AS (
+    SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k)) AS digest
+    FROM turns GROUP BY conv_id
+), ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+    coalesce(c.illegal, 0) AS illegal, coalesce(c.cost, 0) AS cost, coalesce(c.audit, '') AS audit, coalesce(h.digest, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN chosen c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN hashes h ON h.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op3_topk_search": SQL_OP3, "op9_chat_format": SQL_OP9}
+    own = {"op3_topk_search": SQL_OP3, "op9_chat_format": SQL_OP9, "op12_conversation_repair": SQL_OP12}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
