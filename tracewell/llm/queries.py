@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, media, packing, quality, repair, simhash, token_store, topk
+from . import bpe, chat, html, language, media, packing, quality, repair, simhash, token_store, topk
 from .shared import held_out, small_batches, table, tokenizer_path
 from .token_count import count_tokens
 
@@ -85,10 +85,17 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page and its length."""
+    small_batches(spark)
+    pages = html.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = [op1_token_count, op2_language_id, op3_topk_search, op4_bpe_codec, op5_token_store, op6_simhash, op7_media, op8_packing, op9_chat_format, op10_quality, op12_conversation_repair]
+    own = [op1_token_count, op2_language_id, op3_topk_search, op4_bpe_codec, op5_token_store, op6_simhash, op7_media, op8_packing, op9_chat_format, op10_quality, op12_conversation_repair, op13_html_extraction]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -186,9 +193,23 @@ SELECT ids.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank,
 FROM ids LEFT JOIN chosen c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN hashes h ON h.conv_id IS NOT DISTINCT FROM ids.conv_id
 """
 
+#: For pages as the tables have them, whose article is an element of that name with headings and paragraphs; SQL can't parse others.
+SQL_OP13 = r"""
+WITH articles AS (
+    SELECT page_id, url, string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>') AS parts FROM pages
+), plain AS (
+    SELECT page_id, url, list_transform(parts, lambda p: regexp_replace(regexp_replace(p, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g')) AS parts FROM articles
+), shown AS (
+    SELECT page_id, url, list_transform(parts, lambda p: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(p, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '[\s\x0b]+', ' ', 'g'))) AS parts FROM plain
+), joined AS (
+    SELECT page_id, url, coalesce(array_to_string(list_filter(parts, lambda p: p <> ''), chr(10) || chr(10)), '') AS text FROM shown
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM joined
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op3_topk_search": SQL_OP3, "op9_chat_format": SQL_OP9, "op12_conversation_repair": SQL_OP12}
+    own = {"op3_topk_search": SQL_OP3, "op9_chat_format": SQL_OP9, "op12_conversation_repair": SQL_OP12, "op13_html_extraction": SQL_OP13}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
