@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, language, media, packing, quality, repair, simhash, token_store, topk
+from . import bpe, chat, html, language, media, negatives, packing, quality, repair, simhash, token_store, topk
 from .shared import held_out, small_batches, table, tokenizer_path
 from .token_count import count_tokens
 
@@ -75,6 +75,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of every hundredth vector that score nearly as high as its positives; a seventh of the labels is shifted."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and the digest of the repaired turns of every conversation, after planted damage."""
     whole = table(spark, sf_dir, "conversations")
@@ -95,7 +102,7 @@ def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    own = [op1_token_count, op2_language_id, op3_topk_search, op4_bpe_codec, op5_token_store, op6_simhash, op7_media, op8_packing, op9_chat_format, op10_quality, op12_conversation_repair, op13_html_extraction]
+    own = [op1_token_count, op2_language_id, op3_topk_search, op4_bpe_codec, op5_token_store, op6_simhash, op7_media, op8_packing, op9_chat_format, op10_quality, op11_hard_negatives, op12_conversation_repair, op13_html_extraction]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -129,6 +136,23 @@ WITH turns AS (
 SELECT conv_id, n_turns, sha256(all_turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM whole
 """
 
+SQL_OP11 = """
+WITH ok AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id AS id, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+    FROM ok a JOIN ok r ON a.vec_id <> r.vec_id AND len(a.v) = len(r.v) WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+    n.id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+QUALIFY rank <= 5
+"""
+
 #: The checksum is computed byte by byte with its table of 256; a recursive query keeps the best (cost, audit) of each state.
 SQL_OP12 = r"""
 WITH RECURSIVE bits(n, k, v) AS (
@@ -211,5 +235,5 @@ SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM joined
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op3_topk_search": SQL_OP3, "op9_chat_format": SQL_OP9, "op12_conversation_repair": SQL_OP12, "op13_html_extraction": SQL_OP13}
+    own = {"op3_topk_search": SQL_OP3, "op9_chat_format": SQL_OP9, "op11_hard_negatives": SQL_OP11, "op12_conversation_repair": SQL_OP12, "op13_html_extraction": SQL_OP13}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
