@@ -66,7 +66,7 @@ def test_labels(spark):
     assert (got["f1"], got["exact_match"], got["missing"], got["extra"]) == (0.5, False, ["produto"], ["serviço"])
     empty = one(spark, lb.compare_tags(lb.array_of([]), lb.array_of([])))[0]
     assert (empty["f1"], empty["exact_match"]) == (0.0, True)
-    cases = {"['a', \"b\"]": (["a", "b"], True), "```python\n['x']\n```": (["x"], True), "[]": ([], True), "none": ([], False), None: ([], False), "['a',]": (["a"], True), "[True, None]": (["true"], True), "{'a': 1}": ([], False)}
+    cases = {"['a', \"b\"]": (["a", "b"], True), "```python\n['x']\n```": (["x"], True), "[]": ([], True), "none": ([], False), None: ([], False), "['a',]": (["a"], True), "[True, None]": (["none", "true"], True), "{'a': 1}": ([], False)}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r["t"]: (r["p"]["tags"], r["p"]["ok"]) for r in df.select("t", lb.parse_model_output(F.col("t"), lb.parse_list).alias("p")).collect()} == cases
     assert one(spark, lb.majority_vote([tags("b", "z"), tags("a", "b", "z"), tags("a")], tags("a", "b", "c")))[0] == ["a", "b"]

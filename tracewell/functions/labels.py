@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ast
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json import whole_json
+
 #: The 20 labels of the taxonomy, in its order.
 TAXONOMY = [
     "empresa estabelecida", "estabelecimento físico", "b2b", "vendas remotas", "serviço", "atuação nacional", "tecnologia", "produto", "whatsapp", "b2c",
@@ -32,49 +35,90 @@ def normalize_tags(tags: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(clean, lambda t: t.isNotNull() & (t != ""))))
 
 
+#: A list literal whose items are strings without prefix or uncommon escapes (neighbours are joined), whole numbers, None, True or
+#: False. All repetition is possessive, so that long lists need no stack.
+ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "'": "'", '"': '"'}
+QUOTED = r"""(?:'(?:[^'\\\n\r\x00]|\\[\\'"nrt])*+'|"(?:[^"\\\n\r\x00]|\\[\\'"nrt])*+")"""
+SPACE = r"[ \t\n\r\f]*+"
+ITEM = rf"(?:{QUOTED}(?:{SPACE}{QUOTED})*+|-?+[1-9][0-9]{{0,17}}+|0|None|True|False)"
+LITERAL = rf"^{SPACE}\[{SPACE}(?:{ITEM}(?:{SPACE},{SPACE}{ITEM})*+{SPACE}(?:,{SPACE})?+)?+\]{SPACE}\z"
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def literal_list(text: pd.Series) -> pd.Series:
-    """List literals that JSON can't read; anything else is null."""
+    """Python's own reading of list literals, items as str() shows them; anything else is null."""
 
     def one(x):
         try:
             value = ast.literal_eval(x) if x is not None else None
-        except (ValueError, SyntaxError, MemoryError, RecursionError):
+        except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
             return None
-        return [v if v is None else str(v) for v in value] if isinstance(value, list) else None
+        return [str(v) for v in value] if isinstance(value, list) else None
 
     return text.map(one)
 
 
+def unescaped(text: Column) -> Column:
+    """The common escapes of a literal; a double backslash is one, whatever follows."""
+    parts = F.split(text, r"\\\\")
+    return F.array_join(F.transform(parts, lambda p: reduce(lambda t, e: F.replace(t, F.lit("\\" + e[0]), F.lit(e[1])), ESCAPES.items(), p)), "\\")
+
+
+def plain_list(text: Column) -> Column:
+    """array<string> of the lists that LITERAL matches as a whole, items as str() shows them; others are null."""
+    joined = lambda item: F.array_join(F.transform(F.regexp_extract_all(item, F.lit(f"({QUOTED})"), 1), lambda q: unescaped(F.substring(q, F.lit(2), F.length(q) - 2))), "")
+    items = F.transform(F.regexp_extract_all(text, F.lit(f"({ITEM})"), 1), lambda x: F.when(x.rlike("^['\"]"), joined(x)).otherwise(x))
+    # Three quotes in a row may open a long string, in which quotes mean something else.
+    return F.when(text.rlike(LITERAL) & ~text.contains("'''") & ~text.contains('"""'), items)
+
+
 def parse_list(text: Column) -> Column:
-    """A list of text as array<string>, null if it is none. Python sees only bracketed texts that from_json can't read."""
-    t = F.trim(text)
-    quick = F.from_json(t, "array<string>")
-    rest = F.when(quick.isNull() & t.startswith("[") & t.endswith("]"), t)
-    return F.when(t.startswith("["), F.coalesce(quick, F.when(rest.isNotNull(), literal_list(rest))))
+    """A text that is one list literal, and nothing else, as array<string> of its items as str() shows them; else null. Python
+    reads only those that begin like a list and that plain_list can't decide."""
+    quick = plain_list(text)
+    rest = F.when(quick.isNull() & text.rlike(r"^[ \t\n\r\f]*+[\[(#]"), text)
+    return F.coalesce(quick, F.when(rest.isNotNull(), literal_list(rest)))
 
 
 def parse_list_builtin(text: Column) -> Column:
-    """The same without Python: lists of quoted strings in either kind of quotes; others are null."""
-    t = F.trim(text)
-    return F.when(t.startswith("["), F.from_json(t, "array<string>"))
+    """The same without Python; lists with numbers other than whole ones, nested values or uncommon escapes are null."""
+    return plain_list(text)
+
+
+def json_items(text: Column) -> Column:
+    """The items of a JSON list as text, null ones left out; null if the text is no such list."""
+    items = F.try_variant_get(whole_json(text), "$", "array<variant>")
+    return F.transform(F.filter(items, lambda v: ~F.is_variant_null(v)), lambda v: F.try_variant_get(v, "$", "string"))
+
+
+def parse_tags_either(text: Column, parse=parse_list) -> Column:
+    """struct<tags, ok>: a JSON list, else a list literal; null and None leave, and what is left makes it ok."""
+    literal = F.filter(parse(text), lambda x: x != "None")
+    got = F.coalesce(json_items(text), literal, array_of([]))
+    return F.struct(got.alias("tags"), (F.size(got) > 0).alias("ok"))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s++|\s++\z", "")
 
 
 def unfence(text: Column) -> Column:
-    """Without a code fence: its first line and its closing marks."""
-    t = F.trim(text)
-    return F.when(t.startswith("```"), F.trim(F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*\n?", ""), r"\s*```$", ""))).otherwise(t)
+    """Stripped, and without a code fence: its first line (if it has others) and its closing marks."""
+    t = stripped(text)
+    return F.when(t.startswith("```"), stripped(F.regexp_replace(F.regexp_replace(t, r"^[^\n]*+\n", ""), r"```\z", ""))).otherwise(t)
 
 
-def parse_model_output(text: Column, parse=parse_list_builtin) -> Column:
+def parse_model_output(text: Column, parse=parse_list) -> Column:
     """struct<tags, ok>: the empty list is a valid answer; what is no list is not, and gives no tags."""
     got = parse(unfence(text))
     return F.struct(F.coalesce(normalize_tags(got), array_of([])).alias("tags"), got.isNotNull().alias("ok"))
 
 
 def parse_structured_output(text: Column, allowed: Column) -> Column:
-    """struct<tags, ok> of a JSON object with a list `tags`; a tag outside `allowed` voids the answer."""
-    got = F.from_json(text, "struct<tags:array<string>>")["tags"]
+    """struct<tags, ok> of a JSON object, and nothing else, with a list `tags`; a tag outside `allowed` voids the answer, and so
+    do null and nested values, which are no tags of any taxonomy."""
+    show = lambda v: F.when(F.is_variant_null(v), "None").otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("[]")))
+    got = F.transform(F.try_variant_get(whole_json(text), "$.tags", "array<variant>"), show)
     tags = normalize_tags(got)
     ok = got.isNotNull() & (F.size(F.array_except(tags, allowed)) == 0)
     return F.struct(F.when(ok, tags).otherwise(array_of([])).alias("tags"), F.coalesce(ok, F.lit(False)).alias("ok"))

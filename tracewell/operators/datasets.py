@@ -115,13 +115,15 @@ def pending(dataset: DataFrame, history: DataFrame, key: str) -> DataFrame:
 
 
 def cycle_rows(df: DataFrame, order: str, n: int) -> DataFrame:
-    """A frozen order repeated to n rows. The frozen set is a workload file: a bounded number of records."""
-    from .scoring import row_ordinals
+    """n rows: slot (from 0) and the columns of df, whose rows are repeated in a frozen order; none if df is empty.
 
-    frozen = row_ordinals(df, [order], "ordinal")
-    total = frozen.agg(F.count("*").alias("__total"))
-    slots = df.sparkSession.range(n).withColumnRenamed("id", "slot").join(F.broadcast(total)).withColumn("ordinal", F.col("slot") % F.col("__total"))
-    return slots.drop("__total").join(frozen, "ordinal")
+    Each row makes its own slots from its place and the number of rows, so nothing is joined or broadcast."""
+    from .scoring import fresh, row_ordinals
+
+    (at,) = fresh(df, "at")
+    total = df.count()
+    mine = F.when(F.col(at) < n, F.sequence(F.col(at), F.lit(n - 1).cast("long"), F.lit(max(1, total)).cast("long")))
+    return row_ordinals(df, [order], at).select(F.explode(mine).alias("slot"), *[f"`{c}`" for c in df.columns])
 
 
 #: USD for a million tokens of a batch.

@@ -159,12 +159,3 @@ def stream_text(body: Column) -> Column:
     data = F.transform(lines, lambda x: F.trim(F.substring(x, 6, 1 << 30)))
     delta = F.transform(F.filter(data, lambda x: x != "[DONE]"), lambda x: F.coalesce(F.get_json_object(x, "$.choices[0].delta.content"), F.lit("")))
     return F.when(F.size(lines) > 0, F.array_join(delta, ""))
-
-
-def schema_failure(text: Column, schema: str, required: list[str]) -> Column:
-    """Why a text isn't an object of the schema (DDL) with the required fields, null if it is one: 'missing text', 'invalid
-    JSON' or 'schema violation'. A field of another type than the schema's is a violation."""
-    got = F.from_json(text, f"struct<{schema}>", {"mode": "PERMISSIVE"})
-    whole = reduce(lambda a, b: a & b, [got[f].isNotNull() for f in required], F.lit(True))
-    blank = F.coalesce(F.trim(text), F.lit("")) == ""
-    return F.when(blank, "missing text").when(F.try_parse_json(text).isNull(), "invalid JSON").when(~(F.ltrim(text).startswith("{") & F.coalesce(whole, F.lit(False))), "schema violation")

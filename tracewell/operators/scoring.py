@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.labels import over
 
@@ -77,10 +78,72 @@ def worst(df: DataFrame, n: int = 20) -> DataFrame:
     return df.orderBy(F.asc_nulls_last("f1"), F.asc_nulls_last("latency_ms"), "example_id").limit(n)
 
 
-def row_ordinals(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
-    """0-based place of each row in a total order: a range sort, then places inside partitions plus the rows before."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = spread.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
-    base = counts.select("__part", "__first", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__base"))  # a row for each partition
-    return spread.join(F.broadcast(base), "__part").select(*df.columns, (F.col("__base") + F.col("__at") - F.col("__first")).alias(name))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def comparable(df: DataFrame, name: str) -> Column:
+    """A column in its order; points in time as whole numbers, so that they come back from the driver as they went."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(name)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(name))
+    return F.col(name)
+
+
+def split_points(keys: DataFrame, n: int, oversample: int = 32) -> list[tuple]:
+    """At most n - 1 increasing rows of keys that part them about evenly: a random sample of oversample * n rows, of which every
+    oversample-th is collected."""
+    names = keys.columns
+    sample = keys.orderBy(F.rand(7)).limit(oversample * n)
+    (at,) = fresh(keys, "at")
+    # A window without keys over a sample of bounded size.
+    ranked = sample.withColumn(at, F.row_number().over(Window.orderBy(*names)))
+    return [tuple(r) for r in ranked.where(F.col(at) % oversample == 0).orderBy(at).drop(at).distinct().orderBy(*names).limit(n - 1).collect()]
+
+
+def bucket_of(key: Column, points: list[tuple], schema: T.StructType) -> Column:
+    """How many of the increasing points aren't above a struct, by halving."""
+    if not points:
+        return F.lit(0)
+    lits = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(p, schema, strict=True)]) for p in points])
+
+    def halve(state: Column, _: Column) -> Column:
+        mid = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        more, open_ = F.element_at(lits, mid + 1) <= key, state["low"] < state["high"]
+        return F.struct(F.when(open_ & more, mid + 1).otherwise(state["low"]).alias("low"), F.when(open_ & ~more, mid).otherwise(state["high"]).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(points)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(points).bit_length())), start, halve)["low"]
+
+
+def row_ordinals(df: DataFrame, order: list[str], name: str = "ordinal", buckets: int = 0) -> DataFrame:
+    """df with the 0-based place of each row in the order of columns (null first), as a long; equal keys in the order of a hash of
+    the whole row, so that places follow from the rows alone (wholly equal rows take theirs in any order).
+
+    Split points are collected once, at most `buckets` (the shuffle partitions, if 0) less one. A row's bucket follows from its
+    key and those literals, as do the counts of buckets, of which one number each is collected; so both reads of df agree
+    whatever partitions they have, and a lost task numbers its rows as before. df must give the same rows each time: write one
+    that doesn't (rand, limit without order) first. Equal keys are parted by the hash; only wholly equal rows share a bucket."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    tie, bucket = fresh(df, "tie", "bucket")
+    keyed = df.withColumn(tie, F.xxhash64(*hashed) if hashed else F.lit(0).cast("long"))
+    keys = keyed.select(*[comparable(df, c).alias(f"k{k}") for k, c in enumerate(order)], F.col(tie).alias("k"))
+    points = split_points(keys, n)
+    key = F.struct(*[comparable(df, c).alias(f"k{k}") for k, c in enumerate(order)], F.col(tie).alias("k"))
+    dealt = keyed.withColumn(bucket, bucket_of(key, points, keys.schema))
+    counts = dict(map(tuple, dealt.groupBy(bucket).agg(F.count("*")).collect()))
+    before = [sum(counts.get(b, 0) for b in range(k)) for k in range(len(points) + 1)]
+    within = F.row_number().over(Window.partitionBy(bucket).orderBy(*order, tie)).cast("long") - 1
+    return dealt.withColumn(name, within + F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col(bucket) + 1)).select(*[f"`{c}`" for c in df.columns if c != name], name)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import company as co
+from ..functions import json as js
 from ..functions import labels as lb
 from ..functions import numbers, text as tx
 from ..operators import conversations as cv
@@ -144,9 +145,10 @@ def a34_workload_manifest(spark, sf):
     return got.agg(F.count("*").alias("requests"), F.first("t1").cast("long").alias("t1"), F.sha2(F.array_join(ids, "\n"), 256).alias("order_sha256"))
 
 
-@query("SELECT item_id, slot FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark), (SELECT unnest(range(1000)) AS slot) WHERE slot % (SELECT count(*) FROM benchmark) = k")
+@query("SELECT doc_id, sha256(text) AS sha, slot FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS total FROM documents) JOIN range(5000) r(slot) ON slot % total = k")
 def t8_cycle_rows(spark, sf):
-    return ds.cycle_rows(table(spark, sf, "benchmark").select("item_id"), "item_id", 1000).select("item_id", "slot")
+    """Wide records: whole texts go along."""
+    return ds.cycle_rows(table(spark, sf, "documents"), "doc_id", 5000).select("doc_id", F.sha2("text", 256).alias("sha"), "slot")
 
 
 @query("SELECT id FROM examples WHERE NOT (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0))")
@@ -599,8 +601,31 @@ def s8_identity_and_shareable(spark, sf):
     return public.select("id").join(private, "id", "left").select("id", F.col("site").isNotNull().alias("private"))
 
 
-@query("SELECT agent, reason, count(*) AS n FROM (SELECT user_id % 5 AS agent, CASE event_id % 3 WHEN 0 THEN 'missing text' WHEN 1 THEN 'invalid JSON' END AS reason FROM events) WHERE reason IS NOT NULL GROUP BY ALL")
+#: An object of the answers that a31 checks.
+ANSWER = {
+    "type": "object",
+    "required": ["v", "items"],
+    "properties": {"v": {"type": "string", "minLength": 1}, "score": {"type": "number", "minimum": 0, "maximum": 1}, "items": {"type": "array", "items": {"enum": ["a", "b"]}, "maxItems": 3}},
+    "additionalProperties": False,
+}
+
+
+@query("""
+SELECT agent, reason, count(*) AS n FROM (
+    SELECT user_id % 5 AS agent, CASE event_id % 12 WHEN 0 THEN 'missing text' WHEN 1 THEN 'invalid JSON' WHEN 2 THEN '$.v: not string' WHEN 3 THEN '$.v: not string' WHEN 4 THEN '$.items: missing' WHEN 5 THEN '$.items[1]: not one of the values'
+        WHEN 6 THEN '$.score: breaks maximum' WHEN 7 THEN '$.more: not allowed' WHEN 8 THEN 'invalid JSON' WHEN 9 THEN '$: not object' WHEN 10 THEN '$.items: breaks maxItems' END AS reason
+    FROM events) WHERE reason IS NOT NULL GROUP BY ALL
+""")
 def a31_schema_failures(spark, sf):
-    body = F.when(F.col("event_id") % 3 == 1, "{oops").when(F.col("event_id") % 3 == 2, F.to_json(F.struct(F.col("value").alias("v"))))
-    reason = gates.schema_failure(body, "v string", ["v"])
+    """Answers that each break one rule, and a twelfth that breaks none: a number and an object for a text, a value that isn't among
+    those allowed, one too large, an unknown field, text behind the object."""
+    v = F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))
+    obj = lambda *parts: F.concat(F.lit("{"), *parts, F.lit("}"))
+    whole = obj(F.lit('"v":'), v, F.lit(',"items":["a","b"],"score":1'))
+    forms = [
+        F.lit(None), F.lit("{oops"), F.concat(F.lit('{"items":[],"v":'), F.col("value").cast("string"), F.lit("}")), F.lit('{"v":{"a":1},"items":[]}'), obj(F.lit('"v":'), v), obj(F.lit('"v":'), v, F.lit(',"items":["a",5]')),
+        obj(F.lit('"v":'), v, F.lit(',"items":[],"score":1.5')), obj(F.lit('"v":'), v, F.lit(',"items":[],"more":1')), F.concat(whole, F.lit(" thanks")), F.concat(F.lit("["), whole, F.lit("]")), obj(F.lit('"v":'), v, F.lit(',"items":["a","a","b","b"]')), whole,
+    ]
+    body = F.element_at(F.array(*[f.cast("string") for f in forms]), (F.col("event_id") % 12 + 1).cast("int"))
+    reason = js.schema_failure(body, ANSWER)
     return table(spark, sf, "events").select((F.col("user_id") % 5).alias("agent"), reason.alias("reason")).where("reason is not null").groupBy("agent", "reason").agg(F.count("*").alias("n"))

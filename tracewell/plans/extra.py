@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import company as co
+from ..functions import json as js
 from ..functions import labels as lb
 from ..functions import text as tx
 from ..operators import gates, runs, scoring
@@ -115,13 +116,13 @@ def x35_render_messages(spark, sf):
     return table(spark, sf, "documents").where("text is not null and lang is not null").select("doc_id", F.sha2(line, 256).alias("prompt"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'missing text' WHEN 1 THEN 'invalid JSON' WHEN 2 THEN 'schema violation' END AS reason FROM events")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'missing text' WHEN 1 THEN 'invalid JSON' WHEN 2 THEN '$.tags: not array' END AS reason FROM events")
 def x24_schema_check(spark, sf):
     """Answers that came as streams of two deltas each, but for those without any."""
     text = F.when(F.col("event_id") % 4 == 1, "{oops").when(F.col("event_id") % 4 == 2, '{"tags": "x"}').when(F.col("event_id") % 4 == 3, F.to_json(F.struct(F.array("event_type").alias("tags"))))
     delta = lambda x: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(x.alias("content")).alias("delta"))).alias("choices"))))
     body = F.when(text.isNotNull(), F.concat_ws("\n\n", delta(F.substring(text, 1, 4)), delta(F.substring(text, 5, 1000)), F.lit("data: [DONE]\n")))
-    reason = gates.schema_failure(gates.stream_text(body), "tags array<string>", ["tags"])
+    reason = js.schema_failure(gates.stream_text(body), {"type": "object", "required": ["tags"], "properties": {"tags": {"type": "array", "items": {"type": "string"}}}})
     return table(spark, sf, "events").select("event_id", reason.alias("reason"))
 
 

@@ -148,32 +148,61 @@ def x1_normalize_tags(spark, sf):
     return base.tagged(spark, sf).select("example_id", F.array_join(lb.normalize_tags(messy), "|").alias("tags"))
 
 
-@query("SELECT example_id, CASE WHEN user_id % 3 < 2 THEN array_to_string(expected, '|') ELSE '' END AS tags, user_id % 3 < 2 AS ok FROM tagged")
+#: Ways to write a list of tags, by user: the text's start and end, and whether it is then a list literal.
+FORMS = [
+    ("['", "', '", "']", True), ("```python\n['", "', '", "']\n```", True), ('["', '", "', '"]', True), ("['", "' ,\n'", "',]", True), ("['", "', '", "'] trailing", False), ("('", "', '", "',)", False),
+    ("(['", "', '", "'])", True), ("['", "', None, '", "']", True), ("no ['", "', '", "']", False), ("['' '", "', r'", "']", True), ("['", "', '", "'", False), ('{"tags":["', '", "', '"]}', False),
+]
+SHOWN = "CASE user_id % 12 " + " ".join(f"WHEN {k} THEN {ok}" for k, (*_, ok) in enumerate(FORMS)) + " END"
+#: Between two tags stands a None in the eighth form; it counts as the tag none.
+WITH_NONE = "CASE WHEN user_id % 12 = 7 AND len(expected) > 1 THEN list_sort(list_append(expected, 'none')) ELSE expected END"
+
+
+def written_lists():
+    pick = lambda at: F.element_at(F.array(*[F.lit(f[at]) for f in FORMS]), (F.col("user_id") % 12 + 1).cast("int"))
+    return F.concat(pick(0), F.array_join("expected", "\x00"), pick(2)), pick(1)
+
+
+def with_lists(spark, sf):
+    text, between = written_lists()
+    return base.tagged(spark, sf).withColumn("shown", F.replace(text, F.lit("\x00"), between))
+
+
+@query(f"SELECT example_id, CASE WHEN {SHOWN} THEN array_to_string({WITH_NONE}, '|') ELSE '' END AS tags, {SHOWN} AS ok FROM tagged")
 def x3_parse_model_output(spark, sf):
-    py = F.concat(F.lit("['"), F.array_join("expected", "', '"), F.lit("']"))
-    shown = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("```python\n"), py, F.lit("\n```"))).when(F.col("user_id") % 3 == 1, F.to_json("expected")).otherwise("no list")
-    out = lb.parse_model_output(shown)
-    return base.tagged(spark, sf).select("example_id", F.array_join(out["tags"], "|").alias("tags"), out["ok"].alias("ok"))
+    """Lists in a dozen forms, five of which hold more or less than a list literal."""
+    out = lb.parse_model_output(F.col("shown"))
+    return with_lists(spark, sf).select("example_id", F.array_join(out["tags"], "|").alias("tags"), out["ok"].alias("ok"))
 
 
-@query("SELECT example_id, CASE WHEN user_id % 2 = 0 THEN array_to_string(expected, '|') ELSE '' END AS tags FROM tagged")
+@query(f"SELECT example_id, CASE WHEN {SHOWN} AND user_id % 12 <> 1 THEN array_to_string({WITH_NONE}, '|') ELSE '' END AS tags FROM tagged")
 def x2_parse_tags(spark, sf):
-    shown = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("('"), F.array_join("expected", "', '"), F.lit("',)"))).otherwise("{}")
-    text = F.regexp_replace(F.regexp_replace(shown, r"^\(", "["), r"\)$", "]")  # a trailing comma: no JSON, so Python reads it
-    return base.tagged(spark, sf).select("example_id", F.array_join(F.coalesce(lb.normalize_tags(lb.parse_list(text)), lb.array_of([])), "|").alias("tags"))
+    """The same without code fences, which parse_tags doesn't know."""
+    tags = F.coalesce(lb.normalize_tags(lb.parse_list(F.col("shown"))), lb.array_of([]))
+    return with_lists(spark, sf).select("example_id", F.array_join(tags, "|").alias("tags"))
 
 
-@query("SELECT example_id, coalesce(array_to_string(CASE WHEN user_id % 4 <> 3 THEN expected END, '|'), '') AS tags, user_id % 4 <> 3 AS ok FROM tagged")
+@query("""
+SELECT example_id, CASE user_id % 6 WHEN 0 THEN array_to_string(expected, '|') WHEN 1 THEN array_to_string(expected, '|') WHEN 2 THEN array_to_string(expected, '|') WHEN 3 THEN array_to_string(expected, '|') ELSE '' END AS tags,
+    user_id % 6 < 4 AS ok FROM tagged
+""")
 def x4_parse_tags_either(spark, sf):
-    shown = F.when(F.col("user_id") % 4 == 3, "[]").when(F.col("user_id") % 2 == 0, F.to_json("expected")).otherwise(F.concat(F.lit("['"), F.array_join("expected", "', '"), F.lit("']")))
-    got = F.coalesce(F.array_compact(lb.parse_list_builtin(shown)), lb.array_of([]))
-    return base.tagged(spark, sf).select("example_id", F.array_join(got, "|").alias("tags"), (F.size(got) > 0).alias("ok"))
+    """JSON lists (also with null), list literals (also with None), lists of nothing and lists with text behind."""
+    js = F.to_json("expected")
+    py = F.concat(F.lit("['"), F.array_join("expected", "', '"), F.lit("']"))
+    end = lambda t, more: F.concat(F.substring(t, F.lit(1), F.length(t) - 1), F.lit(more))
+    forms = [js, py, end(js, ", null]"), end(py, ", None]"), F.lit("[null]"), F.concat(js, F.lit(" so"))]
+    got = lb.parse_tags_either(F.element_at(F.array(*forms), (F.col("user_id") % 6 + 1).cast("int")))
+    return base.tagged(spark, sf).select("example_id", F.array_join(got["tags"], "|").alias("tags"), got["ok"].alias("ok"))
 
 
-@query("SELECT example_id, CASE WHEN list_contains(expected, 'error') THEN '' ELSE array_to_string(expected, '|') END AS tags, NOT list_contains(expected, 'error') AS ok FROM tagged")
+@query("SELECT example_id, CASE WHEN list_contains(expected, 'error') OR user_id % 5 > 1 THEN '' ELSE array_to_string(expected, '|') END AS tags, NOT list_contains(expected, 'error') AND user_id % 5 < 2 AS ok FROM tagged")
 def x5_parse_structured_output(spark, sf):
+    """Objects as they should be, with blanks around, with text behind, with a null tag, and twice."""
     allowed = lb.array_of([t for t in TYPES if t != "error"])
-    out = lb.parse_structured_output(F.to_json(F.struct(F.col("expected").alias("tags"))), allowed)
+    whole = F.to_json(F.struct(F.col("expected").alias("tags")))
+    forms = [whole, F.concat(F.lit(" \n"), whole, F.lit("\n")), F.concat(whole, F.lit(" thanks")), F.replace(whole, F.lit("["), F.lit("[null,")), F.concat(whole, whole)]
+    out = lb.parse_structured_output(F.element_at(F.array(*forms), (F.col("user_id") % 5 + 1).cast("int")), allowed)
     return base.tagged(spark, sf).select("example_id", F.array_join(out["tags"], "|").alias("tags"), out["ok"].alias("ok"))
 
 
@@ -190,10 +219,12 @@ def w3_dedup(spark, sf):
     return first.select("user_id", F.col("event_id").alias("first_id")).join(last.select("user_id", F.col("event_id").alias("last_id")), "user_id")
 
 
-@query("SELECT event_id, 'all-' || lpad(CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS VARCHAR), 6, '0') AS custom_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 1000 AS chunk FROM events")
+@query("SELECT event_id, event_type, value, sha256(event_type || event_id) AS payload, 'all-' || lpad(CAST(row_number() OVER (ORDER BY event_type, user_id, event_id) - 1 AS VARCHAR), 6, '0') AS custom_id, (row_number() OVER (ORDER BY event_type, user_id, event_id) - 1) // 1000 AS chunk FROM events")
 def w13_row_ordinals(spark, sf):
-    out = scoring.row_ordinals(table(spark, sf, "events").select("ts", "event_id"), ["ts", "event_id"])
-    return out.select("event_id", F.concat(F.lit("all-"), F.lpad(F.col("ordinal").cast("string"), 6, "0")).alias("custom_id"), F.floor(F.col("ordinal") / 1000).alias("chunk"))
+    """Wide rows in few types and users, whose exact places depend on their ids."""
+    e = table(spark, sf, "events").withColumn("payload", F.sha2(F.concat("event_type", F.col("event_id").cast("string")), 256))
+    out = scoring.row_ordinals(e, ["event_type", "user_id", "event_id"])
+    return out.select("event_id", "event_type", "value", "payload", F.concat(F.lit("all-"), F.lpad(F.col("ordinal").cast("string"), 6, "0")).alias("custom_id"), F.floor(F.col("ordinal") / 1000).alias("chunk"))
 
 
 @query("SELECT example_id, 'm' || (user_id % 4) AS label, CASE user_id % 4 WHEN 0 THEN CAST(7 AS DOUBLE) WHEN 1 THEN 1.5 END AS parameters_b, CASE user_id % 4 WHEN 0 THEN 'q4_K_M' WHEN 1 THEN 'Q8_0' END AS quantization FROM tagged")
