@@ -20,12 +20,9 @@ RAW = [
     "technologies", "tags", "cb_tags", "competitors", "_warnings", "warnings", "relationship_rd", "relationship_totvs", "updated_at", "enriched_at", "sources_metadata", "twitterX",
     "identity", "digitalPresence", "digital_presence", "businessIntelligence", "business_intelligence", "scores", "mopep", "company_size", "crmContext", "crm_context", "receita_federal",
 ]
-OBJECT, LIST = "map<string,string>", "array<string>"
-
-
-def boolean(text: Column) -> Column:
-    low = fold(F.trim(text))
-    return F.when(low.isin("true", "1", "yes", "sim"), True).when(low.isin("false", "0", "no", "nao", "não"), False)
+CONTAINERS = set("technologies tags cb_tags competitors _warnings warnings identity digitalPresence digital_presence businessIntelligence business_intelligence scores mopep company_size crmContext crm_context receita_federal sources_metadata".split())
+#: Marks of an object and of a list, and the types that show whether a VARIANT is one.
+OBJECT, LIST = ("{", "map<string,variant>"), ("[", "array<variant>")
 
 
 def bind(value: Column, f) -> Column:
@@ -33,49 +30,79 @@ def bind(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def distinct_folded(items: Column) -> Column:
+# The functions below write SQL: a record has some 60 fields, and a call for each part of each column would take longer than the rows.
+
+
+def at(value: str, *keys: str) -> list[str] | str:
+    found = [f"try_variant_get({value}, '$.{k}', 'variant')" for k in keys]
+    return found if len(keys) > 1 else found[0]
+
+
+def shown(value: str, kind: str) -> str:
+    """A value as another type; one that a path gives is taken so at once."""
+    if value.endswith(", 'variant')"):
+        return f"{value.removesuffix("'variant')")}'{kind}')"
+    return f"try_variant_get({value}, '$', '{kind}')"
+
+
+def said(value: str) -> str:
+    """Text of a value; the fields in __text are text already."""
+    return value if value.startswith("__text.") else shown(value, "string")
+
+
+def folded(text: str) -> str:
+    return f"replace(replace(lower({text}), 'ß', 'ss'), 'ς', 'σ')"
+
+
+def boolean(text: str) -> str:
+    low = folded(f"trim({text})")
+    return f"CASE WHEN {low} IN ('true', '1', 'yes', 'sim') THEN true WHEN {low} IN ('false', '0', 'no', 'nao', 'não') THEN false END"
+
+
+def distinct_folded(items: str) -> str:
     """Trimmed items without blanks; of those that differ in case only the first."""
-    clean = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    first = lambda c, low: F.filter(c, lambda x, i: F.array_position(low, fold(x)) == i + 1)
-    return bind(clean, lambda c: bind(F.transform(c, lambda y: fold(y)), lambda low: first(c, low)))
+    clean = f"filter(transform({items}, x -> trim(x)), x -> x IS NOT NULL AND x <> '')"
+    return f"transform(array({clean}), c -> transform(array(transform(c, y -> {folded('y')})), low -> filter(c, (x, i) -> array_position(low, {folded('x')}) = i + 1))[0])[0]"
 
 
-def filled(text: Column) -> Column:
-    return F.when(~F.coalesce(F.trim(text), F.lit("")).isin("", "[]", "{}"), text)
+def filled(text: str) -> str:
+    return f"CASE WHEN coalesce(trim({text}), '') NOT IN ('', '[]', '{{}}') THEN {text} END"
 
 
-def either(*texts: Column) -> Column:
-    """The first that isn't empty, zero or false, or else the last as far as it isn't empty."""
-    true = [F.when(~F.lower(F.trim(x)).isin("0", "0.0", "false"), filled(x)) for x in texts[:-1]]
-    return F.coalesce(*true, filled(texts[-1]))
+def either(*values: str) -> str:
+    """Text of the first that isn't empty, zero or false, or else of the last as far as it isn't empty."""
+    true = [f"CASE WHEN lower(trim({said(v)})) NOT IN ('0', '0.0', 'false') THEN {filled(said(v))} END" for v in values[:-1]]
+    return f"coalesce({', '.join([*true, filled(said(values[-1]))])})"
 
 
-def literal_as_json(text: Column) -> Column:
-    """A Python literal as JSON, which may have single quotes here."""
-    name = lambda x, word, to: F.regexp_replace(x, rf"([\[,:{{]\s*){word}(?=\s*[,\]}}])", "$1" + to)
-    return name(name(name(name(text, "None", "null"), "None", "null"), "True", "true"), "False", "false")
+def reread(text: str) -> str:
+    """A text as VARIANT: JSON, or a Python literal, which has single quotes and names of its own."""
+    literal = text
+    for word, to in (("None", "null"), ("None", "null"), ("True", "true"), ("False", "false")):
+        literal = rf"regexp_replace({literal}, '([\\[,:{{]\\s*){word}(?=\\s*[,\\]}}])', '$1{to}')"
+    return f"coalesce(try_parse_json({text}), from_json({literal}, 'variant'))"
 
 
-def container(text: Column, kind: str) -> Column:
-    """An object as map or a list as array, of text: JSON or a Python literal; null if it is neither. Items that are
-    containers themselves stay text, so it is all one whether a container is nested or held as text."""
-    t = F.trim(text)
-    return F.when(t.startswith("{" if kind == OBJECT else "["), F.coalesce(F.from_json(t, kind), F.from_json(literal_as_json(t), kind)))
+def container(value: str, kind: tuple[str, str]) -> str:
+    """An object, or a list, of a VARIANT: as it is, or parsed where it is held as text; null if it is neither."""
+    mark, shape = kind
+    text = f"trim({said(value)})"
+    return f"CASE WHEN {shown(value, shape)} IS NOT NULL THEN {value} WHEN startswith({text}, '{mark}') THEN {reread(text)} END"
 
 
-def opened(*texts: Column) -> Column:
+def opened(*values: str) -> str:
     """The first of the objects that has any fields."""
-    return F.get(F.filter(F.array(*[container(x, OBJECT) for x in texts]), lambda m: F.size(m) > 0), F.lit(0))
+    return f"get(filter(array({', '.join(container(v, OBJECT) for v in values)}), o -> size(try_variant_get(o, '$', 'map<string,variant>')) > 0), 0)"
 
 
-def listed(*texts: Column) -> Column:
+def listed(*values: str) -> str:
     """All items of several lists one after another; a scalar is a list of one."""
-    one = lambda x: F.when(filled(x).isNull(), F.array().cast(LIST)).otherwise(F.coalesce(container(x, LIST), F.array(x)))
-    return distinct_folded(F.concat(*map(one, texts)))
+    one = lambda v: f"CASE WHEN {filled(said(v))} IS NULL THEN CAST(array() AS array<string>) ELSE coalesce(try_variant_get({container(v, LIST)}, '$', 'array<string>'), array({said(v)})) END"
+    return distinct_folded(f"concat({', '.join(map(one, values))})")
 
 
-def scalar(text: Column) -> Column:
-    return F.when(~F.ltrim(text).rlike(r"^[\[{]"), text)
+def scalar(text: str) -> str:
+    return f"CASE WHEN NOT startswith(ltrim({text}), '[') AND NOT startswith(ltrim({text}), '{{') THEN {text} END"
 
 
 def company_normalize(df: DataFrame, record: str = "record", name: str = "company") -> DataFrame:
@@ -83,66 +110,77 @@ def company_normalize(df: DataFrame, record: str = "record", name: str = "compan
     a payload, whose fields override those around it. Containers may be JSON text or Python literals. Of several places of a
     container the first that has any fields counts, of several places of a field the first with a value in those.
 
-    Each document is parsed once, level by level, into a map of its fields; every step is a projection of its own."""
-    at = lambda m, k: F.col(m)[k]
-    out = df.withColumn("__outer", container(F.col(record), OBJECT)).withColumn("__data", container(at("__outer", "data"), OBJECT))
-    out = out.withColumn("__company", opened(at("__data", "company"), at("__outer", "company")))
-    out = out.withColumn("__payload", opened(at("__outer", "payload"), F.coalesce("__company", "__outer")["payload"]))
-    out = out.withColumn("__base", F.when(F.col("__payload").isNotNull(), F.col("__outer")).otherwise(F.coalesce("__company", "__outer")))
-    over = lambda k: F.when(F.coalesce(F.map_contains_key("__payload", F.lit(k)), F.lit(False)), at("__payload", k)).otherwise(at("__base", k)).alias(k)
-    out = out.withColumn("__raw", F.struct(*map(over, [*RAW, *CHANNELS])))
-    raw = lambda k: F.col("__raw")[k]
-    out = out.withColumns({
-        "__identity": container(raw("identity"), OBJECT),
-        "__digital": container(either(raw("digitalPresence"), raw("digital_presence")), OBJECT),
-        "__business": container(either(raw("businessIntelligence"), raw("business_intelligence")), OBJECT),
-        "__scores": container(raw("scores"), OBJECT),
-        "__crm": container(either(raw("crmContext"), raw("crm_context")), OBJECT),
-    })
-    out = out.withColumns({
-        "__details": container(either(at("__digital", "domainDetails"), at("__digital", "domain_details")), OBJECT),
-        "__social": container(either(at("__digital", "socialMedia"), at("__digital", "social_media")), OBJECT),
-        "__estimated": container(at("__business", "estimated"), OBJECT),
-        "__mopep": opened(raw("mopep"), at("__scores", "mopep")),
-        "__porte": opened(raw("company_size"), at("__scores", "porte")),
-        "__receita": opened(raw("receita_federal"), either(at("__identity", "receitaFederal"), at("__identity", "receita_federal"))),
-    })
-    estimated_segment = either(raw("estimated_segment"), at("__estimated", "segment"))
+    The record is parsed once, into a VARIANT, from which each field is taken by its path; text that holds a container is
+    parsed where it is found. Steps that parse are projections of their own."""
+    # Fields that may hold containers stay VARIANT, of which each has all names with it; of the others the text is enough.
+    raw = {k: f"{'__raw' if k in CONTAINERS else '__text'}.`{k}`" for k in [*RAW, *CHANNELS]}
+    own = lambda k, kind: f"coalesce({shown(at('__payload', k), kind)}, {shown(at('__base', k), kind)}) AS `{k}`"
+    own_text = lambda k: f"CASE WHEN {at('__payload', k)} IS NOT NULL THEN {said(at('__payload', k))} ELSE {said(at('__base', k))} END AS `{k}`"
+    either_key = lambda v, *keys: opened(*at(v, *keys))
+    steps = [
+        {"__outer": f"transform(array({reread(f'trim(`{record}`)')}), o -> CASE WHEN try_variant_get(o, '$', 'map<string,variant>') IS NOT NULL THEN o END)[0]"},
+        {"__data": container(at("__outer", "data"), OBJECT)},
+        {"__company": opened(at("__data", "company"), at("__outer", "company"))},
+        {"__payload": opened(at("__outer", "payload"), at("coalesce(__company, __outer)", "payload"))},
+        {"__base": "CASE WHEN __payload IS NOT NULL THEN __outer ELSE coalesce(__company, __outer) END"},
+        {"__raw": f"struct({', '.join(own(k, 'variant') for k in raw if k in CONTAINERS)})", "__text": f"struct({', '.join(own_text(k) for k in raw if k not in CONTAINERS)})"},
+        {
+            "__identity": container(raw["identity"], OBJECT),
+            "__digital": opened(raw["digitalPresence"], raw["digital_presence"]),
+            "__business": opened(raw["businessIntelligence"], raw["business_intelligence"]),
+            "__scores": container(raw["scores"], OBJECT),
+            "__crm": opened(raw["crmContext"], raw["crm_context"]),
+        },
+        {
+            "__details": either_key("__digital", "domainDetails", "domain_details"),
+            "__social": either_key("__digital", "socialMedia", "social_media"),
+            "__estimated": container(at("__business", "estimated"), OBJECT),
+            "__mopep": opened(raw["mopep"], at("__scores", "mopep")),
+            "__porte": opened(raw["company_size"], at("__scores", "porte")),
+            "__receita": opened(raw["receita_federal"], *at("__identity", "receitaFederal", "receita_federal")),
+        },
+    ]
+    out = df
+    for step in steps:
+        out = out.selectExpr("*", *[f"{sql} AS {n}" for n, sql in step.items()])
+    estimated_segment = either(raw["estimated_segment"], at("__estimated", "segment"))
+    first = lambda *keys: f"coalesce({', '.join(filled(said(raw[k])) for k in keys)})"
+    revenue = f"CASE WHEN lower(trim({first('annual_revenue', 'estimated_revenue')})) NOT IN ('0', '0.0', 'false') THEN {first('annual_revenue', 'estimated_revenue')} END"
     fields = {
-        "cnpj": filled(raw("cnpj")),
-        "domain": filled(raw("domain")),
-        "name": either(raw("name"), at("__identity", "name")),
-        "description": either(raw("description"), at("__identity", "description")),
-        "main_cnae": either(at("__receita", "main_cnae"), at("__receita", "mainCnae"), at("__receita", "cnae_principal")),
-        "segment": either(raw("segment"), at("__business", "segment")),
+        "cnpj": filled(said(raw["cnpj"])),
+        "domain": filled(said(raw["domain"])),
+        "name": either(raw["name"], at("__identity", "name")),
+        "description": either(raw["description"], at("__identity", "description")),
+        "main_cnae": either(*at("__receita", "main_cnae", "mainCnae", "cnae_principal")),
+        "segment": either(raw["segment"], at("__business", "segment")),
         "estimated_segment": estimated_segment,
-        "business_model": either(raw("business_model"), at("__mopep", "business_model"), at("__mopep", "businessModel")),
-        "company_size": either(at("__porte", "company_size_category"), at("__porte", "category")),
-        "employees": either(raw("employees"), at("__business", "employees"), at("__estimated", "employees")),
-        "sales_team_size": either(raw("sales_team_size"), at("__business", "salesTeamSize")),
-        "annual_revenue": either(F.coalesce(filled(raw("annual_revenue")), filled(raw("estimated_revenue"))), at("__estimated", "annualRevenue"), at("__estimated", "annual_revenue")),
-        "relationship_rd": either(raw("relationship_rd"), at("__crm", "relationshipRd")),
-        "relationship_totvs": either(raw("relationship_totvs"), at("__crm", "relationshipTotvs")),
-        "updated_at": F.coalesce(filled(raw("updated_at")), filled(raw("enriched_at"))),
+        "business_model": either(raw["business_model"], *at("__mopep", "business_model", "businessModel")),
+        "company_size": either(*at("__porte", "company_size_category", "category")),
+        "employees": either(raw["employees"], at("__business", "employees"), at("__estimated", "employees")),
+        "sales_team_size": either(raw["sales_team_size"], at("__business", "salesTeamSize")),
+        "annual_revenue": f"coalesce({revenue}, {either(*at('__estimated', 'annualRevenue', 'annual_revenue'))})",
+        "relationship_rd": either(raw["relationship_rd"], at("__crm", "relationshipRd")),
+        "relationship_totvs": either(raw["relationship_totvs"], at("__crm", "relationshipTotvs")),
+        "updated_at": first("updated_at", "enriched_at"),
     }
-    shop = F.when(fold(estimated_segment) == "ecommerce", True)
-    social = {c: either(raw(c), at("__social", c)) for c in CHANNELS[:-1]}
-    social["twitter_x"] = either(F.coalesce(filled(raw("twitter_x")), filled(raw("twitterX"))), at("__social", "twitterX"), at("__social", "twitter_x"))
+    social = {c: either(raw[c], at("__social", c)) for c in CHANNELS[:-1]}
+    own_channel = f"CASE WHEN lower(trim({first('twitter_x', 'twitterX')})) NOT IN ('0', '0.0', 'false') THEN {first('twitter_x', 'twitterX')} END"
+    social["twitter_x"] = f"coalesce({own_channel}, {either(*at('__social', 'twitterX', 'twitter_x'))})"
     known = {
         **{n: scalar(c) for n, c in fields.items()},
-        "is_ecommerce": F.coalesce(boolean(raw("is_ecommerce")), shop),
-        "has_blog": F.coalesce(boolean(raw("has_blog")), boolean(at("__details", "hasBlog"))),
-        "technologies": listed(raw("technologies"), at("__details", "technologies")),
-        "tags": listed(raw("tags"), raw("cb_tags"), at("__business", "tags"), at("__mopep", "company_tags"), at("__mopep", "companyTags")),
-        "competitors": listed(raw("competitors"), at("__business", "competitors")),
-        "warnings": listed(raw("_warnings"), raw("warnings")),
-        "sources_metadata": F.when(container(raw("sources_metadata"), OBJECT).isNotNull(), filled(raw("sources_metadata"))),
-        "social_media": F.struct(*[scalar(c).alias(n) for n, c in social.items()]),
+        "is_ecommerce": f"coalesce({boolean(said(raw['is_ecommerce']))}, CASE WHEN {folded(estimated_segment)} = 'ecommerce' THEN true END)",
+        "has_blog": f"coalesce({boolean(said(raw['has_blog']))}, {boolean(said(at('__details', 'hasBlog')))})",
+        "technologies": listed(raw["technologies"], at("__details", "technologies")),
+        "tags": listed(raw["tags"], raw["cb_tags"], at("__business", "tags"), *at("__mopep", "company_tags", "companyTags")),
+        "competitors": listed(raw["competitors"], at("__business", "competitors")),
+        "warnings": listed(raw["_warnings"], raw["warnings"]),
+        "sources_metadata": f"CASE WHEN {container(raw['sources_metadata'], OBJECT)} IS NOT NULL THEN {filled(said(raw['sources_metadata']))} END",
+        "social_media": f"struct({', '.join(f'{scalar(c)} AS {n}' for n, c in social.items())})",
     }
-    out = out.withColumn(name, F.struct(*[c.alias(n) for n, c in known.items()]))
+    out = out.drop(name).selectExpr("*", f"struct({', '.join(f'{c} AS {n}' for n, c in known.items())}) AS `{name}`")
     own = F.trim(F.coalesce(F.col(f"{name}.cnpj"), F.col(f"{name}.domain"), F.col(f"{name}.name"), F.lit("")))
     # A generator of one row keeps the fields from being computed again for each later use.
-    return out.select(*df.columns, F.explode(F.array(F.col(name).withField("company_id", own))).alias(name))
+    return out.select(*[c for c in df.columns if c != name], F.explode(F.array(F.col(name).withField("company_id", own))).alias(name))
 
 
 def company_tags(c: Column) -> Column:
