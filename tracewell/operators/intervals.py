@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import blocked_scan
+
 OUTSIDE = "outside_request"
 STATS = ("sample_count", "mean", "p50", "p95", "min", "max", "first", "last", "delta", "rate_mean")
 
@@ -71,8 +73,8 @@ def counter_rate(series: DataFrame, keys: list[str], mask_resets: bool = True) -
     """Change over time between neighbours of a series; equal times are averaged first. mask_resets: no rate where the
     counter falls."""
     even = series.groupBy(*keys, "timestamp_s").agg(F.avg("value").alias("value"))
-    w = Window.partitionBy(*keys).orderBy("timestamp_s")
-    dv, dt = F.col("value") - F.lag("value").over(w), F.col("timestamp_s") - F.lag("timestamp_s").over(w)
+    even = blocked_scan(even, keys, ["timestamp_s"], before={"__v": "value", "__t": "timestamp_s"}, source=series)
+    dv, dt = F.col("value") - F.col("__v"), F.col("timestamp_s") - F.col("__t")
     ok = (dt > 0) & (dv >= 0) if mask_resets else dt > 0
     return even.select(*keys, "timestamp_s", "value", F.when(ok, dv / dt).alias("rate"))
 
@@ -86,8 +88,8 @@ def first_last_delta(rows: DataFrame, keys: list[str]) -> DataFrame:
 def trapezoid(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Integral over time by group, after equal times are averaged; null under two points."""
     even = rows.groupBy(*keys, "timestamp_s").agg(F.avg("value").alias("value"))
-    w = Window.partitionBy(*keys).orderBy("timestamp_s")
-    area = (F.col("value") + F.lag("value").over(w)) / 2 * (F.col("timestamp_s") - F.lag("timestamp_s").over(w))
+    even = blocked_scan(even, keys, ["timestamp_s"], before={"__v": "value", "__t": "timestamp_s"}, source=rows)
+    area = (F.col("value") + F.col("__v")) / 2 * (F.col("timestamp_s") - F.col("__t"))
     return even.withColumn("area", area).groupBy(*keys).agg(F.count("*").alias("points"), F.sum("area").alias("integral"))
 
 
@@ -102,8 +104,8 @@ def concurrency(intervals: DataFrame, key: str) -> DataFrame:
     """Most intervals open at once by key: a sweep over starts and ends, ends first where they meet."""
     moves = intervals.select(key, F.explode(F.array(F.struct(F.col("start_s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_s").alias("t"), F.lit(-1).alias("d")))).alias("m"))
     even = moves.groupBy(key, "m.t", "m.d").agg(F.sum("m.d").alias("step"))
-    w = Window.partitionBy(key).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
-    return even.withColumn("open", F.sum("step").over(w)).groupBy(key).agg(F.max("open").alias("max_in_flight"))
+    open_ = blocked_scan(even, [key], ["t", "d"], {"open": F.col("step")}, source=moves.select(key, "m.t", "m.d"))
+    return open_.groupBy(key).agg(F.max("open").alias("max_in_flight"))
 
 
 def queue_timeline(requests: DataFrame, key: str) -> DataFrame:
@@ -112,9 +114,8 @@ def queue_timeline(requests: DataFrame, key: str) -> DataFrame:
     move = lambda t, flight, wait: F.struct(F.col(t).alias("t"), F.lit(flight).alias("f"), F.lit(wait).alias("w"))
     moves = requests.select(key, F.explode(F.array(move("arrival_s", 0, 1), move("start_s", 1, -1), move("end_s", -1, 0))).alias("m"))
     even = moves.groupBy(key, "m.t").agg(F.sum("m.f").alias("f"), F.sum("m.w").alias("w"))
-    order = Window.partitionBy(key).orderBy("t")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    return even.select(key, "t", F.lead("t").over(order).alias("until"), F.sum("f").over(so_far).alias("in_flight"), F.sum("w").over(so_far).alias("waiting"))
+    found = blocked_scan(even, [key], ["t"], {"in_flight": F.col("f"), "waiting": F.col("w")}, after={"until": "t"}, source=moves.select(key, "m.t"))
+    return found.select(key, "t", "until", "in_flight", "waiting")
 
 
 def queue_profile(requests: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
-from ..functions.text import cache_flags, canonical_json, fingerprint, first_scalar
+from ..functions.text import cache_flags, canonical_json, fingerprint, first_scalar, model_attributes
 from .percentiles import percentiles, with_percentiles
 
 #: The sets differ by place.
@@ -179,12 +179,64 @@ def metric_coverage(runs: DataFrame, metrics: DataFrame, samples: DataFrame, agg
     return got.select("run_id", "metric", n.alias("n"), value("mean"), value("min"), value("max"), F.when(n > 0, None).when(seen, "values_are_null").otherwise("metric_not_collected").alias("missing_reason"))
 
 
-def pairing_signature(requests: DataFrame, runtime: str = "runtime") -> DataFrame:
-    """Digest of the multiset of (scenario, request hash) by runtime. Counts are hashed one by one and summed, so no list
-    of all hashes stands anywhere."""
-    counts = requests.where("request_hash is not null").groupBy(runtime, "scenario", "request_hash").agg(F.count("*").alias("n"))
-    part = F.xxhash64("scenario", "request_hash", "n").cast("decimal(38,0)")
-    return counts.groupBy(runtime).agg(F.count("*").alias("groups"), F.sum("n").alias("requests"), F.sum(part).alias("signature"))
+def request_counts(requests: DataFrame, runtime: str = "runtime") -> DataFrame:
+    """runtime, scenario, request_hash, n: the multiset of requests; those without a hash take no part."""
+    return requests.where("request_hash is not null").groupBy(runtime, "scenario", "request_hash").agg(F.count("*").alias("n"))
+
+
+def pairing(requests: DataFrame, runtime: str = "runtime") -> DataFrame:
+    """One row: runtimes, groups (scenario and hash), differing (groups that a runtime lacks or has more or less often) and paired:
+    there are runtimes and hashes, and nothing differs. The counts themselves are compared, group by group."""
+    counts = request_counts(requests, runtime)
+    total = requests.agg(F.count_distinct(runtime).alias("runtimes"))
+    by = counts.groupBy("scenario", "request_hash").agg(F.count("*").alias("k"), F.min("n").alias("low"), F.max("n").alias("high"))
+    shapes = by.groupBy("k", (F.col("low") == F.col("high")).alias("even")).agg(F.count("*").alias("groups"))  # a row for each number of runtimes
+    sums = shapes.crossJoin(F.broadcast(total)).agg(F.max("runtimes").alias("runtimes"), F.sum("groups").alias("groups"), F.sum(F.when(~F.col("even") | (F.col("k") < F.col("runtimes")), F.col("groups")).otherwise(0)).alias("differing"))
+    return sums.select(F.coalesce("runtimes", F.lit(0)).alias("runtimes"), F.coalesce("groups", F.lit(0)).alias("groups"), F.coalesce("differing", F.lit(0)).alias("differing"), (F.coalesce("groups", F.lit(0)) > 0).alias("known")).select("runtimes", "groups", "differing", (F.col("known") & (F.col("differing") == 0)).alias("paired"))
+
+
+def pairing_signature(requests: DataFrame, runtime: str = "runtime", digits: int = 2) -> DataFrame:
+    """runtime, groups, requests, signature: SHA-256 of the multiset's lines `scenario|hash|count`, by runtime.
+
+    A list of digests: lines fall into 16 ** digits parts by a digest of scenario and hash, a part's lines are digested in order,
+    and so are the parts. So no list of all lines stands anywhere; with more groups, more digits. Two runtimes' signatures
+    are equal if and only if (but for collisions of SHA-256) their multisets are."""
+    counts = request_counts(requests, runtime)
+    name = F.concat_ws("|", F.coalesce("scenario", F.lit("")), "request_hash")
+    parts = counts.groupBy(runtime, F.substring(F.sha2(name, 256), 1, digits).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", name, F.col("n").cast("string")))), "\n"), 256).alias("digest"), F.count("*").alias("groups"), F.sum("n").alias("n"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda p: F.concat_ws(":", p["part"], p["digest"])), "\n")
+    return parts.groupBy(runtime).agg(F.sum("groups").alias("groups"), F.sum("n").alias("requests"), F.sha2(whole, 256).alias("signature"))
+
+
+def consolidate_evals(metadata: DataFrame, performance: DataFrame, predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, predictions). runs: the runs that have metadata, performance and predictions, with the first performance row's values
+    and the run's attributes; predictions: theirs, each with its run's attributes.
+
+    metadata: run_id, created_at, model, dataset, dataset_rows, seed, prompt_sha256, options (JSON text), digest, size_bytes,
+    parameter_size, quantization_level; a row for each run. performance: run_id, and values. predictions: run_id, example_id,
+    expected_tags (text), input_sha256, and values. The sample's hash is SHA-256 of the lines `example_id|expected_tags|input_sha256`
+    in the order of ids; runs with the same sample, data, prompt and options share a comparison_id. Runs without any of the three are
+    left out; if none is left both are empty (require_runs makes that an error)."""
+    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("example_id", "expected_tags", "input_sha256")])
+    samples = sample_digests(predictions.select(F.col("run_id").cast("string"), F.col("example_id").cast("string"), line.alias("line"), F.lit(None).cast("string").alias("day"))).select("run_id", F.col("sha").alias("sample_sha256"), F.col("n").alias("predictions"))
+    values = [c for c in performance.columns if c != "run_id"]
+    first = performance.groupBy("run_id").agg(F.min(F.struct(*values)).alias("p")).select("run_id", *[F.col(f"p.{c}").alias(c) for c in values])
+    stem = F.regexp_replace(F.regexp_extract("dataset", r"([^/]*)/*$", 1), r"(?<=.)\.[^.]*$", "")
+    named = model_attributes(F.coalesce("model", F.lit("")), F.col("parameter_size"), F.col("quantization_level"))
+    identity = canonical_json(dataset=F.regexp_extract("dataset", r"([^/]*)/*$", 1), prompt_sha256=F.col("prompt_sha256"), sample_sha256=F.col("sample_sha256"), options=F.col("options"))
+    label = F.when(F.coalesce("digest", F.lit("")) != "", F.concat("model", F.lit(" ["), F.substring("digest", 1, 8), F.lit("]"))).otherwise(F.col("model"))
+    own = metadata.withColumn("run_id", F.col("run_id").cast("string")).join(samples, "run_id").select("*", stem.alias("dataset_name"), named.alias("__named"), label.alias("model_label"), F.when(F.col("size_bytes") > 0, F.col("size_bytes") / 1e9).alias("model_size_gb"), fingerprint(identity, 12).alias("comparison_id"))
+    own = own.select("*", F.col("__named.parameters_b").alias("parameter_size_b"), F.col("__named.quantization").alias("quantization")).drop("__named")
+    runs = first.withColumn("run_id", F.col("run_id").cast("string")).join(own, "run_id")
+    attributes = ["created_at", "dataset_name", "prompt_sha256", "sample_sha256", "comparison_id", "model_label", "parameter_size_b", "quantization", "model_size_gb"]
+    kept = predictions.withColumn("run_id", F.col("run_id").cast("string"))
+    return runs, kept.drop(*attributes).join(runs.select("run_id", *attributes), "run_id")
+
+
+def require_runs(runs: DataFrame) -> DataFrame:
+    if runs.isEmpty():
+        raise ValueError("no complete evaluation")
+    return runs.orderBy("created_at", "run_id")
 
 
 def sample_digests(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import company as co
@@ -287,9 +289,26 @@ def w8_last_n_messages(spark, sf):
     return cv.last_n_messages(c, 4).join(n, "conv_id").select("conv_id", "n", F.array_join(F.transform("messages", lambda m: F.sha2(m["text"], 256)), ",").alias("texts"))
 
 
-@query("SELECT a.conv_id, a.turn, count(*) AS n, CAST(sum(length(b.text)) AS BIGINT) AS chars FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn <= a.turn WHERE a.role = 'user' GROUP BY ALL")
+@query("""
+, t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN CASE WHEN turn % 3 <> 0 THEN 'said ' || text ELSE '' END ELSE text END AS text FROM t),
+l AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'user' GROUP BY conv_id),
+r AS (SELECT t.conv_id, turn, role, text FROM t JOIN l USING (conv_id) WHERE turn <= last
+    UNION ALL SELECT conv_id, last + 1, 'assistant', CASE WHEN conv_id % 2 = 0 THEN '["' || conv_id || '"]' ELSE '[]' END FROM l UNION ALL SELECT conv_id, last + 2, 'user', 'Review your answer.' FROM l),
+forms AS (SELECT 'replay' AS form, * FROM t UNION ALL SELECT 'closed-loop', * FROM c UNION ALL SELECT 'review', * FROM r)
+SELECT a.form, a.conv_id, a.turn, count(*) AS n, CAST(sum(length(b.text)) AS BIGINT) AS chars, sha256(string_agg(b.role || ':' || b.text, chr(10) ORDER BY b.turn)) AS sha256
+FROM forms a JOIN forms b ON a.form = b.form AND a.conv_id = b.conv_id AND b.turn <= a.turn WHERE a.role = 'user' GROUP BY a.form, a.conv_id, a.turn
+""")
 def w9_conversation_prompts(spark, sf):
-    return cv.prompt_sizes(table(spark, sf, "conversations"))
+    """Content of every prompt in three forms: with the recorded answers, with the model's own (none for every third turn), and with
+    a review of the answer to the last."""
+    turns = table(spark, sf, "conversations")
+    outputs = turns.where("role = 'assistant' and turn % 3 <> 0").select("conv_id", "turn", F.concat(F.lit("said "), "text").alias("output"))
+    answers = turns.select("conv_id").distinct().where("conv_id % 2 = 0").withColumn("answer", F.to_json(F.array(F.col("conv_id").cast("string"))))
+    forms = {"replay": turns, "closed-loop": cv.closed_loop(turns, outputs), "review": cv.review_turns(turns, answers, "Review your answer.")}
+    both = reduce(DataFrame.unionByName, [t.select(F.lit(form).alias("form"), "conv_id", "turn", "role", "text") for form, t in forms.items()])
+    found = cv.prompt_digests(both.select(F.struct("form", "conv_id").alias("key"), "turn", "role", "text"), "key")
+    return found.select("key.form", "key.conv_id", "turn", "n", "chars", "sha256")
 
 
 @query("""
@@ -527,10 +546,18 @@ def f9_compatibility_reason(spark, sf):
     return run_table(spark, sf).select("run_id", runs.compatibility_reason(F.col("included"), missing, F.col("run_id") % 2 == 1).alias("reason"))
 
 
-@query(RUNS + " SELECT runtime, count(DISTINCT (scenario, h)) AS groups, count(*) AS requests FROM (SELECT *, request_uid % 50 AS h FROM requests) GROUP BY runtime")
+@query("""
+, k AS (SELECT runtime, scenario, CASE WHEN request_uid % 7 <> 0 THEN CAST(request_uid % 50 AS VARCHAR) END AS h FROM requests),
+c AS (SELECT runtime, scenario || '|' || h || '|' || count(*) AS line, substr(sha256(scenario || '|' || h), 1, 2) AS part, count(*) AS n, scenario, h FROM k WHERE h IS NOT NULL GROUP BY runtime, scenario, h),
+p AS (SELECT runtime, part, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest, count(*) AS groups, sum(n) AS n FROM c GROUP BY runtime, part),
+r AS (SELECT runtime, CAST(sum(groups) AS BIGINT) AS groups, CAST(sum(n) AS BIGINT) AS requests, sha256(string_agg(part || ':' || digest, chr(10) ORDER BY part)) AS signature FROM p GROUP BY runtime),
+d AS (SELECT count(*) AS differing FROM (SELECT scenario, h FROM c GROUP BY scenario, h HAVING count(*) < (SELECT count(DISTINCT runtime) FROM k) OR min(n) <> max(n)))
+SELECT r.*, differing, differing = 0 AS paired FROM r, d
+""")
 def a30_pairing_signature(spark, sf):
-    r = base.requests(spark, sf).withColumn("request_hash", (F.col("request_uid") % 50).cast("string"))
-    return runs.pairing_signature(r).select("runtime", "groups", "requests")
+    """Signatures by runtime, and in how many (scenario, hash) the runtimes differ; a seventh of the requests has no hash."""
+    r = base.requests(spark, sf).withColumn("request_hash", F.when(F.col("request_uid") % 7 != 0, (F.col("request_uid") % 50).cast("string")))
+    return runs.pairing_signature(r).crossJoin(F.broadcast(runs.pairing(r).select("differing", "paired")))  # one row
 
 
 @query("""

@@ -96,11 +96,25 @@ def f17_replay_map(spark, sf):
     return answers.select("source", F.col("request_id").alias("item"), F.col("answer").alias("value")).union(reasons.select("source", F.lit("reason"), F.explode("reasons")))
 
 
-@query("SELECT model AS run_id, count(*) AS n, min(day) AS created, substr(sha256(string_agg(example_id || '|' || array_to_string(expected, ','), chr(10) ORDER BY example_id)), 1, 12) AS sample_sha FROM tagged GROUP BY model")
+@query("""
+, p AS (SELECT *, model AS run_id, array_to_string(expected, ',') AS expected_tags, sha256(day) AS input_sha256 FROM tagged WHERE model <> 'm3'),
+s AS (SELECT run_id, count(*) AS n, sha256(string_agg(example_id || '|' || expected_tags || '|' || input_sha256, chr(10) ORDER BY example_id)) AS sample_sha FROM p GROUP BY run_id),
+m(run_id, created_at, model, digest, bytes, size, quantization, wall) AS (VALUES ('m0', '2024-01-03', 'fam:14b-q8_0', 'abcdef0123456789', 4700000000, 14.0, 'q8_0', 1.5), ('m1', '2024-01-01', 'fam', NULL, NULL, 7.5, 'Q4', 2.5)),
+r AS (SELECT m.*, s.n, s.sample_sha FROM m JOIN s USING (run_id))
+SELECT r.run_id, r.created_at, CASE WHEN digest IS NULL THEN model ELSE model || ' [' || substr(digest, 1, 8) || ']' END AS model_label, 'data.v1' AS dataset_name, bytes / 1e9 AS model_size_gb, CAST(size AS DOUBLE) AS parameter_size_b, quantization,
+    sample_sha AS sample_sha256, CAST(wall AS DOUBLE) AS wall_s, q.example_id, q.expected_tags, n AS predictions
+FROM r JOIN (SELECT run_id, example_id, expected_tags FROM p) q USING (run_id)
+""")
 def u5_consolidate_evals(spark, sf):
-    line = F.concat_ws("|", "example_id", F.array_join("expected", ","))
-    found = runs.sample_digests(base.tagged(spark, sf).select(F.col("model").alias("run_id"), "example_id", line.alias("line"), "day"))
-    return found.select("run_id", "n", "created", F.substring("sha", 1, 12).alias("sample_sha"))
+    """Every prediction with its run's attributes. Of five runs one has no metadata, one no performance and one no predictions."""
+    t = base.tagged(spark, sf).where("model <> 'm3'").select(F.col("model").alias("run_id"), "example_id", F.array_join("expected", ",").alias("expected_tags"), F.sha2("day", 256).alias("input_sha256"))
+    known = [("m0", "2024-01-03", "fam:14b-q8_0", "abcdef0123456789", 4_700_000_000, None, None), ("m1", "2024-01-01", "fam", None, None, "7.5 B", "Q4"), ("m3", "2024-01-02", "fam", None, None, None, None), ("m4", "2024-01-02", "fam", None, None, None, None)]
+    metadata = spark.createDataFrame(known, "run_id string, created_at string, model string, digest string, size_bytes long, parameter_size string, quantization_level string")
+    metadata = metadata.select("*", F.lit("/data/in/data.v1.csv").alias("dataset"), F.lit(5).alias("dataset_rows"), F.lit(7).alias("seed"), F.lit("p").alias("prompt_sha256"), F.lit('{"temperature":0}').alias("options"))
+    performance = spark.createDataFrame([("m0", 1.5), ("m1", 2.5), ("m2", 3.5), ("m3", 1.0)], "run_id string, wall_s double")
+    found, predictions = runs.consolidate_evals(metadata, performance, t)
+    out = predictions.join(runs.require_runs(found).select("run_id", "wall_s", "predictions"), "run_id")
+    return out.select("run_id", "created_at", "model_label", "dataset_name", "model_size_gb", "parameter_size_b", "quantization", "sample_sha256", "wall_s", "example_id", "expected_tags", "predictions")
 
 
 @query("SELECT c_custkey, c_mktsegment AS segment, true AS has_all, false AS has_contacts FROM customer")
