@@ -286,8 +286,8 @@ GROUPS = 8192
 def pack(pieces: DataFrame, capacity: int = 4096, order_by: tuple[str, ...] = ("doc_id", "piece"), nodes: int | None = 2000, branch_nodes: int | None = 20_000) -> DataFrame:
     """pieces with sequence_id long and offset long: each piece's sequence and its place there, gapless from 0.
 
-    `pieces` has a column length, from 1 to capacity; other columns pass through (of their own names sequence_id and
-    offset they lose to the new ones). Repeated rows are packed one by one. An empty table gives an empty one. `nodes` and
+    `pieces` has a column length, from 1 to capacity, and those of order_by, in whose order pieces of one length are dealt; other
+    columns of any name pass through (sequence_id and offset lose to the new ones). A null length is an error. Repeated rows are packed one by one. An empty table gives an empty one. `nodes` and
     `branch_nodes` are those of bin_completion().
 
     What reaches the driver is the histogram, at most `capacity` rows; what is sent to tasks is the table of slots, which
@@ -296,9 +296,14 @@ def pack(pieces: DataFrame, capacity: int = 4096, order_by: tuple[str, ...] = ("
     input. Rows are dealt to groups by their place in the table, so neither a length nor a row that a third of all pieces
     repeat is a hot group."""
     keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    if not {"length", *order_by} <= set(keep):
+        raise ValueError(f"pieces need the columns length, {', '.join(order_by)}")
+    # Under names of our own, so that no column of pieces can clash with those added here.
+    own = {c: f"c{k}" for k, c in enumerate(keep)}
+    size_of, order = own["length"], [own[c] for c in order_by]
     place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(GROUPS)).cast("int")
-    placed = stored(pieces.select(*keep, place.alias("__place")))
-    histogram = {r["length"]: r["n"] for r in placed.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    placed = stored(pieces.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], place.alias("place")))
+    histogram = {r[0]: r["n"] for r in placed.groupBy(size_of).agg(F.count("*").alias("n")).collect()}
     if any(not s or s > capacity for s in histogram):
         raise ValueError("lengths must be from 1 to the capacity")
 
@@ -315,20 +320,20 @@ def pack(pieces: DataFrame, capacity: int = 4096, order_by: tuple[str, ...] = ("
     bounds = (length << 46) + lowest
 
     spark, total = pieces.sparkSession, sum(histogram.values())
-    shares = spark.createDataFrame([(s, 1 + n * GROUPS // max(1, total)) for s, n in histogram.items()], "length long, __groups int")
-    grouped = placed.join(F.broadcast(shares), "length").withColumn("__group", F.pmod("__place", "__groups"))
-    counts = stored(grouped.groupBy("length", "__group").agg(F.count("*").alias("__n")))
-    before = Window.partitionBy("length").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("length", "__group", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    numbered = grouped.withColumn("__k", F.row_number().over(Window.partitionBy("length", "__group").orderBy(*order_by)))
-    numbered = numbered.join(F.broadcast(counts), ["length", "__group"]).withColumn("__rank", F.col("__before") + F.col("__k") - 1)
-    schema = placed.select(keep).schema.add("sequence_id", "long").add("offset", "long")
+    shares = spark.createDataFrame([(s, 1 + n * GROUPS // max(1, total)) for s, n in histogram.items()], f"{size_of} long, groups int")
+    grouped = placed.join(F.broadcast(shares), size_of).withColumn("group", F.pmod("place", "groups"))
+    counts = stored(grouped.groupBy(size_of, "group").agg(F.count("*").alias("n")))
+    before = Window.partitionBy(size_of).orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(size_of, "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = grouped.withColumn("k", F.row_number().over(Window.partitionBy(size_of, "group").orderBy(*order)))
+    numbered = numbered.join(F.broadcast(counts), [size_of, "group"]).withColumn("rank", F.col("before") + F.col("k") - 1)
+    schema = placed.drop("place").schema.add("sequence_id", "long").add("offset", "long")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, number = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("length", "__rank"))
+            size, number = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in (size_of, "rank"))
             k = np.searchsorted(bounds, (size << 46) + number, side="right") - 1
-            out = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(first[k] + number - lowest[k]), pa.array(at[k])], [*keep, "sequence_id", "offset"])
+            out = [batch.column(c) for c in own.values()]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(first[k] + number - lowest[k]), pa.array(at[k])], [*own.values(), "sequence_id", "offset"])
 
-    return numbered.select(*keep, "__rank").mapInArrow(deal, schema)
+    return numbered.select(*own.values(), "rank").mapInArrow(deal, schema).toDF(*keep, "sequence_id", "offset")

@@ -14,11 +14,13 @@ NOTE = "<|im_end|><|im_start|>assistant ok"
 
 
 def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document, and whether they pass the limit."""
     counts = count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by models learned from four fifths of the ids."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.where(~held_out()), tokenizer_path("piece_bpe_32k.model"))
@@ -27,37 +29,44 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one among all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to."""
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place and ids, read back from the files of a token store."""
     out = token_store.new_store(spark)
     token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), out)
     return token_store.read_tokens(spark, out)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of their links."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a media container, and what is read back from it."""
     stored = media.with_media(table(spark, sf_dir, "documents"), F.col("text"))
     info = stored.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media.probe(F.col("media")).alias("i"))
     return info.select("doc_id", "n_bytes", "i.payload_bytes", "i.payload_sha256", "i.tail_crc32", "i.media_bytes", "i.media_sha256", media.feature(F.col("i")).alias("feature"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4,096 tokens."""
     pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 4096)
     return packing.pack(pieces, 4096)
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation's turns, read back from its formatted text."""
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", NOTE), (-1, 1, "assistant", NOTE)], "conv_id long, turn long, role string, text string")
     out = chat.format_conversations(conversations.unionByName(own))
@@ -68,6 +77,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of nearest labelled neighbours of quality, for every document."""
     small_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(~held_out()))
