@@ -39,7 +39,7 @@ def run(spark, rows, **options):
     return sorted(map(tuple, negatives.mine(spark.createDataFrame(rows, DDL), F.col("vec_id") % 2 == 0, **options).collect()))
 
 
-@pytest.mark.parametrize("block", [16, 2048])
+@pytest.mark.parametrize("block", [16])
 def test_equals_all_pairs(spark, block):
     rows = vectors(1)
     assert run(spark, rows, block=block) == brute(rows) != []
@@ -59,7 +59,7 @@ def test_products_beyond_floats(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
-    assert run(spark, [(1, [1.0], 1)]) == [] == run(spark, [(2, [1.0], 1)])
+    assert run(spark, [(2, [1.0], 1)]) == []
 
 
 @pytest.mark.parametrize("share", [0.0, 0.3, 0.8, -0.5])

@@ -6,6 +6,8 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_near_copies import brute_roots
 from tracewell.llm import packing, queries
@@ -130,6 +132,41 @@ def test_edges(spark):
     assert packing.pack(packing.cut_pieces(df.limit(0), tokenizer_path(WORD), 64), 64).collect() == []
 
 
+def test_columns_of_any_name(spark):
+    names = ["doc_id", "piece", "length", "__place", "__groups", "__rank", "place", "group", "k", "c0", "sequence_id", "a.b"]
+    df = spark.createDataFrame([(d, 0, 1000 + d, *range(9)) for d in range(20)], ", ".join(f"`{n}` {'long' if n in ('doc_id', 'length') else 'int'}" for n in names))
+    got = packing.pack(df, 4096)
+    assert got.columns == [*[n for n in names if n != "sequence_id"], "sequence_id", "offset"]
+    rows = got.collect()
+    assert len(rows) == 20 and all(r["__rank"] == 2 and r["a.b"] == 8 for r in rows) and len({r["sequence_id"] for r in rows}) == 5
+    with pytest.raises(ValueError):
+        packing.pack(df.drop("piece"), 4096)
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    """Null ids and texts, blanks, a long text, repeated rows, columns with clashing names; and an empty table."""
+    import corpus_pipeline
+
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.limit(40).select("*", F.lit(1).alias("__p"), F.lit(2).alias("__q"), F.lit(3).alias("row"), F.lit(4).alias("verdict"))
+    row = rows.where("text is not null").first().asDict()
+    odd = [row | {"doc_id": None}, row | {"text": None, "doc_id": 900_001}, row | {"text": "", "doc_id": 900_002}, row | {"text": " 12 \n", "doc_id": 900_003}, row | {"text": row["text"] + " word" * 50_000, "doc_id": 900_004}, row, row]
+    whole = rows.unionByName(spark.createDataFrame([tuple(r[c] for c in rows.columns) for r in odd], rows.schema))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, whole, sf_dir)
+        assert got.columns == whole.columns, name
+        kept = got.collect()
+        assert all((r["__p"], r["__q"], r["row"], r["verdict"]) == (1, 2, 3, 4) for r in kept) and set(kept) <= set(whole.collect()), name
+        if name == "language":
+            assert not {r["doc_id"] for r in kept} & {900_001, 900_002, 900_003}
+        if name == "near_duplicates":
+            assert len({r["doc_id"] for r in kept}) == len(kept)
+        assert stage(spark, whole.limit(0), sf_dir).collect() == [], name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, whole, sf_dir).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in pieces}) == len(pieces) >= whole.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, whole.limit(0), sf_dir).collect() == []
+
+
 def test_query(spark, sf_dir):
     texts = [(r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").collect()]
     rows = queries.op8_packing(spark, sf_dir).collect()
