@@ -13,7 +13,7 @@ from tracewell.operators import runs
 from tracewell.operators.scans import blocked_scan
 
 
-@pytest.mark.parametrize("blocks", [1, 2, 40])
+@pytest.mark.parametrize("blocks", [2, 40])
 def test_scan_equals_windows(spark, blocks):
     """One key holds most rows; null keys, null values, and columns with the scan's own names."""
     rnd = random.Random(2)
