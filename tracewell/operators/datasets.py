@@ -78,8 +78,16 @@ def hash_ranked_sample(df: DataFrame, n: int, seed: str, id_col: str) -> DataFra
 
 
 def tercile_thresholds(lengths: DataFrame, column: str) -> DataFrame:
-    """Nearest-rank thirds: t1, t2."""
-    return lengths.agg(F.expr(f"percentile_disc(1/3D) within group (order by {column})").alias("t1"), F.expr(f"percentile_disc(2/3D) within group (order by {column})").alias("t2"))
+    """t1, t2: the least lengths that at least a third and two thirds of the lengths don't exceed (nearest rank); nulls don't count.
+
+    Lengths are counted, and the counts added up in blocks, so no list of lengths stands in one buffer."""
+    from .scans import blocked_scan
+
+    counts = lengths.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("length")).agg(F.count("*").alias("n"))
+    so_far = blocked_scan(counts, [], ["length"], {"upto": F.col("n")}, source=lengths.select(F.col(column).alias("length")))
+    total = lengths.agg(F.count(column).alias("total"))  # one row
+    at = lambda k: F.min(F.when(3 * F.col("upto") >= k * F.col("total"), F.col("length"))).alias(f"t{k}")
+    return so_far.join(F.broadcast(total)).agg(at(1), at(2))
 
 
 def bucket_for(n: Column, t1: Column, t2: Column) -> Column:

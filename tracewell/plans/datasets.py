@@ -14,6 +14,7 @@ from ..functions import numbers, text as tx
 from ..operators import conversations as cv
 from ..operators import datasets as ds
 from ..operators import gates, runs
+from ..operators import summaries as sm
 from ..operators.percentiles import with_percentiles
 from ..operators.scoring import dedup
 from ..sources import tables as io
@@ -96,9 +97,7 @@ def t7_group_split(spark, sf):
 
 @query(SPLITS + " SELECT split, count(*) AS n, round(count(*) / (SELECT count(*) FROM splits), 9) AS share FROM splits GROUP BY split")
 def a21_split_shapes(spark, sf):
-    s = ds.group_split(base.examples(spark, sf), "text_hash").groupBy("split").agg(F.count("*").alias("n"))
-    total = s.agg(F.sum("n").alias("t"))
-    return s.join(F.broadcast(total)).select("split", "n", F.round(F.col("n") / F.col("t"), 9).alias("share"))
+    return sm.split_shapes(ds.group_split(base.examples(spark, sf), "text_hash")).withColumn("share", F.round("share", 9))
 
 
 @query(SPLITS + " SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM splits WHERE split = 'train') GROUP BY tag ORDER BY n DESC, tag LIMIT 5")
@@ -588,9 +587,7 @@ def u2_union_splits(spark, sf):
 @query("SELECT u.run_id, u.scenario FROM (SELECT * FROM (SELECT unnest(range(9)) AS run_id), (SELECT DISTINCT scenario FROM requests)) u ANTI JOIN requests r ON u.run_id = r.run_id AND u.scenario = r.scenario")
 def u4_missing_members(spark, sf):
     r = base.requests(spark, sf)
-    names = F.broadcast(r.select("scenario").distinct().groupBy().agg(F.collect_set("scenario").alias("all")))
-    grid = spark.range(9).withColumnRenamed("id", "run_id").join(names).select("run_id", F.explode("all").alias("scenario"))
-    return grid.join(r.select("run_id", "scenario"), ["run_id", "scenario"], "left_anti")
+    return sm.missing_members(spark.range(9).withColumnRenamed("id", "run_id"), r, "run_id", sm.catalogue(r, "scenario"), "scenario")
 
 
 @query("SELECT event_type, arg_max(event_id, (ts, event_id)) AS run_id FROM events GROUP BY event_type")

@@ -10,6 +10,7 @@ from ..functions import json as js
 from ..functions import labels as lb
 from ..functions import text as tx
 from ..operators import gates, runs, scoring
+from ..operators import summaries as sm
 from ..sources.tables import table
 from . import base
 from .base import query
@@ -145,11 +146,9 @@ def x24_schema_check(spark, sf):
 SELECT r.user_id, m.metric, count(e.event_id) AS n FROM r CROSS JOIN m LEFT JOIN events e ON e.user_id = r.user_id AND e.event_type = m.metric GROUP BY ALL
 """)
 def j13_expected_grid(spark, sf):
-    e = table(spark, sf, "events")
-    names = F.broadcast(e.groupBy().agg(F.collect_set("event_type").alias("all")))  # a catalogue of metric names
-    grid = e.select("user_id").distinct().join(names).select("user_id", F.explode("all").alias("metric"))
-    counts = e.groupBy("user_id", F.col("event_type").alias("metric")).agg(F.count("*").alias("n"))
-    return grid.join(counts, ["user_id", "metric"], "left").na.fill(0, ["n"])
+    e = table(spark, sf, "events").withColumnRenamed("event_type", "metric")
+    grid = sm.expected_grid(e, "user_id", sm.catalogue(e, "metric"), "metric")
+    return grid.join(e.groupBy("user_id", "metric").agg(F.count("*").alias("n")), ["user_id", "metric"], "left").na.fill(0, ["n"])
 
 
 @query("SELECT model, count(*) FILTER (exact_match) AS exact, round(avg(f1) FILTER (parse_ok), 9) AS parsed_f1 FROM scored GROUP BY model")

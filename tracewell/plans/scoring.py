@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as lb
 from ..functions import text as tx
 from ..operators import runs, scoring
+from ..operators import summaries as sm
 from ..sources.tables import table
 from . import base
 from .base import query
@@ -93,22 +94,19 @@ def j5_review_deltas(spark, sf):
 
 @query(f", {TURNS} SELECT model, count(*) AS n, round(avg(d), 9) AS mean_delta, round(avg(CAST(d > 0 AS INT)), 9) AS improved, round(avg(CAST(d < 0 AS INT)), 9) AS regressed FROM deltas GROUP BY model")
 def a14_review_effect(spark, sf):
-    rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 9).alias(c)
-    return deltas(spark, sf).groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg("f1_delta"), 9).alias("mean_delta"), rate("improved"), rate("regressed"))
+    return sm.review_effect(deltas(spark, sf), ["model"]).withColumns({c: F.round(c, 9) for c in ("mean_delta", "improved", "regressed")})
 
 
 @query("SELECT d.doc_id, l.quality, l.doc_id IS NULL AS unmatched FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def j3_join_golden(spark, sf):
-    d, g = table(spark, sf, "documents"), scoring.dedup(table(spark, sf, "labels"), ["doc_id"], [F.col("doc_id")])
-    return d.join(g.withColumnRenamed("doc_id", "g"), F.col("doc_id") == F.col("g"), "left").select("doc_id", "quality", F.col("g").isNull().alias("unmatched"))
+    found = sm.join_golden(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return found.select("doc_id", "quality", "unmatched")
 
 
 @query("SELECT e.event_id, r.ttft_ms FROM ev e LEFT JOIN (SELECT request_uid, run_id, repetition, min(ttft_ms) AS ttft_ms FROM requests WHERE benchmark_phase = 'measure' GROUP BY ALL) r ON e.event_id = r.request_uid AND e.user_id % 7 = r.run_id AND e.event_id % 3 = r.repetition")
 def j4_join_performance(spark, sf):
-    keys = ["request_uid", "run_id", "repetition"]
-    right = scoring.dedup(base.requests(spark, sf).where("benchmark_phase = 'measure'").select(*keys, "ttft_ms"), keys, [F.col("ttft_ms")])
     left = base.events(spark, sf).select(F.col("event_id").alias("request_uid"), (F.col("user_id") % 7).alias("run_id"), (F.col("event_id") % 3).alias("repetition"))
-    return left.join(right, keys, "left").select(F.col("request_uid").alias("event_id"), "ttft_ms")
+    return sm.join_performance(left, base.requests(spark, sf), ["request_uid", "run_id", "repetition"], ["ttft_ms"]).select(F.col("request_uid").alias("event_id"), "ttft_ms")
 
 
 @query("SELECT example_id, array_to_string(list_filter(['view', 'click', 'purchase', 'signup', 'error'], lambda t: CAST(list_contains(expected, t) AS INT) + CAST(list_contains(generated, t) AS INT) + CAST(list_contains(third, t) AS INT) >= 2), ',') AS golden FROM tagged")
@@ -120,15 +118,14 @@ def x7_majority_vote(spark, sf):
 @query("SELECT a.example_id, len(a.expected) AS n_a, len(b.generated) AS n_b, len(c.third) AS n_c FROM tagged a JOIN (SELECT * FROM tagged WHERE pos % 2 = 0) b USING (example_id) JOIN (SELECT * FROM tagged WHERE pos % 3 = 0) c USING (example_id)")
 def j6_three_voter_join(spark, sf):
     t = base.tagged(spark, sf)
-    n = lambda c, a: F.size(c).cast("long").alias(a)
-    return t.select("example_id", n("expected", "n_a")).join(t.where("pos % 2 = 0").select("example_id", n("generated", "n_b")), "example_id").join(t.where("pos % 3 = 0").select("example_id", n("third", "n_c")), "example_id")
+    voter = lambda rows, c, a: rows.select("example_id", F.size(c).cast("long").alias(a))
+    return sm.three_voter_join(voter(t, "expected", "n_a"), voter(t.where("pos % 2 = 0"), "generated", "n_b"), voter(t.where("pos % 3 = 0"), "third", "n_c"), "example_id")
 
 
 @query("SELECT split, count(*) AS n FROM tagged JOIN (SELECT DISTINCT user_id || '-' || strftime(ts, '%Y-%m-%d') AS k FROM events WHERE value > 100) ON k = example_id GROUP BY split")
 def j7_golden_vs_model(spark, sf):
-    e = table(spark, sf, "events").where("value > 100").select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")).alias("k")).distinct()
-    t = base.tagged(spark, sf)
-    return t.join(e, t["example_id"] == e["k"]).groupBy("split").agg(F.count("*").alias("n"))
+    e = table(spark, sf, "events").where("value > 100").select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")).alias("example_id"))
+    return sm.golden_vs_model(base.tagged(spark, sf), e, "example_id").groupBy("split").agg(F.count("*").alias("n"))
 
 
 @query("SELECT example_id, array_to_string(list_filter(expected, lambda x: x IN ('view', 'purchase')), ',') AS tags, len(list_filter(expected, lambda x: x IN ('view', 'purchase'))) AS n_tags, len(expected) AS n_all FROM tagged")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 from ..operators import intervals as iv
 from ..operators import runs
+from ..operators import summaries as sm
 from ..operators.percentiles import with_percentiles
 from ..operators.scoring import dedup
 from . import base
@@ -134,9 +135,8 @@ def x20_metric_metadata(spark, sf):
 SELECT sample_id, kind, coalesce(runtime, 'unassigned') AS scenario FROM samples LEFT JOIN (SELECT request_uid AS u, runtime FROM requests) ON sample_id = u
 """)
 def j11_with_scenario(spark, sf):
-    own = dedup(base.requests(spark, sf).where("request_uid is not null").select("request_uid", "runtime"), ["request_uid"], [F.col("runtime")])
-    s = base.samples(spark, sf)
-    return s.join(own, s["sample_id"] == own["request_uid"], "left").select("sample_id", "kind", F.coalesce("runtime", F.lit("unassigned")).alias("scenario"))
+    samples = base.samples(spark, sf).withColumn("request_uid", F.col("sample_id"))
+    return sm.with_scenario(samples, base.requests(spark, sf), "request_uid", "runtime").select("sample_id", "kind", "scenario")
 
 
 OK = "lower(status) IN ('successful', 'success', 'ok')"
@@ -219,10 +219,7 @@ def a27_resource_summary(spark, sf):
 SELECT metric, observed_phase, count(DISTINCT request_uid) / (SELECT count(DISTINCT request_uid) FROM matched) AS coverage FROM matched WHERE request_uid IS NOT NULL GROUP BY ALL HAVING count(DISTINCT request_uid) / (SELECT count(DISTINCT request_uid) FROM matched) >= 0.1
 """)
 def f12_coverage_gate(spark, sf):
-    rows = correlated(spark, sf).where("request_uid is not null")
-    total = rows.agg(F.count_distinct("request_uid").alias("expected"))
-    got = rows.groupBy("metric", "observed_phase").agg(F.count_distinct("request_uid").alias("n")).join(F.broadcast(total))
-    return got.select("metric", "observed_phase", (F.col("n") / F.col("expected")).alias("coverage")).where("coverage >= 0.1")
+    return sm.coverage_gate(correlated(spark, sf).where("request_uid is not null"), ["metric", "observed_phase"], "request_uid", 0.1)
 
 
 @query("""
@@ -254,7 +251,7 @@ SELECT run_id, scenario, round(avg(n), 6) AS mean_requests FROM (SELECT run_id,
 """)
 def a23_mean_curve(spark, sf):
     cells = base.requests(spark, sf).groupBy("run_id", "scenario", "repetition").agg(F.count("*").alias("n"))
-    return cells.where("run_id is not null and scenario is not null").groupBy("run_id", "scenario").agg(F.round(F.avg("n"), 6).alias("mean_requests"))
+    return sm.mean_curve(cells, ["run_id", "scenario"], "n").select("run_id", "scenario", F.round("mean", 6).alias("mean_requests"))
 
 
 @query("""
@@ -263,9 +260,8 @@ SELECT a.scenario, round(a.y, 6) AS y_a, round(b.y, 6) AS y_b, round(b.y / a.y,
 """)
 def j12_compare_curves(spark, sf):
     curve = base.requests(spark, sf).groupBy("scenario", "repetition").agg(F.avg("request_latency").alias("y"))
-    a, b = (curve.where(F.col("repetition") == k).select("scenario", F.col("y").alias(f"y_{n}")) for k, n in ((0, "a"), (1, "b")))
-    r = lambda c, n: F.round(c, 6).alias(n)
-    return a.join(b, "scenario").select("scenario", r("y_a", "y_a"), r("y_b", "y_b"), r(F.col("y_b") / F.col("y_a"), "ratio"), r(F.col("y_b") - F.col("y_a"), "delta"))
+    found = sm.compare_curves(curve.where("repetition = 0"), curve.where("repetition = 1"), ["scenario"], "y")
+    return found.withColumns({c: F.round(c, 6) for c in ("y_a", "y_b", "ratio", "delta")})
 
 
 @query("""
@@ -293,25 +289,28 @@ def x18_stream_metrics(spark, sf):
 SELECT experiment_id, request_uid, round(100 * avg(value / 1000), 10) AS mean_pct, round(100 * max(value / 1000), 10) AS max_pct, count(*) AS n FROM matched WHERE metric = 'view' OR metric = 'click' GROUP BY ALL
 """)
 def a35_kv_occupancy(spark, sf):
-    f = F.col("value") / 1000
     rows = correlated(spark, sf).where("metric = 'view' or metric = 'click'")
-    return rows.groupBy("experiment_id", "request_uid").agg(F.round(100 * F.avg(f), 10).alias("mean_pct"), F.round(100 * F.max(f), 10).alias("max_pct"), F.count("*").alias("n"))
+    return sm.kv_occupancy(rows, ["experiment_id", "request_uid"], F.col("value") / 1000).withColumns({c: F.round(c, 10) for c in ("mean_pct", "max_pct")})
 
 
 @query("""
-SELECT scenario, max_by(run_id, (ok, -run_id)) AS run_id FROM (SELECT scenario, run_id, count(*) AS ok FROM requests GROUP BY ALL) GROUP BY scenario
+, c AS (SELECT scenario, run_id, avg(ttft_ms) AS ttft, count(ttft_ms) / count(*) AS coverage FROM requests GROUP BY scenario, run_id)
+SELECT scenario, run_id, round(ttft, 6) AS ttft FROM c WHERE coverage >= 0.9 AND ttft IS NOT NULL QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY ttft, run_id) = 1
 """)
 def t9_best_by_metric(spark, sf):
-    cells = base.requests(spark, sf).groupBy("scenario", "run_id").agg(F.count("*").alias("ok"))
-    return cells.groupBy("scenario").agg(F.max_by("run_id", F.struct("ok", -F.col("run_id"))).alias("run_id"))
+    """The run with the quickest first token of each scenario, among those that have it for nine tenths of their requests."""
+    cells = base.requests(spark, sf).groupBy("scenario", "run_id").agg(F.avg("ttft_ms").alias("ttft"), (F.count("ttft_ms") / F.count("*")).alias("coverage"))
+    return sm.best_by_metric(cells, ["scenario"], "run_id", "ttft", "coverage", 0.9, highest=False).withColumn("ttft", F.round("ttft", 6))
 
 
-@query("""
-SELECT scenario, round(avg(request_latency) FILTER (runtime = '1-URGENT'), 6) AS urgent, round(avg(request_latency) FILTER (runtime = '5-LOW'), 6) AS low FROM requests GROUP BY scenario
-""")
+RUNTIMES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("SELECT scenario, " + ", ".join(f"""round(avg(ttft_ms) FILTER (runtime = '{r}'), 6) AS r{k}, count(ttft_ms) FILTER (runtime = '{r}') || '/' || count(*) FILTER (runtime = '{r}') AS c{k}""" for k, r in enumerate(RUNTIMES)) + " FROM requests GROUP BY scenario")
 def t10_pivot_resources(spark, sf):
-    wide = base.requests(spark, sf).groupBy("scenario").pivot("runtime", ["1-URGENT", "5-LOW"]).agg(F.avg("request_latency"))
-    return wide.select("scenario", F.round("1-URGENT", 6).alias("urgent"), F.round("5-LOW", 6).alias("low"))
+    """Every runtime's mean, with how many of its requests have a value."""
+    wide = sm.pivot_resources(base.requests(spark, sf), "scenario", "runtime", RUNTIMES, "ttft_ms")
+    return wide.select("scenario", *[x for k, r in enumerate(RUNTIMES) for x in (F.round(F.col(f"`{r}`"), 6).alias(f"r{k}"), F.col(f"`{r} coverage`").alias(f"c{k}"))])
 
 
 @query("""
@@ -327,4 +326,4 @@ def t11_ordered_scenarios(spark, sf):
 def j15_echo_mismatch(spark, sf):
     asked = base.events(spark, sf).select("event_id", F.col("event_id").alias("asked"))
     answers = base.events(spark, sf).select("event_id", F.expr("CASE WHEN event_id % 9 = 0 THEN event_id + 1 ELSE event_id END").alias("answered"))
-    return asked.join(answers, "event_id").groupBy((F.col("event_id") % 50).alias("event_id")).agg(F.avg((F.col("asked") != F.col("answered")).cast("int")).alias("mismatch"))
+    return sm.echo_mismatch(asked, answers, "event_id", [(F.col("event_id") % 50).alias("event_id")], "asked", "answered").drop("n")
