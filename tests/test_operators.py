@@ -166,6 +166,12 @@ def test_summaries_and_tables(spark, tmp_path):
     got = {r["experiment_id"]: r for r in io.read_summaries(spark, str(tmp_path)).collect()}
     assert (got["run-1"]["runtime"], got["run-1"]["extra"], got["run-2"]["extra"]) == ("ollama", "", "1")
     assert io.read_summaries(spark, str(tmp_path)).count() == 2
+    for k, text in enumerate(['\ufeffa,"b ""q"""\n"x\ny",1\n\n,2\n', "a,a,extra\n1,2\n", "only,head\n", ""]):
+        (tmp_path / f"odd/run-{k}").mkdir(parents=True)
+        (tmp_path / f"odd/run-{k}/summary.csv").write_text(text)
+    odd = io.read_summaries(spark, str(tmp_path / "odd"))
+    assert odd.columns == ["source_file", "experiment_id", "a", 'b "q"', "extra", "head", "only"]
+    assert sorted(tuple(r)[1:] for r in odd.collect()) == [("run-0", "", "2", "", "", ""), ("run-0", "x\ny", "1", "", "", ""), ("run-1", "2", "", "", "", "")]
     with pytest.raises(Exception):
         io.read_summaries(spark, str(tmp_path / "none")).collect()
     (tmp_path / "r/json").mkdir(parents=True)

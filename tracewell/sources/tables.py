@@ -32,23 +32,61 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}[.]parquet")
 
 
+def csv_rows(files: DataFrame) -> DataFrame:
+    """path, head, cells map<string,string>: the header (head true, its names) and the rows of CSV texts (path, value), quotes
+    doubled inside quoted fields. Rows go out in small batches, so only a file's text is held."""
+
+    def run(batches):
+        import csv
+        import io
+
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.bool_(), pa.map_(pa.string(), pa.string())]
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "head", "cells"])
+        csv.field_size_limit(1 << 30)
+        for batch in batches:
+            for path, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines = csv.reader(io.StringIO(value.removeprefix("\ufeff"), newline=""))
+                names = next((line for line in lines if line), None)
+                if names is None:
+                    continue
+                rows = [(path, True, [(n, "") for n in dict.fromkeys(names)])]
+                for line in lines:
+                    if line:
+                        rows.append((path, False, list(dict(zip(names, line)).items())))  # noqa: B905  short lines lack cells
+                    if len(rows) >= 2000:
+                        yield batch_of(rows)
+                        rows = []
+                if rows:
+                    yield batch_of(rows)
+
+    return files.mapInArrow(run, "path string, head boolean, cells map<string,string>")
+
+
+#: Columns that summaries may have together.
+COLUMNS = 10_000
+
+
 def read_summaries(spark: SparkSession, *roots: str, name: str = "summary.csv") -> DataFrame:
     """Every summary.csv (or other file pattern) below the roots: source_file, experiment_id (the folder, or the one above a folder csv), then the
-    sorted union of all columns, as text, missing as ''. No file at all is an error.
-
-    Files are grouped by header, a handful of shapes, and each shape is one read."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(list(roots), wholetext=True)
-    heads = lines.select(F.col("_metadata.file_path").alias("path"), F.element_at(F.split("value", r"\r?\n"), 1).alias("head"))
-    shapes = heads.groupBy("head").agg(F.collect_list("path").alias("paths")).collect()
-    if not shapes:
+    sorted union of all columns, as text, missing as ''. No file at all is an error, and so are more than COLUMNS columns.
+
+    Headers and lines become maps where the files are read; of them only the union of names, an aggregate, reaches the driver, and
+    no path. Files that differ in every header are one read."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(list(roots), wholetext=True)
+    rows = csv_rows(files.select(F.col("_metadata.file_path").alias("path"), "value"))
+    names = rows.where("head").select(F.explode(F.map_keys("cells")).alias("name")).distinct().limit(COLUMNS + 1)
+    names = sorted(r[0] for r in names.collect())
+    if not names:
         raise ValueError(f"no {name} found")
-    parts = [spark.read.option("header", True).csv(s["paths"]).withColumn("source_file", F.col("_metadata.file_path")) for s in shapes]
-    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    folder = F.split("source_file", "/")
+    if len(names) > COLUMNS:
+        raise ValueError(f"{name}: more than {COLUMNS} columns")
+    folder = F.split("path", "/")
     parent, above = F.element_at(folder, -2), F.element_at(folder, -3)
-    whole = whole.withColumn("experiment_id", F.when(parent == "csv", above).otherwise(parent))
-    rest = sorted(set(whole.columns) - {"source_file", "experiment_id"})
-    return whole.select("source_file", "experiment_id", *[F.coalesce(c, F.lit("")).alias(c) for c in rest])
+    own = [n for n in names if n not in ("source_file", "experiment_id")]
+    cells = [F.coalesce(F.col("cells")[n], F.lit("")).alias(n) for n in own]
+    return rows.where("not head").select(F.col("path").alias("source_file"), F.when(parent == "csv", above).otherwise(parent).alias("experiment_id"), *cells)
 
 
 WORKLOAD = "request_id string, bucket string, review_instruction string, initial_messages array<struct<role:string,content:string>>"
