@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import datasets as ds
+from tracewell.operators import runs
 from tracewell.operators import summaries as sm
 
 
@@ -54,3 +55,23 @@ def test_terciles(spark):
     assert tuple(ds.tercile_thresholds(lengths.limit(0), "n").first()) == (None, None)
     same = spark.createDataFrame([(5,)] * 7 + [(9,)], "n int")
     assert tuple(ds.tercile_thresholds(same, "n").first()) == (5, 5)
+
+
+def test_labelled_rows(spark):
+    raw = [("HTTPS://www.A.com/x", "One\r\n  two", "['b2b']", "2024-01-02T00:00:00Z"), (None, "t", "['b2b']", "2024-01-02"), ("b", " \n", "['b2b']", "2024-01-02"), ("b", "t", "['b2b', 'zz']", "2024-01-02"), ("b", "t", "[None]", "2024-01-02"), ("b", "t", "['b2b']", "bad"), ("b", None, None, None)]
+    clean = ds.cleaned(spark.createDataFrame(raw, "domain string, business_model string, tags string, enriched_at string"), ["b2b"])
+    assert rows(ds.eligible(clean).select("domain", "business_model", "n_tags")) == [("a.com", "One\ntwo", 1)]
+    assert tuple(ds.quality_counts(clean).first()) == (7, 3, 2, 2, 2, 3) and tuple(ds.quality_counts(clean.limit(0)).first()) == (0, 0, 0, 0, 0, 0)
+    df = spark.createDataFrame([(1, "x", "['A ', 'a']"), (2, "x", "['c']"), (3, None, "['c']"), (4, "y", "[]"), (5, "z", "{'c'}")], "k int, business_model string, tags string")
+    assert rows(ds.load_labelled(df, ["k"]).select("k", "expected_tags")) == [(1, ["a"])]
+    own = df.withColumn("example_id", F.when(F.col("k") > 1, F.lit(7)))
+    assert rows(ds.load_labelled(own, ["k"]).select("k", "example_id")) == [(2, "7")]
+    with pytest.raises(ValueError):
+        ds.load_labelled(df.drop("tags"), ["k"])
+
+
+def test_planned_blocks(spark):
+    plan = runs.expected_blocks(F.col("p"), F.col("s"), F.col("r"), F.col("b"))
+    cases = [(None, ["x", "y"], 3, None, 12), ("generic", None, None, None, 0), ("replay", ["x"], 2, {"short": 4, "heavy": 0}, 4), ("replay", ["x"], 2, {"short": 0}, None), ("replay", ["x"], 0, {"a": 1, "b": 2}, 3)]
+    df = spark.createDataFrame([(k, *c[:4]) for k, c in enumerate(cases)], "k int, p string, s array<string>, r int, b map<string,int>")
+    assert {r["k"]: r["n"] for r in df.select("k", plan.alias("n")).collect()} == {k: c[4] for k, c in enumerate(cases)}

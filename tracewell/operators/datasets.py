@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import array_of
+from ..functions.labels import array_of, normalize_tags, parse_list, parse_tags_either
+from ..functions.text import content_ids, normalize_domain, normalize_text, parse_utc
+from .scoring import dedup
 
 
 def valid_source_rows(df: DataFrame, text: str, tags: str) -> DataFrame:
@@ -39,6 +41,38 @@ def load_unlabelled(df: DataFrame, id_col: str = "id", text_col: str = "text") -
     return rows, rows.groupBy("example_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def cleaned(raw: DataFrame, labels: list[str], domain: str = "domain", text: str = "business_model", tags: str = "tags", when: str = "enriched_at") -> DataFrame:
+    """raw with domain and text in normal form (null is empty), `when` as a timestamp (null if it is none), tags as a list with
+    parse_ok, n_tags and n_invalid_tags (those outside labels), and the digests text_hash and example_id."""
+    parsed = parse_tags_either(F.col(tags))
+    ids = content_ids(F.col(domain), F.col(text))
+    out = raw.withColumns({domain: F.coalesce(normalize_domain(F.col(domain).cast("string")), F.lit("")), text: F.coalesce(normalize_text(F.col(text)), F.lit("")), when: parse_utc(F.col(when).cast("string")), "__parsed": parsed})
+    out = out.withColumns({tags: F.col("__parsed.tags"), "parse_ok": F.col("__parsed.ok"), "__ids": ids}).drop("__parsed")
+    return out.withColumns({"n_tags": F.size(tags), "n_invalid_tags": F.size(F.array_except(tags, array_of(labels))), "text_hash": F.col("__ids.text_hash"), "example_id": F.col("__ids.example_id")}).drop("__ids")
+
+
+def eligible(clean: DataFrame, domain: str = "domain", text: str = "business_model", when: str = "enriched_at") -> DataFrame:
+    """The rows of cleaned() with a domain, a text, a date and at least one tag, all of whose tags are labels."""
+    return clean.where(F.col("parse_ok") & (F.col(domain) != "") & (F.col(text) != "") & F.col(when).isNotNull() & (F.col("n_tags") > 0) & (F.col("n_invalid_tags") == 0))
+
+
+def quality_counts(clean: DataFrame, domain: str = "domain", when: str = "enriched_at") -> DataFrame:
+    """One row of what cleaned() found: rows, domains, parse_failures, empty_tags, invalid_dates, texts."""
+    none = lambda c: F.coalesce(F.count_if(c), F.lit(0))
+    return clean.agg(F.count("*").alias("rows"), F.count_distinct(domain).alias("domains"), none(~F.col("parse_ok")).alias("parse_failures"), none(F.col("n_tags") == 0).alias("empty_tags"), none(F.col(when).isNull()).alias("invalid_dates"), F.count_distinct("text_hash").alias("texts"))
+
+
+def load_labelled(df: DataFrame, order: list[str], text: str = "business_model", tags: str = "tags", id_col: str = "example_id") -> DataFrame:
+    """Rows with a text and at least one tag, with expected_tags (a list literal's tags in normal form); by id the first in the
+    given order. Without a column of ids an id is the digest of the text; with one, null ids go. Missing columns are an error."""
+    missing = sorted({text, tags} - set(df.columns))
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    rows = df.withColumn("expected_tags", F.coalesce(normalize_tags(parse_list(F.col(tags))), array_of([]))).where(F.col(text).isNotNull() & (F.size("expected_tags") > 0))
+    own = F.col(id_col).cast("string") if id_col in df.columns else F.sha2(text, 256)
+    return dedup(rows.withColumn(id_col, own).where(F.col(id_col).isNotNull()), [id_col], [F.col(c) for c in order])
+
+
 def latest_per_key(df: DataFrame, key: str, when: str, tie: str) -> DataFrame:
     """The newest row of each key; equal times by the larger tie. A partial aggregate, so hot keys are no sort."""
     row = F.struct(*df.columns)

@@ -348,5 +348,13 @@ def campaign_progress(summaries: DataFrame, keys: list[str]) -> DataFrame:
     return got.withColumn("progress", F.when(F.col("expected") > 0, (F.col("ok") + F.col("failed")) / F.col("expected")))
 
 
+def expected_blocks(profile: Column, scenarios: Column, repetitions: Column, bucket_counts: Column) -> Column:
+    """Blocks that a run plans: two for each scenario and repetition of the generic profile (a null profile is that), else one
+    for each repetition and one more for each of its buckets with requests (map of counts); null if none has any."""
+    times = F.when(F.coalesce(repetitions, F.lit(0)) == 0, 1).otherwise(repetitions)
+    measured = F.size(F.filter(F.map_values(bucket_counts), lambda n: n > 0))
+    return F.when(F.coalesce(profile, F.lit("generic")) == "generic", F.coalesce(F.size(F.coalesce(scenarios, F.array().cast("array<string>"))), F.lit(0)) * times * 2).when(measured > 0, times * (1 + measured))
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))

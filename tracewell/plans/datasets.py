@@ -23,9 +23,23 @@ from . import base
 from .base import query
 
 
-@query("SELECT lang, count(*) AS n FROM examples WHERE text IS NOT NULL AND trim(text) <> '' AND len(tags) > 0 AND n_chars > 100 GROUP BY lang")
+#: Raw records of documents: a domain in several forms, a date that a seventh lacks, and tags of which two fifths are none.
+RAW = """
+, raw AS (SELECT doc_id, coalesce(source, '') AS domain, coalesce(text, '') AS text, doc_id % 7 <> 0 AS dated, [['b2b', 'produto'], ['b2b'], [], [], ['zz']][doc_id % 5 + 1] AS tags FROM documents)
+"""
+
+
+def raw_records(spark, sf):
+    d = table(spark, sf, "documents")
+    form = lambda n, *forms: F.element_at(F.array(*[f if isinstance(f, Column) else F.lit(f) for f in forms]), (F.col("doc_id") % n + 1).cast("int"))
+    domain = form(3, F.concat(F.lit("https://www."), F.upper("source"), F.lit("/a/b")), F.concat(F.lit(" "), "source"), F.col("source"))
+    raw = d.select("doc_id", domain.alias("domain"), F.col("text").alias("business_model"), form(5, '["b2b", null, "produto"]', "['b2b',]", "[]", "oops", '["zz"]').alias("tags"), F.when(F.col("doc_id") % 7 == 0, "no date").otherwise("20240102T030405Z").alias("enriched_at"))
+    return ds.cleaned(raw, lb.TAXONOMY)
+
+
+@query(RAW + "SELECT domain, count(*) AS n FROM raw WHERE domain <> '' AND regexp_replace(text, '[ \\t\\r\\n]+', '', 'g') <> '' AND dated AND tags IN (['b2b'], ['b2b', 'produto']) GROUP BY domain")
 def f2_eligible(spark, sf):
-    return base.examples(spark, sf).where((F.trim("text") != "") & (F.size("tags") > 0) & (F.col("n_chars") > 100)).groupBy("lang").agg(F.count("*").alias("n"))
+    return ds.eligible(raw_records(spark, sf)).groupBy("domain").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id FROM documents WHERE trim(text) <> '' AND doc_id % 5 NOT IN (0, 1, 2)")
@@ -44,10 +58,19 @@ def f5_load_unlabelled(spark, sf):
     return rows.join(errors.select("example_id", F.lit("duplicate id").alias("reason")), "example_id", "left")
 
 
-@query("SELECT sha256(text) AS example_id, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query("""
+, d AS (SELECT doc_id, sha256(text) AS example_id, ['produto', 'b2b'] AS tags FROM documents WHERE text IS NOT NULL AND doc_id % 4 IN (0, 1)),
+o AS (SELECT doc_id, CAST(doc_id % 500 AS VARCHAR) AS example_id FROM documents WHERE text IS NOT NULL AND doc_id % 4 IN (0, 1) AND doc_id % 9 <> 0)
+SELECT 'text' AS ids, example_id, min(doc_id) AS doc_id, 'b2b|produto' AS tags FROM d GROUP BY example_id UNION ALL SELECT 'own', example_id, min(doc_id), 'b2b|produto' FROM o GROUP BY example_id
+""")
 def f4_load_labelled(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null").select(F.sha2("text", 256).alias("example_id"), "doc_id")
-    return dedup(d, ["example_id"], [F.col("doc_id")])
+    """With ids of the texts and with own ones, of which a ninth is null; half of the rows have no list, or an empty one."""
+    d = table(spark, sf, "documents")
+    shown = F.element_at(F.array(*map(F.lit, ("['Produto ', 'b2b']", "['b2b', 'produto', 'B2B']", "[]", "['b2b'] and more"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = d.select("doc_id", F.col("text").alias("business_model"), shown.alias("tags"))
+    own = rows.withColumn("example_id", F.when(F.col("doc_id") % 9 != 0, F.col("doc_id") % 500))
+    both = [ds.load_labelled(x, ["doc_id"]).select(F.lit(name).alias("ids"), "example_id", "doc_id", F.array_join("expected_tags", "|").alias("tags")) for name, x in (("text", rows), ("own", own))]
+    return both[0].unionByName(both[1])
 
 
 @query("""
@@ -65,9 +88,9 @@ def w1_latest_per_key(spark, sf):
     return ds.latest_per_key(table(spark, sf, "documents").select("source", "n_chars", "doc_id"), "source", "n_chars", "doc_id").select("source", "doc_id")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT source) AS domains, count(*) FILTER (n_chars < 100) AS short_texts, count(DISTINCT text) AS texts FROM documents")
+@query(RAW + "SELECT count(*) AS rows, count(DISTINCT domain) AS domains, count(*) FILTER (doc_id % 5 IN (2, 3)) AS parse_failures, count(*) FILTER (len(tags) = 0) AS empty_tags, count(*) FILTER (NOT dated) AS invalid_dates, count(DISTINCT " + "array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda s: trim(regexp_replace(s, '[ \\t]+', ' ', 'g'))), lambda s: s <> ''), chr(10))) AS texts FROM raw")
 def a17_quality_counts(spark, sf):
-    return table(spark, sf, "documents").agg(F.count("*").alias("n"), F.count_distinct("source").alias("domains"), F.count_if(F.col("n_chars") < 100).alias("short_texts"), F.count_distinct("text").alias("texts"))
+    return ds.quality_counts(raw_records(spark, sf))
 
 
 @query("SELECT text_hash, count(DISTINCT tags) AS tag_sets, count(*) AS n FROM examples GROUP BY text_hash HAVING count(DISTINCT tags) > 1")
@@ -596,10 +619,18 @@ def w2_latest_run_per_stage(spark, sf):
     return runs.latest_run(e, ["event_type"]).select("event_type", "run_id")
 
 
-@query("SELECT run_id, sum(CAST(lower(status) <> 'error' AS INT)) AS ok, sum(CAST(status = 'error' AS INT)) AS failed, count(*) AS blocks, CAST(1.0 AS DOUBLE) AS progress FROM requests GROUP BY run_id")
+@query("""
+SELECT run_id, sum(CAST(lower(status) <> 'error' AS INT)) AS ok, sum(CAST(status = 'error' AS INT)) AS failed, count(*) AS blocks, CAST(1.0 AS DOUBLE) AS progress,
+    CASE WHEN run_id % 3 = 0 THEN count(DISTINCT scenario) * 2 * greatest(1, run_id) WHEN run_id % 3 = 1 THEN greatest(1, run_id) * (1 + count(DISTINCT scenario) FILTER (repetition = 0)) END AS planned
+FROM requests GROUP BY run_id
+""")
 def a33_campaign_progress(spark, sf):
-    s = base.requests(spark, sf).select("run_id", (F.lower("status") != "error").cast("int").alias("ok"), (F.col("status") == "error").cast("int").alias("errored"), F.lit(0).alias("incomplete"), F.lit(1).alias("expected"))
-    return runs.campaign_progress(s, ["run_id"]).select("run_id", "ok", "failed", "blocks", "progress")
+    """Progress, and the blocks that each run plans: generic, by buckets (their counts by scenario), or by none."""
+    r = base.requests(spark, sf)
+    s = r.select("run_id", (F.lower("status") != "error").cast("int").alias("ok"), (F.col("status") == "error").cast("int").alias("errored"), F.lit(0).alias("incomplete"), F.lit(1).alias("expected"))
+    counts = r.groupBy("run_id", "scenario").agg(F.count_if(F.col("repetition") == 0).alias("n")).groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("scenario", "n"))).alias("buckets"))
+    plan = counts.select("run_id", runs.expected_blocks(F.when(F.col("run_id") % 3 > 0, "buckets"), F.map_keys("buckets"), F.col("run_id"), F.when(F.col("run_id") % 3 == 1, F.col("buckets"))).alias("planned"))
+    return runs.campaign_progress(s, ["run_id"]).join(plan, "run_id").select("run_id", "ok", "failed", "blocks", "progress", "planned")
 
 
 @query("SELECT scenario, CASE WHEN m IS NULL THEN 'no data' WHEN m <= 1700 THEN 'pass' ELSE 'fail' END AS ttft, CASE WHEN m > 1700 THEN 'fail' WHEN m IS NULL THEN 'undetermined' ELSE 'pass' END AS overall FROM (SELECT scenario, quantile_cont(ttft_ms, 0.5) AS m FROM requests GROUP BY 1)")
