@@ -103,12 +103,15 @@ def comparable(df: DataFrame, name: str) -> Column:
 def split_points(keys: DataFrame, n: int, oversample: int = 32) -> list[tuple]:
     """At most n - 1 increasing rows of keys that part them about evenly: a random sample of oversample * n rows, of which every
     oversample-th is collected."""
-    names = keys.columns
-    sample = keys.orderBy(F.rand(7)).limit(oversample * n)
     (at,) = fresh(keys, "at")
+    sample = keys.orderBy(F.rand(7)).limit(oversample * n)
     # A window without keys over a sample of bounded size.
-    ranked = sample.withColumn(at, F.row_number().over(Window.orderBy(*names)))
-    return [tuple(r) for r in ranked.where(F.col(at) % oversample == 0).orderBy(at).drop(at).distinct().orderBy(*names).limit(n - 1).collect()]
+    ranked = sample.withColumn(at, F.row_number().over(Window.orderBy(*keys.columns)))
+    points: list[tuple] = []
+    for r in sorted(ranked.where(F.col(at) % oversample == 0).collect(), key=lambda r: r[at])[: n - 1]:
+        if not points or points[-1] != tuple(r)[:-1]:
+            points.append(tuple(r)[:-1])
+    return points
 
 
 def bucket_of(key: Column, points: list[tuple], schema: T.StructType) -> Column:
