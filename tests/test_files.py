@@ -22,6 +22,7 @@ def test_hash_files(spark, tmp_path):
     assert told(io.hash_files(spark, str(tmp_path))) == want
     assert told(io.hash_files(spark, str(tmp_path), piece=1000)) == want
     assert set(told(io.hash_files(spark, str(tmp_path), "*.gz"))) == {"packed.gz"}
+    assert told(io.hash_files(spark, str(tmp_path), "*.gz", contents=True)) == {"packed.gz": (hashlib.sha256(b"text").hexdigest(), 4, None)}
     plan = io.hash_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan  # listed without contents
 
@@ -35,7 +36,7 @@ def test_hash_files_gone_or_elsewhere(spark, tmp_path):
     got = told(df)
     assert got == {"kept": (hashlib.sha256(b"k").hexdigest(), 1, None)}
 
-    def broken(path):
+    def broken(path, contents):
         raise PermissionError(path)
 
     assert {x[2] for x in told(io.hash_files(spark, str(tmp_path), "kept", opener=broken)).values()} == {"PermissionError"}

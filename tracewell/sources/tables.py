@@ -89,8 +89,8 @@ def read_summaries(spark: SparkSession, *roots: str, name: str = "summary.csv")
     return rows.where("not head").select(F.col("path").alias("source_file"), F.when(parent == "csv", above).otherwise(parent).alias("experiment_id"), *cells)
 
 
-def open_stream(path: str):
-    """A file's stored bytes, through the file systems that pyarrow knows (file, hdfs, s3, gs, abfs)."""
+def open_stream(path: str, contents: bool = False):
+    """A file's stored bytes, or (contents) what a compressed file holds, its kind told by its name; through the file systems that pyarrow knows (file, hdfs, s3, gs, abfs)."""
     from urllib.parse import quote
 
     from pyarrow import fs
@@ -100,15 +100,16 @@ def open_stream(path: str):
         system, place = fs.LocalFileSystem(), "/" + (rest if scheme == "file" else path).lstrip("/")
     else:
         system, place = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
-    return system.open_input_stream(place, compression=None)
+    return system.open_input_stream(place, compression="detect" if contents else None)
 
 
-def hash_files(spark: SparkSession, folder: str, name: str = "*", opener=open_stream, piece: int = 4 << 20) -> DataFrame:
+def hash_files(spark: SparkSession, folder: str, name: str = "*", contents: bool = False, opener=open_stream, piece: int = 4 << 20) -> DataFrame:
     """path, sha256, bytes, error of every file below a folder whose name fits the pattern.
 
     Spark lists the files and deals them to tasks by size, without their contents; each is then read on its executor in pieces
     of so many bytes, so a file of any size takes one piece of memory. A file that can't be read (forbidden, broken off) has an
-    error and nulls; one that is gone since the listing has no row. opener: from path to an object with read(n), for file systems that pyarrow lacks. No file: no row. As in all
+    error and nulls; one that is gone since the listing has no row. contents: of compressed files (gz, bz2, zst, lz4) what they hold counts, not what is stored. opener: from path and `contents` to an
+    object with read(n), for file systems that pyarrow lacks. No file: no row. As in all
     of Spark's readers, names that start with _ or . don't count, nor do files without a byte: an audit tells them as missing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).option("ignoreMissingFiles", True).load(folder)
 
@@ -122,7 +123,7 @@ def hash_files(spark: SparkSession, folder: str, name: str = "*", opener=open_st
             for path in batch.column(0).to_pylist():
                 digest, size = hashlib.sha256(), 0
                 try:
-                    with opener(path) as source:
+                    with opener(path, contents) as source:
                         while data := source.read(piece):
                             digest.update(data)
                             size += len(data)
