@@ -61,6 +61,13 @@ def event_stream(spark, sf):
     return io.table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def closed(spark, result):
+    """What a stream's watermark has closed when its source is read to the end, each row written once."""
+    folder = io.shared_folder(spark)
+    jobs.replay(jobs.keep_closed(result, f"{folder}/out", f"{folder}/mark"))
+    return spark.read.schema(result.schema).parquet(f"{folder}/out").drop("v")  # v: the batch's folder
+
+
 def whole(spark, result):
     """A stream's whole result over all that its source holds."""
     folder = io.shared_folder(spark)
@@ -72,12 +79,14 @@ def whole(spark, result):
 , r AS (SELECT user_id, event_id AS request_uid, epoch_us(ts) AS a, epoch_us(ts) + 1000 * CAST(floor(value * 600000) AS BIGINT) AS b,
     CASE WHEN event_id % 10 <> 0 THEN epoch_us(ts) + 1000 * CAST(floor(value * 60000) AS BIGINT) END AS f, CASE WHEN event_id % 13 <> 0 THEN epoch_us(ts) + 1000 * CAST(floor(value * 540000) AS BIGINT) END AS l
     FROM events WHERE event_type = 'signup'),
-s AS (SELECT user_id, event_id AS sample_id, event_type AS metric, epoch_us(ts) AS t FROM events WHERE event_type <> 'signup')
-SELECT sample_id, metric, request_uid, CASE WHEN f IS NULL THEN 'request_without_first_content' WHEN t < f THEN 'prefill_observed' WHEN l IS NULL OR t <= l THEN 'decode_observed' ELSE 'response_close' END AS observed_phase
-FROM s JOIN r ON s.user_id = r.user_id AND t BETWEEN a AND b AND t <= a + 7 * 86400000000
+s AS (SELECT user_id, event_id AS sample_id, event_type AS metric, epoch_us(ts) AS t FROM events WHERE event_type <> 'signup' AND ts IS NOT NULL),
+passed AS (SELECT least((SELECT max(t) FROM s), (SELECT max(greatest(a, b // 3600000000 * 3600000000)) FROM r)) // 1000 * 1000 - 600000000 AS w)
+SELECT sample_id, metric, request_uid, CASE WHEN request_uid IS NULL THEN 'outside_request' WHEN f IS NULL THEN 'request_without_first_content' WHEN t < f THEN 'prefill_observed' WHEN l IS NULL OR t <= l THEN 'decode_observed' ELSE 'response_close' END AS observed_phase
+FROM s LEFT JOIN r ON s.user_id = r.user_id AND t BETWEEN a AND b WHERE request_uid IS NOT NULL OR t <= (SELECT w FROM passed)
 """)
 def st1_live_correlation(spark, sf):
-    """Two streams of the event table, samples and request intervals of up to a week, joined with watermarks."""
+    """Two streams of the event table, samples and request intervals, joined with watermarks; samples outside all requests come
+    when their time has passed."""
     e = event_stream(spark, sf)
     later = lambda ms: f"timestamp_micros(unix_micros(ts) + 1000 * floor(value * {ms}))"
     requests = e.where("event_type = 'signup'").select(
@@ -85,7 +94,7 @@ def st1_live_correlation(spark, sf):
         F.expr(f"CASE WHEN event_id % 10 <> 0 THEN {later(60000)} END").alias("first_ts"), F.expr(f"CASE WHEN event_id % 13 <> 0 THEN {later(540000)} END").alias("last_ts"),
     )
     samples = event_stream(spark, sf).where("event_type <> 'signup'").select(F.col("user_id").alias("experiment_id"), F.col("event_id").alias("sample_id"), "ts", F.col("event_type").alias("metric"), "value")
-    found = jobs.correlate(samples, requests, longest="7 days").select("sample_id", "metric", "request_uid", "observed_phase")
+    found = jobs.correlate(samples, requests).select("sample_id", "metric", "request_uid", "observed_phase")
     folder = io.shared_folder(spark)
     jobs.replay(found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/mark"))
     return spark.read.schema(found.schema).parquet(f"{folder}/out")
@@ -102,6 +111,17 @@ def st2_rolling(spark, sf):
     return whole(spark, out)
 
 
+@query("""
+, w AS (SELECT *, unnest([epoch_us(ts) // 1800000000 * 1800, epoch_us(ts) // 1800000000 * 1800 - 1800]) AS start FROM events WHERE ts IS NOT NULL)
+SELECT start, event_type AS metric, count(value) AS n, round(avg(value), 6) AS mean, max(value) AS max FROM w
+WHERE (start + 3600) * 1000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM events) GROUP BY ALL
+""")
+def st2_rolling_closed(spark, sf):
+    """The same windows in append mode: each once, when it is closed, and none kept in state for ever."""
+    s = event_stream(spark, sf).select("ts", F.col("event_type").alias("metric"), "value")
+    return closed(spark, jobs.rolling(s, "1 hour", "30 minutes").select(F.unix_seconds("start").alias("start"), "metric", "n", F.round("mean", 6).alias("mean"), "max"))
+
+
 @query("""
 , m AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL AND turn IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS k FROM m)
@@ -139,6 +159,22 @@ def st5_gateway_counters(spark, sf):
     return whole(spark, jobs.gateway_counters(responses, "1 hour").withColumn("start", F.unix_seconds("start")))
 
 
+@query("""
+, r AS (SELECT user_id % 10 AS agent_id, epoch_us(ts) AS a, CASE WHEN event_type <> 'purchase' THEN epoch_us(ts) + 1000 * CAST(floor(value * 1000) AS BIGINT) END AS s, epoch_us(ts) + 1000 * CAST(floor(value * 60000) AS BIGINT) AS e FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND user_id IS NOT NULL),
+m AS (SELECT agent_id, unnest([a, s, e]) AS t, unnest([0, 1, CASE WHEN s IS NULL THEN 0 ELSE -1 END]) AS f, unnest([1, -1, CASE WHEN s IS NULL THEN -1 ELSE 0 END]) AS w FROM r),
+n AS (SELECT agent_id, t // 3600000000 * 3600 AS start, sum(f) AS f, sum(w) AS w FROM m WHERE t IS NOT NULL GROUP BY ALL),
+g AS (SELECT agent_id, start, CAST(sum(f) OVER o AS BIGINT) AS in_flight, CAST(sum(w) OVER o AS BIGINT) AS waiting FROM n WINDOW o AS (PARTITION BY agent_id ORDER BY start))
+SELECT * FROM g WHERE (start + 3600) * 1000000 <= (SELECT max(t) // 1000 * 1000 - 600000000 FROM m)
+""")
+def st5_gateway_gauges(spark, sf):
+    """Requests in flight and waiting at the end of every hour by agent; purchases are rejected and never start."""
+    later = lambda ms: F.expr(f"timestamp_micros(unix_micros(ts) + 1000 * floor(value * {ms}))")
+    e = event_stream(spark, sf).where("ts is not null and value is not null")
+    requests = e.select((F.col("user_id") % 10).alias("agent_id"), F.col("ts").alias("arrival_ts"), F.when(F.col("event_type") != "purchase", later(1000)).alias("start_ts"), later(60000).alias("end_ts"))
+    with jobs.keyed_state(spark):
+        return closed(spark, jobs.gateway_gauges(requests, "1 hour"))
+
+
 @query("""
 , g AS (SELECT user_id, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events WHERE ts IS NOT NULL),
 s AS (SELECT *, sum(CAST(gap IS NULL OR gap > 21600000000 AS INT)) OVER (PARTITION BY user_id ORDER BY t) AS k FROM g)
@@ -150,6 +186,18 @@ def st7_sessions(spark, sf):
     return whole(spark, out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n"))
 
 
+@query("""
+, g AS (SELECT user_id, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events WHERE ts IS NOT NULL),
+s AS (SELECT *, sum(CAST(gap IS NULL OR gap > 21600000000 AS INT)) OVER (PARTITION BY user_id ORDER BY t) AS k FROM g)
+SELECT user_id, min(t) AS start_us, max(t) + 21600000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k
+HAVING max(t) + 21600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM events)
+""")
+def st7_sessions_closed(spark, sf):
+    """Sessions in append mode: each once, when no further row can lengthen it."""
+    out = jobs.sessions(event_stream(spark, sf), "6 hours")
+    return closed(spark, out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n"))
+
+
 @query("""
 , r AS (SELECT 'run-' || run_id AS run, run_id, count(*) AS n, 'm' || (run_id % 2) AS model FROM requests GROUP BY run_id),
 c AS (SELECT *, '{"context_window":"' || (4096 * (1 + run_id % 2)) || '","generation":"{\\"temperature\\":0}","hardware":' || CASE WHEN run_id = 4 THEN 'null' ELSE '"{\\"gpu\\":\\"x\\"}"' END

@@ -3,26 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.intervals import phase_of
+from ..operators.intervals import OUTSIDE, phase_of
 
 
-def correlate(samples: DataFrame, requests: DataFrame, late: str = "10 minutes", longest: str = "1 hour", bucket: int = 3600) -> DataFrame:
+def correlate(samples: DataFrame, requests: DataFrame, late: str = "10 minutes", bucket: int = 3600) -> DataFrame:
     """Samples (experiment_id, sample_id, ts, metric, value) with the requests (request_uid, start_ts, end_ts, first_ts,
-    last_ts) that hold their time. Both sides have watermarks and no request is longer than `longest`, so state is bounded.
-    A request is put in each bucket of so many seconds that it touches, a sample in its own, so that one busy experiment
-    is split by time; a pair still arises once."""
+    last_ts) that hold their time, ends included; a sample that none holds comes as outside_request once its time has passed
+    both watermarks. Samples without a time, and requests without either bound, take no part.
+
+    A request is cut into pieces at every `bucket` seconds, each with a time and state of its own, and a sample meets the pieces
+    of its bucket alone. So requests of any length count, state holds what the watermark hasn't passed, one busy experiment
+    is split by time, and a pair arises once. A request told at its end finds the samples of the last `late` before it."""
     place = lambda c: F.floor(F.unix_seconds(c) / bucket)
-    a = samples.withWatermark("ts", late).withColumn("__bucket", place(F.col("ts"))).alias("s")
-    last = F.least(F.col("end_ts"), F.expr(f"start_ts + INTERVAL {longest}"))
-    b = requests.withWatermark("start_ts", late).where("end_ts >= start_ts").withColumn("__bucket", F.explode(F.sequence(place(F.col("start_ts")), place(last)))).alias("r")
-    on = F.expr(f"s.experiment_id = r.experiment_id AND s.__bucket = r.__bucket AND s.ts >= r.start_ts AND s.ts <= r.end_ts AND s.ts <= r.start_ts + INTERVAL {longest}")
+    a = samples.where("ts is not null").withWatermark("ts", late).withColumn("__bucket", place(F.col("ts"))).alias("s")
+    pieces = requests.where("end_ts >= start_ts").withColumn("__bucket", F.explode(F.sequence(place(F.col("start_ts")), place(F.col("end_ts")))))
+    b = pieces.withColumn("__from", F.greatest("start_ts", F.timestamp_seconds(F.col("__bucket") * bucket))).withWatermark("__from", late).alias("r")
+    on = F.expr(f"s.experiment_id = r.experiment_id AND s.__bucket = r.__bucket AND s.ts >= r.__from AND s.ts <= r.end_ts AND s.ts <= r.__from + INTERVAL {bucket} SECONDS")
     seconds = lambda c: F.col(c).cast("double")
-    return a.join(b, on).select("s.experiment_id", "s.sample_id", "s.ts", "s.metric", "s.value", "r.request_uid", phase_of(seconds("s.ts"), seconds("r.first_ts"), seconds("r.last_ts")).alias("observed_phase"))
+    phase = F.when(F.col("r.__from").isNull(), OUTSIDE).otherwise(phase_of(seconds("s.ts"), seconds("r.first_ts"), seconds("r.last_ts")))
+    return a.join(b, on, "left").select("s.experiment_id", "s.sample_id", "s.ts", "s.metric", "s.value", "r.request_uid", phase.alias("observed_phase"))
 
 
 def rolling(samples: DataFrame, width: str = "1 minute", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -94,9 +100,38 @@ def keep_whole(result: DataFrame, path: str, checkpoint: str):
     return result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def replay(writer) -> None:
-    """Run a query over all that its sources hold now, to the end."""
-    writer.trigger(availableNow=True).start().awaitTermination()
+def keep_closed(result: DataFrame, path: str, checkpoint: str):
+    """A query in append mode: what the watermark has closed is written once, as path/v=batch, and leaves the state. A batch
+    that runs twice writes the same folder again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    return result.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def late_rows(query) -> int:
+    """Rows that a query's stateful operators left out as later than the watermark, over the batches that it still remembers."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def replay(writer):
+    """Run a query over all that its sources hold now, to the end; the ended query."""
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, which transformWithState asks for."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def newest_version(spark: SparkSession, path: str) -> DataFrame:
@@ -128,6 +163,44 @@ def gateway_counters(responses: DataFrame, width: str = "1 minute", late: str =
     return responses.withWatermark("ts", late).groupBy(F.window("ts", width), "agent_id", "status").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "agent_id", "status", "n")
 
 
+class Level(StatefulProcessor):
+    """Running sums of a key's changes by window. What stands at zero is forgotten: it needs no state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.level = handle.getValueState("level", "in_flight long, waiting long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        flight, wait = self.level.get() if self.level.exists() else (0, 0)
+        changes = pd.concat(list(rows)).sort_values("start")
+        out = pd.DataFrame({"agent_id": key[0], "start": changes.start, "in_flight": flight + changes.f.cumsum(), "waiting": wait + changes.w.cumsum()})
+        flight, wait = int(out.in_flight.iloc[-1]), int(out.waiting.iloc[-1])
+        if flight or wait:
+            self.level.update((flight, wait))
+        else:
+            self.level.clear()
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def gateway_gauges(requests: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
+    """agent_id, start, in_flight, waiting: how many requests (agent_id, arrival_ts, start_ts, end_ts) run and wait at the end of
+    every window in which any of an agent arrives, starts or ends; between such windows the gauges stay. A request that never
+    started (rejected) waits until its end; one without arrival or end counts nowhere.
+
+    Changes are added up by window before they reach an agent's state, two numbers, so a busy agent sends a row a window. A
+    window comes once the watermark has passed its end. Requests are told at their end: `late` must be as long as the longest."""
+    move = lambda t, flight, wait: F.struct(F.col(t).alias("t"), F.lit(flight).alias("f"), F.lit(wait).alias("w"))
+    served, rejected = F.array(move("arrival_ts", 0, 1), move("start_ts", 1, -1), move("end_ts", -1, 0)), F.array(move("arrival_ts", 0, 1), move("end_ts", 0, -1))
+    whole = requests.where("agent_id is not null and arrival_ts is not null and end_ts is not null")
+    moves = whole.select("agent_id", F.explode(F.when(F.col("start_ts").isNull(), rejected).otherwise(served)).alias("m")).select("agent_id", "m.*")
+    net = moves.withWatermark("t", late).groupBy(F.window("t", width), "agent_id").agg(F.sum("f").alias("f"), F.sum("w").alias("w"))
+    kind = requests.schema["agent_id"].dataType.simpleString()
+    changes = net.select("agent_id", F.unix_seconds("window.start").alias("start"), "f", "w")
+    return changes.groupBy("agent_id").transformWithStateInPandas(Level(), f"agent_id {kind}, start long, in_flight long, waiting long", "Append", "None")
+
+
 def campaign_monitor(runs: DataFrame) -> DataFrame:
     """Newest run of each stage and runtime with its progress, for update mode."""
     return runs.groupBy("stage", "runtime").agg(F.max_by(F.struct("run_id", "ok", "expected"), "started").alias("r")).select("stage", "runtime", "r.*")
