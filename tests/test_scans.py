@@ -85,3 +85,12 @@ def test_consolidate(spark):
     assert rows.count() == 4 and set(rows.select("model_label", "f1").distinct().collect()[0]) == {"m-7b-q4_0 [01234567]", 0.5}
     with pytest.raises(ValueError):
         runs.require_runs(runs.consolidate_evals(metadata, performance.limit(0), predictions)[0])
+
+
+def test_numbers_of_a_repeated_task(spark):
+    held = [(k % 7, k, float(k % 3), None if k % 5 else "x", {"k": k}) for k in range(300)] + [(1, 1, 1.0, None, {"k": 1})] * 3
+    kinds = "a int, b int, c double, d string, m map<string,int>"
+    number = lambda rows: sorted((tuple(r["s"])[:4], r["n"]) for r in iv.numbered(spark.createDataFrame(rows, kinds).coalesce(1), "n").collect())
+    show = lambda got: [(repr(s), n) for s, n in got]
+    once, again = (number([(a, b, c, d or "", m) for a, b, c, d, m in rows]) for rows in (held, held[::-1]))
+    assert show(once) == show(again) and len({n for _, n in once}) == len(held)

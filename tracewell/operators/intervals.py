@@ -23,6 +23,13 @@ def bucket_width(spans: DataFrame) -> float:
     return max(1e-3, mean, most / 100_000) if mean is not None else 3600.0
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows as struct s, with a number of their own that a repeated task gives again: a partition whose rows come in another order,
+    as after a shuffle whose executor was lost, is sorted first. Equal rows may change places. Maps can't be sorted by."""
+    order = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return rows.sortWithinPartitions(*order).select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("s"), F.monotonically_increasing_id().alias(name))
+
+
 def interval_join(samples: DataFrame, requests: DataFrame, width_s: float | None = None, key: str = "experiment_id") -> DataFrame:
     """Every sample with the request of its key that holds its time, ends included; of several the one that starts first
     (then the smaller request_uid), of none nulls, with observed_phase.
@@ -41,7 +48,7 @@ def interval_join(samples: DataFrame, requests: DataFrame, width_s: float | None
         F.struct("start_s", "request_uid", "end_s", "first_s", "last_s").alias("r"),
         F.explode(F.sequence(bucket(F.col("start_s")), bucket(F.col("end_s")))).alias("__in"),
     )
-    rows = samples.select(F.struct(*samples.columns).alias("s"), F.monotonically_increasing_id().alias("__row"))
+    rows = numbered(samples, "__row")
     t = F.col("s.timestamp_s")
     held = (F.col(f"s.{key}") == F.col("__key")) & (bucket(t) == F.col("__in")) & (t >= F.col("r.start_s")) & (t <= F.col("r.end_s"))
     out = rows.join(spans, held, "left").groupBy("__row").agg(F.first("s").alias("s"), F.min("r").alias("r"))
