@@ -94,3 +94,19 @@ def test_query(spark, sf_dir):
         text = chat.marked([{"role": r, "text": t} for _, r, t in turns])
         want[k] = (len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in turns)), len(loss), sha(loss), len(text))
     assert {r["conv_id"]: tuple(r)[1:] for r in queries.op9_chat_format(spark, sf_dir).collect()} == want
+
+
+def test_length_switches_nothing(spark):
+    """A template that rewrites history at one number of turns only is told so in conversations of any length."""
+
+    def once(messages):
+        return "".join(m["text"] + ";" for m in messages) + ("!" if len(messages) == 43 else "")
+
+    rows = [(n, k, "user", f"t{k}") for n in (42, 43, 64, 65, 150) for k in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.format_conversations(df, once).collect()}
+    assert {n: r["rewrites"] for n, r in got.items()} == {42: False, 43: False, 64: True, 65: True, 150: True}
+    assert {tuple(r["turns"][:43]) for n, r in got.items() if n >= 43} == {tuple(got[43]["turns"])}
+    calls = []
+    chat.locate([{"role": "user", "text": "x"}] * 20, lambda ms: calls.append(len(ms)) or chat.marked(ms), 4)
+    assert calls.count(20) == 1  # windows, where asked for, are for short ones too

@@ -2,7 +2,7 @@
 
 A template is any function from a list of messages to text. Successive prefixes of a conversation are rendered; where the
 output for k messages begins with that for k - 1, what follows is the span of turn k. Where it doesn't, the template rewrites
-history, and the conversation is marked. Long conversations are rendered in windows that are checked against whole prefixes. Inside a span, the place of the text is found by rendering the same prefix with two
+history, and the conversation is marked. A caller may ask for windows, checked against whole prefixes, instead. Inside a span, the place of the text is found by rendering the same prefix with two
 probe texts that share no character: what the outputs share at either end stands around the text."""
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ PROBES = ("\ue000", "\ue001")
 
 
 def escape(text: str) -> str:
-    return OPEN.sub(r"<\\\1|", text)
+    return OPEN.sub(r"<\\\1|", text) if "<" in text else text  # most texts have none, and are rendered often
 
 
 def unescape(text: str) -> str:
@@ -106,20 +106,16 @@ def locate(messages: list[dict], template: Template, window: int = 16) -> tuple[
     rewrites: some output doesn't begin with the one before. Then a turn's span begins where the two first differ, earlier
     spans may be out of date, and no text is located (text_start and text_end are -1) from there on.
 
-    Up to 4 * window messages are rendered prefix by prefix. Beyond, each turn is rendered after the `window` messages before it,
-    which by_windows() checks; a template that fails the checks is rendered prefix by prefix after all. (One that rewrites
-    history only at some number of turns beyond, which is none of those checked, can't be told so; window=0 renders all.)"""
-    if window and len(messages) > 4 * window:
-        found = by_windows(messages, template, window)
-        if found:
-            return found
-    return by_prefixes(messages, template)
+    window=0 renders every prefix, whose work grows with the square of their number. Else each turn is rendered after the `window`
+    messages before it, in conversations of any length alike, which by_windows() checks; a template that fails the checks is rendered
+    prefix by prefix after all. (One that rewrites history only at numbers of turns that aren't checked isn't told so.)"""
+    return (by_windows(messages, template, window) if window else None) or by_prefixes(messages, template)
 
 
 ROW = "formatted string, turns array<struct<role string, start long, end long, text_start long, text_end long>>, rewrites boolean"
 
 
-def format_conversations(df: DataFrame, template: Template = marked, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_conversations(df: DataFrame, template: Template = marked, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", window: int = 0) -> DataFrame:
     """id_col, formatted string, turns (role and spans of each turn in formatted), rewrites boolean, one row for each id.
 
     Rows of an id, of any type that can be ordered, are ordered by turn, equal turns by role and text, null first; repeated rows are
@@ -127,7 +123,8 @@ def format_conversations(df: DataFrame, template: Template = marked, id_col: str
     columns aren't read.
 
     One shuffle by id sorts each task's rows, which are then read as a stream with one conversation in memory: its output
-    is one text, which needs it whole. The work grows with the turns of a conversation (see locate)."""
+    is one text, which needs it whole. Every prefix of every conversation is rendered, so work grows with the square of its turns;
+    a window (see locate) makes that linear, and proves less of a template."""
     rows = df.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -136,7 +133,7 @@ def format_conversations(df: DataFrame, template: Template = marked, id_col: str
         done: list[list] = []
 
         def close(conv, messages):
-            text, spans, rewrites = locate(messages, template)
+            text, spans, rewrites = locate(messages, template, window)
             done.append([conv, text, [{"role": m["role"], **s} for m, s in zip(messages, spans, strict=True)], rewrites])
 
         def out() -> pa.RecordBatch:
