@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import negatives, queries
+from tracewell.llm import negatives, queries, shared
 from tracewell.llm.shared import table
 
 
@@ -89,3 +89,19 @@ def test_query_equals_sql(spark, sf_dir):
     got = queries.op11_hard_negatives(spark, sf_dir).select(names).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall()) != []
     assert table(spark, sf_dir, "embeddings").count() > 0
+
+
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    """Joins of anchors, windows and row blocks stay off the driver, however small Spark takes them to be."""
+    written = []
+
+    def keep(df, codec="lz4"):
+        written.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString())
+        return shared.stored(df, codec)
+
+    monkeypatch.setattr(negatives, "stored", keep)
+    out = negatives.mine(spark.createDataFrame(vectors(2), DDL), F.col("vec_id") % 2 == 0, block=16)
+    plans = [*written, out._jdf.queryExecution().executedPlan().toString()]
+    joins = [line for p in plans for line in p.split("\n") if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert all("[dim#" in line and "[key#" not in line and "group#" not in line for line in joins), joins

@@ -119,7 +119,7 @@ def window_best(anchors: DataFrame, n_anchors: int, blocks: DataFrame, n_blocks:
     rows = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
     bundle = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n_anchors // 256)))).alias("bundle")
     bundles = anchors.groupBy("dim", bundle).agg(F.collect_list(F.struct("key", "id", "label", "v", "bar", "windows")).alias("anchors"))
-    tiles = bundles.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("group", F.col("group").cast("long")).join(rows, ["dim", "group"])
+    tiles = bundles.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("group", F.col("group").cast("long")).join(rows.hint("merge"), ["dim", "group"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +155,9 @@ def window_best(anchors: DataFrame, n_anchors: int, blocks: DataFrame, n_blocks:
 
 def filled(anchors: DataFrame, blocks: DataFrame, n_blocks: int, same: bool, k: int, scale: int, bars: list[Column]) -> DataFrame:
     """key, slot, best of all windows of the anchors (key, dim, id, label, v, norm, windows), under one bar after another: a
-    window is done when it has k rows, or when the bar is at its low end; the last bar must be under all windows."""
+    window is done when it has k rows, or when the bar is at its low end; the last bar must be under all windows.
+
+    What grows with the anchors is joined by merging here and in mine(): a broadcast of it would go through the driver."""
     spark, done, pending = anchors.sparkSession, [], anchors
     for bar in bars:
         pending = stored(pending.withColumn("bar", bar.cast("double")))
@@ -164,10 +166,10 @@ def filled(anchors: DataFrame, blocks: DataFrame, n_blocks: int, same: bool, k:
             break
         best = stored(window_best(pending, n, blocks, n_blocks, same, k, scale))
         state = pending.select("key", "bar", F.explode("windows").alias("w")).select("key", "w", F.col("w.slot").alias("slot"), (F.col("bar") <= F.col("w.low")).alias("whole"))
-        state = state.join(best, ["key", "slot"], "left").withColumn("full", F.col("whole") | (F.coalesce(F.size("best"), F.lit(0)) >= k))
+        state = state.join(best.hint("merge"), ["key", "slot"], "left").withColumn("full", F.col("whole") | (F.coalesce(F.size("best"), F.lit(0)) >= k))
         done.append(state.where("full and best is not null").select("key", "slot", "best"))
         left = state.where("not full").groupBy("key").agg(F.sort_array(F.collect_list("w")).alias("windows"))
-        pending = pending.drop("bar", "windows").join(left, "key")
+        pending = pending.drop("bar", "windows").join(left.hint("merge"), "key")
     out = spark.createDataFrame([], "key long, slot int, best array<struct<minus long, id long>>")
     for rows in done:
         out = out.unionByName(rows)
@@ -205,7 +207,7 @@ def mine(df: DataFrame, is_anchor: Column, id_col: str = "vec_id", vector_col: s
     least = F.expr(f"positive_score - (cast(positive_score as decimal(20, 0)) * {100 - least_percent}) div 100")
     windows = positives.where("positive_score >= 0").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("slot", least.alias("low"), F.col("positive_score").alias("high")))).alias("windows"))
     at = lambda share: F.array_min(F.transform("windows", lambda w: w["high"].cast("double") - (w["high"] - w["low"]).cast("double") * share))
-    negatives = filled(anchors.join(windows, "key"), blocks, n_blocks, False, k_negative, scale, [at(0.25), at(0.5), F.array_min(F.transform("windows", lambda w: w["low"].cast("double")))])
+    negatives = filled(anchors.join(windows.hint("merge"), "key"), blocks, n_blocks, False, k_negative, scale, [at(0.25), at(0.5), F.array_min(F.transform("windows", lambda w: w["low"].cast("double")))])
     ranked = negatives.select("key", "slot", F.posexplode("best").alias("pos", "b"))
-    out = ranked.join(positives, ["key", "slot"]).join(anchors.select("key", F.col("id").alias("anchor_id")), "key")
+    out = ranked.join(positives.hint("merge"), ["key", "slot"]).join(anchors.select("key", F.col("id").alias("anchor_id")).hint("merge"), "key")
     return out.select("anchor_id", "positive_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.id").alias("negative_id"), "positive_score", (-F.col("b.minus")).alias("negative_score"))
