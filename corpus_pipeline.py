@@ -48,7 +48,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by a similarity of 0.8 or more the document with the smallest id.
+    """Of each group of linked texts the document with the smallest id: linked are fingerprints at most two bits apart, by operator 6's
+    blocks, and sets of five-word shingles of a similarity of 0.8 or more. Groups are the components of both kinds of links.
 
     A null id comes before all others. Of rows that repeat an id one stays where they are of one group. Texts of fewer than five words are
     compared as wholes; null and blank texts are one group. Long texts are compared by all their shingles."""

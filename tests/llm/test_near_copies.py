@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from tracewell.llm import near_copies
+from tracewell.llm import near_copies, simhash
 
 
 def brute_sets(text):
@@ -103,3 +103,15 @@ def test_bands_meet_at_the_least_similarity():
         h = rnd.integers(0, 1 << 63, 200, np.uint64)
         met += bool({*near_copies.bands(h[:180])} & {*near_copies.bands(h[20:])})
     assert met >= 0.998 * n
+
+
+def test_stage_joins_what_fingerprints_link(spark):
+    """Texts of a repeated line with other words after it: near by fingerprint, far by shingles, also over a chain of both links."""
+    rnd = random.Random(5)
+    new = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    line, other = "one two three four five six seven".split() * 300, new(200)
+    texts = [" ".join(t) for t in ([*line, *new(30)], [*line, *new(30)], other, [*other[:-3], *new(3)], new(150))]
+    bits = lambda a, b: (simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count()
+    assert bits(0, 1) <= 2 < bits(2, 3) and brute_roots(texts) == [0, 1, 2, 2, 4]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_distinct(spark, df, "").collect()) == [0, 2, 4]

@@ -1,4 +1,5 @@
-"""Near copies by the Jaccard similarity of word shingles: candidates by MinHash bands, exact verification, components."""
+"""Near copies by two kinds of links, with common components: SimHash fingerprints of few differing bits (operator 6), and the
+Jaccard similarity of word shingles, with candidates by MinHash bands and exact verification."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches, stored, texts_of
-from .simhash import components, row_key
+from .simhash import components, fingerprint, links, row_key
 
 #: A similarity of at least 4/5 over shingles of five words links two texts.
 WORDS, SIMILAR = 5, (4, 5)
@@ -50,20 +51,33 @@ def signed(values) -> pa.Array:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """name, node, bands from name, text: a node is a set of shingles."""
+    """name, node, fp, bands from name, text: a node is a set of shingles, fp the fingerprint of operator 6."""
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
-            for text in texts_of(batch.column(1)).to_pylist():
-                found = shingles(text)
-                nodes.append(xxh64_intdigest(found.tobytes(), 42))
-                keys += bands(found)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), signed(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed(nodes), lists], ["name", "node", "bands"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                nodes, prints, keys = [], [], []
+                for text in texts_of(part.column(1)).to_pylist():
+                    found = shingles(text)
+                    nodes.append(xxh64_intdigest(found.tobytes(), 42))
+                    prints.append(fingerprint(text))
+                    keys += bands(found)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), signed(keys))
+                yield pa.RecordBatch.from_arrays([part.column(0), signed(nodes), signed(prints), lists], ["name", "node", "fp", "bands"])
+
+    return rows.mapInArrow(run, f"name {rows.schema['name'].dataType.simpleString()}, node long, fp long, bands array<long>")
+
 
-    return rows.mapInArrow(run, f"name {rows.schema['name'].dataType.simpleString()}, node long, bands array<long>")
+def alike(printed: DataFrame) -> DataFrame:
+    """a, b: nodes to join so that all whose fingerprints are linked by operator 6 are in one component; printed has node, fp."""
+    first = stored(printed.groupBy("fp").agg(F.min("node").alias("first")))
+    same = printed.join(first.hint("merge"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = links(first.select(F.col("fp").alias("__fp")))
+    for c in "ab":
+        ends = ends.join(first.select(F.col("fp").alias(c), F.col("first").alias(f"node_{c}")).hint("merge"), c)
+    return same.union(ends.where("node_a <> node_b").select("node_a", "node_b"))
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -101,8 +115,9 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_sets(pairs, sets, "a", "b").where(possible & near(sizes - 2 * F.size(F.array_intersect("in_a", "in_b")), sizes)).select("a", "b")
 
 
-def joined(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, root of the components of all similar pairs that share a bucket; met has bucket, node and the bucket's n.
+def joined(met: DataFrame, sets: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """node, root of the components of all similar pairs that share a bucket, and of the pairs a, b that are known to be linked; met has
+    bucket, node and the bucket's n.
 
     Pairs of a bucket would grow with its square. So all of a bucket are compared with its centre only, the node that
     meets the most others (of near copies, the text that they were made from). Let D(x) be the shingles that are in
@@ -122,7 +137,7 @@ def joined(met: DataFrame, sets: DataFrame) -> DataFrame:
     lacks, more = F.array_except("in_c", "in_node"), F.array_except("in_node", "in_c")
     star = stored(both.select("c", "node", F.size("in_c").alias("n_c"), F.size("in_node").alias("n"), F.concat(F.array_sort(more), F.array_sort(lacks)).alias("apart")))
     edges = star.where(near(F.size("apart"), F.col("n_c") + F.col("n"))).select(F.col("c").alias("a"), F.col("node").alias("b"))
-    found = stored(components(edges))
+    found = stored(components(edges.union(known) if known is not None else edges))
     root = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     rooted = stored(star.join(root("node"), "node", "left").join(root("c"), "c", "left").select("*", F.coalesce("node_root", "node").alias("r"), F.coalesce("c_root", "c").alias("r_c")))
     still = rooted.where("r <> r_c")
@@ -139,8 +154,8 @@ def joined(met: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of texts linked by similarity: that with the smallest id, null last, and of rows with the
-    same id that whose id and text have the smallest digest. Of rows that repeat both one stays, any if other columns differ.
+    """One row of each component of texts linked by fingerprints or similarity: that with the smallest id, null last, and of rows
+    with the same id that whose id and text have the smallest digest. Of rows that repeat both one stays, any if other columns differ.
 
     Equal sets of shingles are one node, so copies make no pairs. Only nodes that share a band have their texts read
     again. Rows are found by their digest: ids need not be unique or known. An empty table gives an empty one."""
@@ -148,12 +163,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     key = row_key(df[id_col], df[text_col])
     name = F.struct(df[id_col].isNull().alias("no_id"), df[id_col].alias("id"), key.alias("key"))
     own = sketches(df.select(name.alias("name"), df[text_col].alias("text")))
+    own = stored(own.groupBy("node", "fp").agg(F.min("name").alias("name"), F.first("bands").alias("bands")))
     nodes = stored(own.groupBy("node").agg(F.min("name").alias("name"), F.first("bands").alias("bands")))
     keyed = nodes.select("node", F.explode("bands").alias("bucket"))
     met = stored(keyed.join(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"))
     asked = stored(nodes.join(met.select("node").distinct(), "node").select("node", F.col("name.key").alias("__key"))).hint("merge")
     texts = df.select(key.alias("__key"), df[text_col].alias("text")).join(asked, "__key").dropDuplicates(["__key"])
     sets = stored(shingle_sets(texts.select("node", "text")))
-    first = nodes.join(joined(met, sets), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("name").alias("name"))
+    first = nodes.join(joined(met, sets, alike(own.select("node", "fp"))), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("name").alias("name"))
     chosen = stored(first.select(F.col("name.key").alias("__key"))).hint("merge")  # grows with the rows: never broadcast
     return df.withColumn("__key", key).join(chosen, "__key").dropDuplicates(["__key"]).select(df.columns)
