@@ -160,3 +160,14 @@ def test_quality_sample_is_bounded_whatever_repeats(spark):
     assert len(model.labels) == 40 and set(model.labels) == {0.0, 1.0}
     whole = quality.train(docs, labels, sample=10_000)
     assert len(whole.labels) == 300 + 2 + 57
+
+
+def test_slices_hold_few_rows():
+    """Many short texts are described a few hundred at a time."""
+    from tracewell.llm.shared import by_bytes
+
+    texts = pa.array(["ab", "", "c" * 50] * 500)
+    cuts = list(by_bytes(texts, 1000, 100))
+    assert [a for a, _ in cuts[1:]] == [b for _, b in cuts[:-1]] and (cuts[0][0], cuts[-1][1]) == (0, 1500)
+    assert max(b - a for a, b in cuts) <= 100
+    assert np.allclose(np.concatenate([quality.describe(texts[a:b]) for a, b in cuts]), quality.describe(texts))

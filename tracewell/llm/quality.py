@@ -112,7 +112,7 @@ def train(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(0))
-            for a, b in by_bytes(texts, 2 << 20):
+            for a, b in by_bytes(texts, 1 << 19, 512):
                 yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f2").tobytes() for x in describe(texts[a:b])], pa.binary()), batch.column(1)[a:b], batch.column(2)[a:b]], ["x", "label", "place"])
 
     described = rows.mapInArrow(features, "x binary, label double, place long").dropDuplicates(["place", "label"])
@@ -136,7 +136,7 @@ def predict(text: Column, model: Model) -> Column:
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             texts = texts_of(column)
-            out = [model.score(describe(texts[a:b])) for a, b in by_bytes(texts, 2 << 20)]
+            out = [model.score(describe(texts[a:b])) for a, b in by_bytes(texts, 1 << 19, 512)]
             yield pa.array(np.concatenate(out) if out else [], pa.float64())
 
     return run(text)

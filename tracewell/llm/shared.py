@@ -74,8 +74,8 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.cast(pa.string()).fill_null("")
 
 
-def by_bytes(texts: pa.Array, most: int = 16 << 20):
-    """Slices (from, to) of texts of about `most` bytes; one longer text stands alone."""
+def by_bytes(texts: pa.Array, most: int = 16 << 20, rows: int | None = None):
+    """Slices (from, to) of texts of about `most` bytes, and of at most `rows` texts; one longer text stands alone."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -84,5 +84,6 @@ def by_bytes(texts: pa.Array, most: int = 16 << 20):
     while at < n:
         base = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+        to = min(to, at + rows) if rows else to
         yield at, to
         at = to
