@@ -97,6 +97,30 @@ def test_no_link_of_a_bucket_is_lost(spark):
         assert 3 < len({find(k) for k in nodes}) < len(nodes) - 20
 
 
+def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
+    """Sets of one bucket with a passage in common that the centre lacks, or with the same loss, and few of them similar: what is compared
+    grows with the links, not with the square of the bucket."""
+    rnd, compared = random.Random(13), []
+    new = lambda n: {rnd.randrange(1 << 40) for _ in range(n)}
+    similar = near_copies.similar
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return similar(pairs, sets)
+
+    monkeypatch.setattr(near_copies, "similar", counted)
+    base, passage = new(100), new(60)
+    lost = set(sorted(base)[:40])
+    sets = [x for _ in range(40) for x in (passage | new(40), base - lost | new(15))]
+    copies = [sets[0] | new(5), sets[1] | new(3)]
+    nodes = dict(enumerate([*sets, *copies, base]))  # of equal scores the last node is the centre
+    met = spark.createDataFrame([(0, k, len(nodes)) for k in nodes], "bucket long, node long, n long")
+    table = spark.createDataFrame([(k, sorted(v)) for k, v in nodes.items()], "node long, found array<long>")
+    got = {(r["node"], r["root"]) for r in near_copies.joined(met, table).collect() if r["node"] != r["root"]}
+    assert got == {(80, 0), (81, 1)}
+    assert sum(compared) <= len(nodes)
+
+
 def test_bands_meet_at_the_least_similarity():
     rnd, met, n = np.random.default_rng(3), 0, 2000
     for _ in range(n):  # 160 of 200 shingles in common

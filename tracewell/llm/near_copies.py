@@ -115,6 +115,17 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_sets(pairs, sets, "a", "b").where(possible & near(sizes - 2 * F.size(F.array_intersect("in_a", "in_b")), sizes)).select("a", "b")
 
 
+def by_rarity(rows: DataFrame) -> DataFrame:
+    """rows of c, node, apart with, in place of apart, its size; shared, what other rows of the same c have too, the rarest first; and
+    alone, the number of the others, which come before these. Rows that share nothing go."""
+    each = rows.select("c", F.explode("apart").alias("x"))
+    rare = each.groupBy("c", "x").agg(F.count("*").alias("among")).where("among > 1")
+    keep = [c for c in rows.columns if c != "apart"]
+    found = rows.select(*keep, F.size("apart").cast("long").alias("size"), F.explode("apart").alias("x")).join(rare.hint("merge"), ["c", "x"])
+    shared = found.groupBy(*keep, "size").agg(F.sort_array(F.collect_list(F.struct("among", "x"))).alias("s"))
+    return stored(shared.select(*keep, "size", (F.col("size") - F.size("s")).alias("alone"), F.col("s.x").alias("shared")))
+
+
 def joined(met: DataFrame, sets: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node, root of the components of all similar pairs that share a bucket, and of the pairs a, b that are known to be linked; met has
     bucket, node and the bucket's n.
@@ -124,9 +135,11 @@ def joined(met: DataFrame, sets: DataFrame, known: DataFrame | None = None) -> D
     x or in the centre c, but not in both. A node v that is still apart from c isn't similar to it:
     |D(v)| > (|v| + |c|) / 9. A node w of the bucket is similar to v only if they differ in (|v| + |w|) / 9 shingles at
     most, that is, if D(v) and D(w) share more than (9 |D(w)| + |c| - |w|) / 18. So one of these is among the first
-    |D(w)| - floor((9 |D(w)| + |c| - |w|) / 18) of D(w) in any fixed order. Those are put up first which c lacks: few
-    nodes share them by chance. Where two meet at the first that they share, they can share no more than what each has from
-    there on, which must be enough. Pairs that meet so are all that can be similar, and are compared.
+    |D(w)| - floor((9 |D(w)| + |c| - |w|) / 18) of D(w) in any fixed order. Those are put up first which fewest nodes around
+    c have: so a passage of many texts, or a change that many have in common, is put up only by texts that have little else.
+    What a single node has can't be shared: it takes its place in that order, but no row. Where two meet at the first that
+    they share, they can share no more than what each has from there on, which must be enough. Pairs that meet so are all
+    that can be similar, and are compared.
 
     (The figures are those of a similarity of 4/5; the code has them for any.)"""
     p, q = SIMILAR
@@ -134,21 +147,21 @@ def joined(met: DataFrame, sets: DataFrame, known: DataFrame | None = None) -> D
     center = met.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", F.col("node").alias("c"))).alias("s")).select("bucket", "s.c")
     pairs = met.join(center, "bucket").where("node <> c").select("c", "node").distinct()
     both = with_sets(pairs, sets, "c", "node")
-    lacks, more = F.array_except("in_c", "in_node"), F.array_except("in_node", "in_c")
-    star = stored(both.select("c", "node", F.size("in_c").alias("n_c"), F.size("in_node").alias("n"), F.concat(F.array_sort(more), F.array_sort(lacks)).alias("apart")))
+    apart = F.concat(F.array_except("in_c", "in_node"), F.array_except("in_node", "in_c"))
+    star = stored(both.select("c", "node", F.size("in_c").alias("n_c"), F.size("in_node").alias("n"), apart.alias("apart")))
     edges = star.where(near(F.size("apart"), F.col("n_c") + F.col("n"))).select(F.col("c").alias("a"), F.col("node").alias("b"))
     found = stored(components(edges.union(known) if known is not None else edges))
     root = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     rooted = stored(star.join(root("node"), "node", "left").join(root("c"), "c", "left").select("*", F.coalesce("node_root", "node").alias("r"), F.coalesce("c_root", "c").alias("r_c")))
-    still = rooted.where("r <> r_c")
-    size = F.size("apart").cast("long")
-    shown = lambda side, part: ["c", *(F.col(a).alias(f"{b}_{side}") for a, b in (("node", "id"), ("r", "root"), ("n", "n"))), size.alias(f"size_{side}"), F.posexplode(part).alias(f"at_{side}", "x")]
-    first = size - F.floor(((q + p) * size + (q - p) * (F.col("n_c") - F.col("n"))) / (2 * (q + p)))
-    ask = still.select(*shown("v", F.col("apart")))
-    put_up = rooted.join(still.select("c").distinct(), "c").select(*shown("w", F.slice("apart", F.lit(1), first.cast("int"))))
+    around = by_rarity(rooted.drop("node_root", "c_root").join(rooted.where("r <> r_c").select("c").distinct(), "c"))
+    shown = lambda side, part: ["c", *(F.col(a).alias(f"{b}_{side}") for a, b in (("node", "id"), ("r", "root"), ("n", "n"), ("size", "size"))), "alone", F.posexplode(part).alias("at", "x")]
+    placed = lambda side, rows, part: rows.select(*shown(side, part)).withColumn(f"at_{side}", F.col("alone") + F.col("at")).drop("alone", "at")
+    first = F.col("size") - F.floor(((q + p) * F.col("size") + (q - p) * (F.col("n_c") - F.col("n"))) / (2 * (q + p)))
+    ask = placed("v", around.where("r <> r_c"), F.col("shared"))
+    put_up = placed("w", around, F.slice("shared", F.lit(1), F.greatest(first - F.col("alone"), F.lit(0)).cast("int")))
     most = F.least(F.col("size_v") - F.col("at_v"), F.col("size_w") - F.col("at_w"))
     enough = 2 * (q + p) * most >= (q + p) * (F.col("size_v") + F.col("size_w")) - (q - p) * (F.col("n_v") + F.col("n_w"))
-    meet = ask.join(put_up, ["c", "x"]).where((F.col("root_v") != F.col("root_w")) & enough).select(F.least("id_v", "id_w").alias("a"), F.greatest("id_v", "id_w").alias("b")).distinct()
+    meet = ask.join(put_up.hint("merge"), ["c", "x"]).where((F.col("root_v") != F.col("root_w")) & enough).select(F.least("id_v", "id_w").alias("a"), F.greatest("id_v", "id_w").alias("b")).distinct()
     more_edges = similar(meet, sets)
     return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more_edges))
 
